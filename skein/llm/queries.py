@@ -8,6 +8,8 @@ import importlib
 QUERIES = {
     "op1_exact_dedup": "exact_dedup",
     "op2_sharding": "sharding",
+    "op3_packing": "packing",
+    "op4_byte_bpe": "byte_bpe",
 }
 
 

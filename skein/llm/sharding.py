@@ -59,18 +59,20 @@ def jump_shard(key_column, shards: int) -> F.Column:
     return of(F.col(key_column) if isinstance(key_column, str) else key_column)
 
 
-def numbered_in_shards(df: DataFrame, shard: str, key: str, order: list, blocks: int = BLOCKS) -> DataFrame:
-    """Adds `slot`: 0, 1, 2 ... within each shard, by sub-block counts and an in-block order."""
-    block = F.pmod(F.xxhash64(F.lit("slot"), F.col(key)), F.lit(blocks)).cast("int")
+def numbered_in_shards(df: DataFrame, shard: str, key: list, order: list, blocks=BLOCKS, bounded: bool = True) -> DataFrame:
+    """Adds `slot`: 0, 1, 2 ... within each shard, by sub-block counts and an in-block order.
+
+    blocks: a number or a column. bounded: shards * blocks does not depend on the data.
+    """
+    block = F.pmod(F.xxhash64(F.lit("slot"), *key), F.lit(blocks) if isinstance(blocks, int) else blocks).cast("int")
     rows = df.withColumn("_block", block)
     counts = rows.groupBy(shard, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    # shards * blocks rows at most: a bound that does not depend on the data
     offsets = counts.select(shard, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy(shard, "_block").orderBy(*order)
     return (
         rows.withColumn("_rank", F.row_number().over(inside) - 1)
-        .join(F.broadcast(offsets), [shard, "_block"])
+        .join(F.broadcast(offsets) if bounded else offsets, [shard, "_block"])
         .withColumn("slot", (F.col("_base") + F.col("_rank")).cast("long"))
         .drop("_block", "_base", "_rank")
     )
@@ -84,7 +86,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
     rows = rows.withColumn("shard", jump_shard("doc_id", shards)).withColumn("grown_shard", jump_shard("doc_id", shards + 1))
-    rows = numbered_in_shards(rows, "shard", "doc_id", ["doc_id", "text_crc32", "size"])
+    rows = numbered_in_shards(rows, "shard", ["doc_id"], ["doc_id", "text_crc32", "size"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
