@@ -69,6 +69,15 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end: int = END, with_id
 def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
     """(lengths of a sequence, how many sequences) for a histogram of lengths.
 
+    Complements of one, up to two and up to three lengths are each tried before the
+    best-fit residual; the plan with the fewest sequences is taken.
+    """
+    return min((_plan(counts, size, terms) for terms in (3, 2, 1)), key=lambda made: sum(m for _, m in made))
+
+
+def _plan(counts: dict[int, int], size: int, most_terms: int) -> list[tuple[list[int], int]]:
+    """One plan, by complements of at most most_terms lengths and best-fit decreasing.
+
     The lengths at hand are kept as the bits of one integer and of its mirror image, so
     that all sums of two with a given total are one shift and one conjunction.
     """
@@ -123,7 +132,7 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]
     if have[size]:
         take([size])
     for length in range(size - 1, 0, -1):
-        for terms, find in enumerate((single, two, three), 1):
+        for terms, find in enumerate((single, two, three)[:most_terms], 1):
             while have[length] and size - length >= terms:
                 change(length, -1)
                 found = find(size - length)
