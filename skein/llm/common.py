@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,7 +67,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Itera
         if not n:
             continue
         if pa.types.is_large_string(col.type) or pa.types.is_string(col.type):
-            lens = pa.compute.binary_length(col).to_numpy(zero_copy_only=False)
+            lens = pc.binary_length(col).to_numpy(zero_copy_only=False)
         else:
             lens = [0] * n
         for i in range(n):

@@ -9,8 +9,8 @@ gives coordinate k. BANDS bands of ROWS coordinates make the candidates (at Jacc
 pair meets in no band with probability below 1e-6). Buckets never emit all pairs:
 (1) each member is checked against one centre of its bucket; (2) the links found give
 components, and only in buckets that still hold several of them are the members outside
-the bucket's largest component compared with the rest, in salted parts, by agreement of
-signatures (a link is missed with probability below 1e-8), and the survivors checked. All
+the bucket's largest component compared with the rest, exactly and in memory, in parts of
+bounded size that emit only links between components, fewer than their members. All
 checks are on the full sets. Pairs inside one component need no check, as they change no
 component.
 
@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +35,8 @@ from skein.llm.graph import components
 WIDTH = 5
 BANDS, ROWS = 24, 5
 THRESHOLD = 85  # hundredths
-#: Signature agreement below which a pair of an unresolved bucket is not checked.
-AGREEMENT = 0.62
-#: Members of an unresolved bucket in one part.
-PART = 4096
+#: Set members (hashes) that a part of an unresolved bucket holds on average.
+PART = 1_000_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True
@@ -125,23 +122,22 @@ def band_keys(sigs: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_id (16-byte hash of the set, null if empty), bands, sig (16 bits a coordinate)."""
+    """doc_id, n_shingles, set_id (16-byte hash of the set, null if empty), bands."""
 
     def run(batches):
         for b in text_slices(batches):
             sets = shingle_sets(b.column(b.schema.get_field_index("text")).to_pylist(), width)
             full = [i for i, s in enumerate(sets) if len(s)]
-            ids, bands, sig = [None] * len(sets), [None] * len(sets), [None] * len(sets)
+            ids, bands = [None] * len(sets), [None] * len(sets)
             if full:
-                sigs = signatures([sets[i] for i in full])
-                for i, k, s in zip(full, band_keys(sigs), sigs.astype(np.uint16)):
-                    ids[i], bands[i], sig[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k, s.tobytes()
+                for i, k in zip(full, band_keys(signatures([sets[i] for i in full]))):
+                    ids[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sig, pa.binary())],
-                ["doc_id", "n_shingles", "set_id", "bands", "sig"],
+                [b.column(b.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "set_id", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -177,10 +173,110 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return joined.select("a", "b", "ma", "mb").mapInArrow(run, "a binary, b binary")
 
 
+def _spanning(batches, threshold: int):
+    """Links that join what a part of a bucket can join; at most one less than its members.
+
+    Rows come sorted by (key, x, y); each such group has a bounded number of set members.
+    """
+    names = ("key", "x", "y", "set_id", "root", "probe", "members")
+    held: list[tuple] = []
+
+    def linked(group: list[tuple]) -> list[tuple[bytes, bytes]]:
+        ids = list(dict.fromkeys(r[3] for r in group))
+        number = {x: i for i, x in enumerate(ids)}
+        data: list = [b""] * len(ids)
+        parent = list(range(len(ids)))
+        probes, targets, root_of = [], [], {}
+
+        def find(i: int) -> int:
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for r in group:
+            i = number[r[3]]
+            data[i] = np.frombuffer(r[6], np.uint64)
+            (probes if r[5] else targets).append(i)
+            parent[find(i)] = find(root_of.setdefault(r[4], i))
+        if len(root_of) < 2 or not probes:
+            return []
+        out = []
+        for i, near in _reaching(data, np.array(probes), np.array(targets), threshold):
+            for j in near.tolist():
+                p, q = find(i), find(j)
+                if p != q:
+                    parent[p] = q
+                    out.append(tuple(sorted((ids[i], ids[j]))))
+        return out
+
+    def shown(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], ["a", "b"])
+
+    for b in batches:
+        pairs = []
+        for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names)):
+            if held and held[0][:3] != row[:3]:
+                pairs += linked(held)
+                held = []
+            held.append(row)
+        yield shown(pairs)
+    yield shown(linked(held) if held else [])
+
+
+def _reaching(data: list[np.ndarray], probes: np.ndarray, targets: np.ndarray, threshold: int):
+    """(probe, targets that reach the threshold with it), exactly.
+
+    Sets are written as their difference from the tokens that most of the group has, so
+    that of two near copies only the few tokens in which they differ are counted.
+    """
+    size = np.array([len(x) for x in data])
+    if len(probes) * len(targets) <= 64:
+        for i in probes.tolist():
+            ok = targets[(100 * np.minimum(size[targets], size[i]) >= threshold * np.maximum(size[targets], size[i])) & (targets != i)]
+            both = np.array([len(np.intersect1d(data[i], data[j], assume_unique=True)) for j in ok.tolist()], np.int64)
+            yield i, ok[100 * both >= threshold * (size[ok] + size[i] - both)]
+        return
+    tokens, code = np.unique(np.concatenate(data), return_inverse=True)
+    owner = np.repeat(np.arange(len(data)), size)
+    count = np.bincount(code)
+    common = np.flatnonzero(2 * count > len(data))
+    number = np.full(len(tokens), -1)
+    number[common] = np.arange(len(common))
+    has = np.zeros((len(data), len(common)), bool)
+    in_common = number[code] >= 0
+    has[owner[in_common], number[code[in_common]]] = True
+    missing = len(common) - has.sum(axis=1)
+    # tokens of the differences: those a member has and most don't, and those it lacks and most have
+    rare = ~in_common & (count[code] > 1)
+    lack_owner, lack_token = np.nonzero(~has)
+    token = np.concatenate((code[rare], len(tokens) + lack_token))
+    member = np.concatenate((owner[rare], lack_owner))
+    order = np.argsort(token, kind="stable")
+    token, member = token[order], member[order]
+    at = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.empty(0, np.int64)
+    ends = np.append(at[1:], len(token))
+    is_target = np.zeros(len(data), bool)
+    is_target[targets] = True
+    first, last = np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
+    for a, z in zip(at.tolist(), ends.tolist()):
+        first[a:z], last[a:z] = a, z
+    by_member = np.argsort(member, kind="stable")
+    begin = np.searchsorted(member[by_member], np.arange(len(data) + 1))
+    for i in probes.tolist():
+        own = by_member[begin[i] : begin[i + 1]]
+        lists = [member[a:z] for a, z in zip(first[own].tolist(), last[own].tolist())]
+        shared = np.bincount(np.concatenate(lists), minlength=len(data)) if lists else np.zeros(len(data), np.int64)
+        both = len(common) - missing[i] - missing + shared
+        ok = is_target & (100 * both >= threshold * (size + size[i] - both))
+        ok[i] = False
+        yield i, np.flatnonzero(ok)
+
+
 def near_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
     base = materialize(sketches(docs, width), "sketches")
-    classes = base.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = base.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     banded = classes.select("set_id", "n", F.explode("bands").alias("key"))
     # the centre is another one in every band, so that no set is the centre of all
@@ -197,30 +293,27 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH)
     placed = crowd.select("key", "set_id").join(roots.withColumnRenamed("node", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("root", "set_id").alias("root"))
     placed = materialize(placed, "placed")
     by_root = placed.groupBy("key", "root").agg(F.count("*").alias("m"))
-    open_keys = by_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("roots")).where("roots > 1")
-    # two members were each checked against the centre; a bucket of two has nothing left
-    open_keys = materialize(open_keys.where("size > 2").select("key", F.col("top.root").alias("top"), F.ceil(F.col("size") / PART).cast("int").alias("parts")), "open")
-    if not open_keys.isEmpty():
-        member = placed.join(open_keys, "key").join(classes.select("set_id", "n", "sig"), "set_id")
-        own = F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int")
-        outside = F.col("root") != F.col("top")
-        targets = member.select("key", own.alias("part"), "set_id", "root", "n", "sig", F.lit(False).alias("probe"))
-        probes = member.where(outside).select("key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "set_id", "root", "n", "sig", F.lit(True).alias("probe"))
-
-        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-            sig = np.frombuffer(b"".join(pdf["sig"]), np.uint16).reshape(len(pdf), -1)
-            n, roots = pdf["n"].to_numpy(), pd.factorize(pdf["root"])[0]
-            ids, probe = pdf["set_id"].to_numpy(), pdf["probe"].to_numpy(bool)
-            t, out = np.flatnonzero(~probe), []
-            for i in np.flatnonzero(probe):
-                ok = t[(roots[t] != roots[i]) & (100 * np.minimum(n[t], n[i]) >= threshold * np.maximum(n[t], n[i]))]
-                ok = ok[(sig[ok] == sig[i]).mean(axis=1) >= AGREEMENT]
-                out += [(*sorted((ids[i], ids[j])), int(n[i]), int(n[j])) for j in ok]
-            return pd.DataFrame(out, columns=["a", "b", "na", "nb"])
-
-        more = targets.unionByName(probes).groupBy("key", "part").applyInPandas(compare, "a binary, b binary, na long, nb long").dropDuplicates(["a", "b"])
-        links = materialize(links.unionByName(verified(more, sets, threshold)), "links-2")
-        roots = materialize(components(links), "roots-2")
+    open_keys = by_root.groupBy("key").agg(F.max(F.struct("m", "root")).alias("top"), F.sum("m").alias("size"), F.count("*").alias("roots")).where("roots > 1 and size > 2")
+    # a bucket of two has nothing left, as both were checked against the centre
+    member = placed.join(open_keys.select("key", F.col("top.root").alias("top")), "key").join(classes.select("set_id", "n"), "set_id")
+    member = materialize(member.select("key", "set_id", "root", "n", (F.col("root") != F.col("top")).alias("outside")), "members")
+    parts = member.groupBy("key").agg(F.ceil(F.sum("n") / PART).cast("int").alias("b"), F.ceil(F.sum(F.when(F.col("outside"), F.col("n"))) / PART).cast("int").alias("a"))
+    member = member.join(parts, "key")
+
+    def part(of: str) -> F.Column:
+        return F.pmod(F.xxhash64("set_id"), F.col(of)).cast("int")
+
+    def every(of: str) -> F.Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+
+    targets = member.select("key", every("a").alias("x"), part("b").alias("y"), "set_id", "root", F.lit(False).alias("probe"))
+    probes = member.where("outside").select("key", part("a").alias("x"), every("b").alias("y"), "set_id", "root", F.lit(True).alias("probe"))
+    held = targets.unionByName(probes).join(sets, "set_id").select("key", "x", "y", "set_id", "root", "probe", "members")
+    held = held.repartition(F.col("key"), F.col("x"), F.col("y")).sortWithinPartitions("key", "x", "y")
+    more = held.mapInArrow(lambda batches: _spanning(batches, threshold), "a binary, b binary")
+    more = materialize(more.distinct(), "links-2")
+    if not more.isEmpty():
+        roots = materialize(components(links.unionByName(more)), "roots-2")
 
     leads = roots.join(classes.select(F.col("set_id").alias("node"), "lead"), "node")
     named = leads.join(leads.groupBy("root").agg(F.min("lead").alias("component_id")), "root").select(F.col("node").alias("set_id"), "component_id")
