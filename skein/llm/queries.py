@@ -10,6 +10,7 @@ QUERIES = {
     "op2_sharding": "sharding",
     "op3_packing": "packing",
     "op4_byte_bpe": "byte_bpe",
+    "op5_suffix_dedup": "suffix_dedup",
     "op7_toxicity": "toxicity",
     "op8_imatch": "imatch",
     "op10_near_dedup": "near_dedup",
