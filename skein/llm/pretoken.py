@@ -216,7 +216,13 @@ class Encoder:
 def rank_encoder(path: str, pattern: str) -> Encoder:
     """Of a tiktoken rank file, as encode_ordinary would."""
     e = rank_encoding(path, pattern)
-    return Encoder(split_byte_level, e.encode_ordinary, lambda ws: [e.encode_ordinary(w) for w in ws])
+    return Encoder(split_byte_level, e.encode_ordinary, lambda ws: [e._encode_single_piece(w.encode()) for w in ws])
+
+
+def _shown_bytes() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in set(shown))}
 
 
 @functools.cache
@@ -234,16 +240,55 @@ def byte_json_encoder(path: str) -> Encoder:
     t = json_tokenizer(path)
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte_of = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in set(shown))}
+    byte_of = _shown_bytes()
     special = {x["content"] for x in spec["added_tokens"]}
     ranks = {bytes(byte_of[c] for c in w): i for w, i in spec["model"]["vocab"].items() if w not in special}
     core = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return Encoder(split_byte_level, lambda x: t.encode(x, add_special_tokens=False).ids, lambda ws: [core.encode_ordinary(w) for w in ws], special="<|")
+    return Encoder(split_byte_level, lambda x: t.encode(x, add_special_tokens=False).ids, lambda ws: [core._encode_single_piece(w.encode()) for w in ws], special="<|")
 
 
 @functools.cache
 def word_json_encoder(path: str) -> Encoder:
-    """Of the lower-casing word vocabulary, as tokenizers would."""
+    """Of the lower-casing word vocabulary, as tokenizers would.
+
+    A distinct pre-token of common bytes is merged by tiktoken: its bytes are renumbered so
+    that a byte at a word's end is another symbol than inside, as the vocabulary has it;
+    the vocabulary's ids are its merge ranks. Others go to the library.
+    """
+    import json
+
+    import tiktoken
+
     t = json_tokenizer(path)
-    return Encoder(split_words, lambda x: t.encode(x, add_special_tokens=False).ids, lambda ws: [e.ids for e in t.encode_batch_fast(ws, add_special_tokens=False)], special="<|", lower=True)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    byte_of, end = _shown_bytes(), spec["model"]["end_of_word_suffix"]
+    common = [*range(33, 65), *range(91, 127), 0xC2, 0xC3, *range(0xA0, 0xC0)]
+    inner, final = bytearray(256), bytearray(256)
+    for i, b in enumerate(common):
+        inner[b], final[b] = i, 128 + i
+    ranks = {}
+    for w, i in spec["model"]["vocab"].items():
+        last = w.endswith(end)
+        raw = bytes(byte_of[c] for c in w.removesuffix(end))
+        if all(b in common for b in raw):
+            ranks[raw[: len(raw) - last].translate(inner) + raw[len(raw) - last :].translate(final)] = i
+    ranks |= {bytes([b]): -1 - b & 0xFFFFFFFF for b in range(256) if bytes([b]) not in ranks}  # never asked for
+    core = tiktoken.Encoding(path, pat_str="", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)
+    rare = bytes(set(range(256)) - set(common))
+
+    def pieces(words: list[str]) -> list[list[int]]:
+        out: list = []
+        odd = []
+        for w in words:
+            raw = w.encode()
+            if len(raw.translate(None, rare)) == len(raw):
+                out.append(core._encode_single_piece(raw[:-1].translate(inner) + raw[-1:].translate(final)))
+            else:
+                odd.append(len(out))
+                out.append(None)
+        for i, e in zip(odd, t.encode_batch_fast([words[i] for i in odd], add_special_tokens=False) if odd else []):
+            out[i] = e.ids
+        return out
+
+    return Encoder(split_words, lambda x: t.encode(x, add_special_tokens=False).ids, pieces, special="<|", lower=True)

@@ -11,8 +11,10 @@ QUERIES = {
     "op3_packing": "packing",
     "op4_byte_bpe": "byte_bpe",
     "op5_suffix_dedup": "suffix_dedup",
+    "op6_pitman_yor": "lm",
     "op7_toxicity": "toxicity",
     "op8_imatch": "imatch",
+    "op9_token_files": "token_files",
     "op10_near_dedup": "near_dedup",
 }
 
