@@ -240,8 +240,8 @@ def _anchor_rows(length: int, k: int, counting: bool):
 
 
 def _texts_of(spans: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
-    """Adds the bytes of each span (rows: key, block, at, n, d, multi)."""
-    wanted = spans.groupBy("block").agg(F.collect_list(F.struct("key", "at", "n", "d", "multi")).alias("spans"))
+    """Adds the bytes of each span (rows: key, block, at, n, d, multi, crowded)."""
+    wanted = spans.groupBy("block").agg(F.collect_list(F.struct("key", "at", "n", "d", "multi", "crowded")).alias("spans"))
 
     def run(batches):
         for b in batches:
@@ -249,11 +249,11 @@ def _texts_of(spans: DataFrame, blocks: DataFrame, length: int) -> DataFrame:
                 x = spans.values
                 at, n = x.field("at").to_numpy(), x.field("n").to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [x.field("key"), pa.array(np.full(len(at), block)), x.field("at"), x.field("n"), x.field("d"), x.field("multi"), pa.array([raw[a : a + m - 1 + length] for a, m in zip(at.tolist(), n.tolist())], pa.binary())],
-                    ["key", "block", "at", "n", "d", "multi", "bytes"],
+                    [x.field("key"), pa.array(np.full(len(at), block)), x.field("at"), x.field("n"), x.field("d"), x.field("multi"), pa.array([raw[a : a + m - 1 + length] for a, m in zip(at.tolist(), n.tolist())], pa.binary()), x.field("crowded")],
+                    ["key", "block", "at", "n", "d", "multi", "bytes", "crowded"],
                 )
 
-    return blocks.join(wanted, "block").mapInArrow(run, SPAN)
+    return blocks.join(wanted, "block").mapInArrow(run, SPAN + ", crowded boolean")
 
 
 SPAN = "key long, block long, at int, n int, d int, multi boolean, bytes binary"
@@ -325,12 +325,11 @@ def repeat_runs(blocks: DataFrame, length: int = LENGTH, k: int = K, crowd: int
     whole = met.join(spans.where("multi").select("h", "span"), ["h", "span"]).select("block", "at", "n")
     # anchors with several distinct spans, one of them at least not known as a repeat
     several = spans.groupBy("h").agg(F.count("*").alias("m"), F.min(F.col("multi").cast("int")).alias("all")).where("m > 1 and all = 0").select("h", "m")
-    edge = spans.join(several, "h").select(F.col("h").alias("key"), "block", "at", "n", "d", "multi", "m")
-    crowded = not edge.where(F.col("m") > crowd).isEmpty()
-    few = materialize(_texts_of(edge.where(F.col("m") <= crowd).drop("m"), blocks, length), "edges")
+    edge = spans.join(several, "h").select(F.col("h").alias("key"), "block", "at", "n", "d", "multi", (F.col("m") > crowd).alias("crowded"))
+    edge = materialize(_texts_of(edge, blocks, length), "edges")  # the texts are met once, for both kinds
+    few, many = edge.where("not crowded").drop("crowded"), edge.where("crowded").drop("crowded")
     runs = local.unionByName(whole).unionByName(_sorted_out(few, length, run_bytes))
-    low, high = 0, length - k
-    todo = [(materialize(_texts_of(edge.where(F.col("m") > crowd).drop("m"), blocks, length), "crowd"), low, high)] if crowded else []
+    todo = [] if many.isEmpty() else [(many, 0, length - k)]
     while todo:
         many, low, high = todo.pop()
         mid = (low + high) // 2
