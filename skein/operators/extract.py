@@ -9,11 +9,15 @@ from skein.functions.jsonpath import json_values
 from skein.schemas import ENTITY_KEYS
 
 
+def _named(name: str):
+    return lambda value: F.struct(F.lit(name).alias("name"), value.alias("value"))
+
+
 def step_keys(rules: dict[str, list[tuple[str, str]]]) -> Column:
     """Array of (name, value) a step yields. rules: tool name to (entity name, JSON path in the payload)."""
     found = F.array().cast(ENTITY_KEYS)
     for tool, paths in rules.items():
-        each = [F.transform(json_values(F.col("content_inline"), path), lambda v, name=name: F.struct(F.lit(name).alias("name"), v.alias("value"))) for name, path in paths]
+        each = [F.transform(json_values(F.col("content_inline"), path), _named(name)) for name, path in paths]
         found = F.when((F.col("tool_name") == tool) & (F.col("kind") == "tool"), F.concat(*each).cast(ENTITY_KEYS)).otherwise(found)
     return F.filter(found, lambda k: k["value"].isNotNull() & (k["value"] != ""))
 

@@ -209,9 +209,10 @@ def _attributes(pairs: Column) -> Column:
     def value(v):
         return F.coalesce(*[F.get_json_object(v, f"$.{k}") for k in ("stringValue", "intValue", "doubleValue", "boolValue", "bytesValue", "arrayValue", "kvlistValue")])
 
-    entries = F.filter(F.transform(pairs, lambda p: F.struct(p["key"], value(p["value"]).alias("value"))), lambda p: p["value"].isNotNull())
+    listed = "array<struct<key:string,value:string>>"
+    entries = F.filter(F.transform(pairs, lambda p: F.struct(p["key"], value(p["value"]))).cast(listed), lambda p: p["value"].isNotNull())
     # the last of equal keys wins
-    return F.aggregate(F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")), F.expr("cast(map() as map<string,string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.create_map(p["key"], p["value"])))
+    return F.aggregate(F.coalesce(entries, F.array().cast(listed)), F.expr("cast(map() as map<string,string>)"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["key"]), F.create_map(p["key"], p["value"])))
 
 
 def otlp_spans(requests: DataFrame, column: str = "value") -> DataFrame:
