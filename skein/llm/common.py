@@ -58,7 +58,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about `most` text bytes (a longer row stays whole)."""
     for b in batches:
         col = b.column(b.schema.get_field_index("text"))

@@ -36,7 +36,7 @@ WIDTH = 5
 BANDS, ROWS = 24, 5
 THRESHOLD = 85  # hundredths
 #: Set members (hashes) that a part of an unresolved bucket holds on average.
-PART = 1_000_000
+PART = 400_000
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, *range(9, 14)]] = True

@@ -31,21 +31,20 @@ def _classes() -> np.ndarray:
     return lut
 
 
-@functools.cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15 | 1
-    inv = pow(base, -1, 1 << 64)
-    a = np.full(n, base, np.uint64)
-    b = np.full(n, inv, np.uint64)
-    a[0] = b[0] = 1
-    return np.cumprod(a, dtype=np.uint64), np.cumprod(b, dtype=np.uint64)
+_tables: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, modulo 2**64."""
-    size = 1 << max(16, int(n).bit_length())
-    a, b = _powers(size)
-    return a[:n], b[:n]
+    """Powers of the hash base and of its inverse, modulo 2**64; a worker keeps the longest tables only."""
+    if not _tables or len(_tables[0]) < n:
+        base = 0x9E3779B97F4A7C15 | 1
+        made = []
+        for x in (base, pow(base, -1, 1 << 64)):
+            t = np.full(max(1 << 16, -(-n // 65536) * 65536), x, np.uint64)
+            t[0] = 1
+            made.append(np.cumprod(t, dtype=np.uint64, out=t))
+        _tables[:] = made
+    return _tables[0][:n], _tables[1][:n]
 
 
 @functools.cache
