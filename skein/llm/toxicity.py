@@ -2,16 +2,17 @@
 
 Terms are runs of ASCII letters and non-ASCII characters, A-Z lower-cased. Training uses labels of
 the training fold only, on a bounded sample: at most EXAMPLES documents of either label,
-those first by a hash of the id. On that sample the terms most associated with the label
-(by the log-likelihood ratio) become the feature space, at most FEATURES terms; their
-document frequencies are counted over all documents. Three quarters of the sample are the
-indexed examples, the rest calibrates.
-
-The index is inverted, with examples in blocks and the largest weight of each term in each
-block. A query takes blocks by descending upper bound and stops once no block can beat its
-K-th best example, which gives the exact K nearest. Their votes, weighted by cosine, are
-turned into a probability by a logistic fit on the calibration part, weighted to the fold's
-true label shares. The ids of the nearest examples are the evidence.
+those first by a hash of the id. The space is all terms of that sample, with document
+frequencies counted over all documents; a query's terms that no sampled text holds have no
+weight, nor a share in its length (which scales its cosines, and leaves their order). Three
+quarters of the sample are the indexed examples, toxic and clean, the rest calibrates.
+
+The index is inverted, with examples in blocks. Terms in few examples have postings, which
+a query adds up in full; terms in many have a row of weights, tiled by block, with the
+largest of each block. A query takes blocks by descending upper bound and stops once no
+block can beat its K-th best example, which gives the exact K nearest. Their votes, weighted
+by cosine, are turned into a probability by a logistic fit on the calibration part, weighted
+to the fold's true label shares. The ids of the nearest examples are the evidence.
 
 Defined cases: null, empty and term-less texts have no neighbours and get the score of such
 texts in calibration; rows without label are scored like all others; repeated label rows
@@ -30,10 +31,9 @@ from skein.llm import pretoken
 from skein.llm.common import documents, text_slices, whole_text
 
 EXAMPLES = 3000  # of either label
-FEATURES = 2048
-#: Least log-likelihood ratio of a feature, and least examples that hold it.
-LEAST_G, LEAST_EXAMPLES = 30.0, 5
 K, BLOCK = 15, 64
+#: Terms that more than this share of the examples hold have rows of weights instead of postings.
+COMMON = 1 / 16
 CUT = 0.7
 FOLDS, HELD_OUT = 3, 1
 
@@ -67,26 +67,6 @@ def known_counts(texts: list[str], features: np.ndarray) -> tuple[np.ndarray, np
     return owner[ok], at[ok], n[ok]
 
 
-def select_features(examples: list[tuple[np.ndarray, int]]) -> np.ndarray:
-    """Sorted hashes of the terms most associated with the label, over (terms, label) examples."""
-    if not examples:
-        return np.empty(0, np.uint64)
-    terms, code = np.unique(np.concatenate([t for t, _ in examples]), return_inverse=True)
-    label = np.repeat([y for _, y in examples], [len(t) for t, _ in examples])
-    n1, n0 = sum(y for _, y in examples), sum(1 - y for _, y in examples)
-    a = np.bincount(code[label == 1], minlength=len(terms)).astype(float)
-    b = np.bincount(code[label == 0], minlength=len(terms)).astype(float)
-
-    def part(x, total, share):
-        return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(total * share, 1e-9)), 0)
-
-    n = n1 + n0
-    g = 2 * (part(a, a + b, n1 / n) + part(b, a + b, n0 / n) + part(n1 - a, n - a - b, n1 / n) + part(n0 - b, n - a - b, n0 / n))
-    ok = np.flatnonzero((g >= LEAST_G) & (a + b >= LEAST_EXAMPLES) & (a * max(n0, 1) > b * max(n1, 1)))
-    best = ok[np.argsort(-g[ok], kind="stable")][:FEATURES]
-    return np.sort(terms[best])
-
-
 class BlockMaxIndex:
     """Exact K nearest by cosine: postings of unit vectors, tiled in blocks with their largest weights."""
 
@@ -95,27 +75,42 @@ class BlockMaxIndex:
         order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, i))
         self.labels, self.ids = labels[order], ids[order]
         self.blocks = -(-len(order) // BLOCK)
-        self.weights = np.zeros((features, self.blocks, BLOCK), np.float32)
-        for place, i in enumerate(order):
-            f, w = vectors[i]
-            self.weights[f, place // BLOCK, place % BLOCK] = w
-        self.most = self.weights.max(axis=2) if len(order) else np.zeros((features, 0), np.float32)
+        f = np.concatenate([vectors[i][0] for i in order]).astype(np.int64) if order else np.empty(0, np.int64)
+        w = np.concatenate([vectors[i][1] for i in order]).astype(np.float32) if order else np.empty(0, np.float32)
+        place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        held = np.bincount(f, minlength=features)
+        common = np.flatnonzero(held > COMMON * len(order))
+        self.row = np.full(features, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        tiled = self.row[f] >= 0
+        self.weights = np.zeros((len(common), self.blocks, BLOCK), np.float32)
+        self.weights[self.row[f[tiled]], place[tiled] // BLOCK, place[tiled] % BLOCK] = w[tiled]
+        self.most = self.weights.max(axis=2) if len(order) else np.zeros((len(common), 0), np.float32)
+        by_term = np.argsort(f[~tiled], kind="stable")
+        self.places, self.posted = place[~tiled][by_term].astype(np.int32), w[~tiled][by_term]
+        self.begin = np.concatenate(([0], np.cumsum(np.where(self.row < 0, held, 0))))
 
     def nearest(self, f: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine; ties by place."""
-        bound = w @ self.most[f]
+        rows = self.row[f]
+        tiled = rows >= 0
+        begin, n = self.begin[f[~tiled]], self.begin[f[~tiled] + 1] - self.begin[f[~tiled]]
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        few = np.bincount(self.places[at], weights=np.repeat(w[~tiled], n) * self.posted[at], minlength=self.blocks * BLOCK).astype(np.float32).reshape(self.blocks, BLOCK)
+        rows, w = rows[tiled], w[tiled]
+        bound = w @ self.most[rows] + few.max(axis=1, initial=0)
         order = np.argsort(-bound, kind="stable")
         places, cosines, at, step = np.empty(0, np.int64), np.empty(0, np.float32), 0, 4
         while at < len(order) and bound[order[at]] > 0:
-            if len(places) == k and bound[order[at]] < cosines[-1] - 1e-6:
+            if len(places) == k and bound[order[at]] < cosines[-1] - 1e-5:
                 break
             take = order[at : at + step]
-            got = np.tensordot(w, self.weights[f][:, take], 1).ravel()
+            got = (np.tensordot(w, self.weights[rows[:, None], take], 1) + few[take]).ravel()
             places = np.concatenate((places, (take[:, None] * BLOCK + np.arange(BLOCK)).ravel()))
             cosines = np.concatenate((cosines, got))
             keep = np.lexsort((places, -cosines))[:k]
             keep = keep[cosines[keep] > 0]
-            places, cosines, at = places[keep], cosines[keep], at + step
+            places, cosines, at, step = places[keep], cosines[keep], at + step, 2 * step
         return places, cosines
 
 
@@ -190,7 +185,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     sample = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(terms, "doc_id long, y int, terms binary, n binary").collect()
     sample = sorted({r["doc_id"]: r for r in sorted(sample, key=lambda r: (r["terms"], r["n"]))}.values(), key=lambda r: r["doc_id"])
     rows = [(r["doc_id"], r["y"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["n"], np.uint32)) for r in sample]
-    features = select_features([(t, y) for _, y, t, _ in rows])
+    features = np.unique(np.concatenate([t for _, _, t, _ in rows])) if rows else np.empty(0, np.uint64)
     idf = inverse_frequencies(docs, features)
 
     def vector(t, n):
@@ -222,13 +217,10 @@ def inverse_frequencies(docs: DataFrame, features: np.ndarray) -> np.ndarray:
         hit = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(df[hit], n))], ["feature", "df"])
 
-    total = docs.select(whole_text().alias("text")).mapInArrow(count, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).collect()  # FEATURES + 1 rows at most
-    df, n = np.zeros(len(features)), 0
-    for r in total:
-        if r["feature"] < 0:
-            n = r["df"]
-        else:
-            df[r["feature"]] = r["df"]
+    total = docs.select(whole_text().alias("text")).mapInArrow(count, "feature long, df long").groupBy("feature").agg(F.sum("df").alias("df")).toArrow()  # a row a feature, and one
+    feature, count_ = total["feature"].to_numpy(), total["df"].to_numpy()
+    df, n = np.zeros(len(features)), int(count_[feature < 0].sum())
+    df[feature[feature >= 0]] = count_[feature >= 0]
     return np.log((1 + n) / (1 + df)) + 1
 
 

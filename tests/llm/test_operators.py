@@ -194,6 +194,34 @@ def test_toxicity(spark):
     assert {r["predicted"] for r in toxicity.score(docs, empty).collect()} == {0}
 
 
+def test_toxicity_space_is_all_terms(spark):
+    """Clean examples stay in the index, and rare and common terms count in every cosine."""
+    rng = random.Random(5)
+    common, rare = [f"the{chr(97 + i)}" for i in range(8)], [f"rare{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(150)]
+    rows = [(i, " ".join(rng.choices(common, k=6) + rng.choices(rare, k=5))) for i in range(240)]
+    label = {i: int(i % 4 == 0) for i, _ in rows}
+    docs = frame(spark, rows)
+    model = toxicity.train(docs, spark.createDataFrame([(i, y) for i, y in label.items()], "doc_id long, toxic int"))
+    fold = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    held = [i for i in fold if (i * 0x9E3779B97F4A7C15 % (1 << 64)) >> 62]
+    assert sorted(model.index.ids.tolist()) == held and model.index.labels.tolist() == [label[i] for i in model.index.ids.tolist()]
+    assert len(model.index.posted) and len(model.index.weights)  # both kinds of terms
+    words, known = {i: t.split() for i, t in rows}, {w for i, t in rows if i in fold for w in t.split()}
+    idf = {w: np.log((1 + len(rows)) / (1 + sum(w in ws for ws in words.values()))) + 1 for w in known}
+
+    def unit(i):
+        v = {w: (1 + np.log(words[i].count(w))) * idf[w] for w in set(words[i]) & known}
+        size = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    vectors = {i: unit(i) for i in words}
+    for i, v in zip(words, model.vectors([t for _, t in rows])):
+        places, cosines = model.index.nearest(*v)
+        truth = {j: sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) for j in held}
+        assert np.allclose(cosines, sorted(truth.values())[::-1][: toxicity.K], atol=1e-5)
+        assert np.allclose(cosines, [truth[j] for j in model.index.ids[places].tolist()], atol=1e-5)
+
+
 def test_token_codec():
     rng = np.random.default_rng(6)
     parts = [rng.zipf(1.3, n) % token_files.ALPHABET for n in (0, 1, 5, 4096, 9000)] + [np.full(5000, 49407), rng.integers(0, token_files.ALPHABET, 6000)]
