@@ -76,7 +76,9 @@ def land(lake: Lake, envelopes, config: Config) -> dict:
     rows = sample.head_sample(envelopes, config.head_rate, config.head_by_source)
     steps = redact.redact_steps(config.redaction, assemble.steps(rows))
     steps, bad = redact.quarantined(steps)
-    episodes = redact.redact_episodes(config.redaction, assemble.episodes(rows)).join(bad.select("episode_id").distinct(), "episode_id", "left_anti")
+    episodes = redact.redact_episodes(config.redaction, assemble.episodes(rows))
+    bad = bad.select("episode_id").unionByName(episodes.where("redaction_failed").select("episode_id"))
+    episodes = episodes.join(bad.distinct(), "episode_id", "left_anti").drop("redactions", "redaction_failed")
     if config.entity_rules:
         episodes = extract.with_entity_keys(episodes, steps, config.entity_rules)
     before = episodes.count()

@@ -140,6 +140,25 @@ def detected(text: str, found: list[tuple[int, int, str]], action: str, key: byt
     return raw.decode(errors="replace"), len(spans)
 
 
+def _ruled(policy: Policy, t: str | None, path: str, flags: int = 0) -> tuple[str | None, dict[str, int]]:
+    """The rules, then the detector, on one value; and {rule: matches}."""
+    counts: dict[str, int] = {}
+    for rule in policy.rules if t is not None else ():
+        if rule.fields and not matches(rule.fields, path):
+            continue
+        if rule.path:
+            t, n = path_action(t, rule, policy.key)
+        else:
+            t, n = re.subn(rule.regex, lambda m, rule=rule: act(rule, m[0], policy.key), t, flags=flags)
+        if n:
+            counts[rule.id] = counts.get(rule.id, 0) + n
+    if policy.detector and t:
+        t, n = detected(t, policy.detector(t), policy.detector_action, policy.key)
+        if n:
+            counts["detector"] = n
+    return t, counts
+
+
 def _python_rules(policy: Policy, path: str):
     """Text to (text, {rule: matches}) for rules that the JVM has no function for."""
 
@@ -150,19 +169,7 @@ def _python_rules(policy: Policy, path: str):
             counts: dict[str, int] = {}
             failed = False
             try:
-                for rule in policy.rules if t is not None else ():
-                    if rule.fields and not matches(rule.fields, path):
-                        continue
-                    if rule.path:
-                        t, n = path_action(t, rule, policy.key)
-                    else:
-                        t, n = re.subn(rule.regex, lambda m, rule=rule: act(rule, m[0], policy.key), t)
-                    if n:
-                        counts[rule.id] = counts.get(rule.id, 0) + n
-                if policy.detector and t:
-                    t, n = detected(t, policy.detector(t), policy.detector_action, policy.key)
-                    if n:
-                        counts["detector"] = n
+                t, counts = _ruled(policy, t, path)
             except Exception:  # whatever fails, the payload must not pass
                 t, failed = None, True
             out.append((t, counts, failed))
@@ -171,10 +178,15 @@ def _python_rules(policy: Policy, path: str):
     return run
 
 
+def _gone(policy: Policy, path: str) -> str | None:
+    """What drops the field whole, if anything."""
+    return "metadata_only" if policy.metadata_only else "explicit:deny" if matches(policy.deny, path) else "default:deny" if policy.default == "deny" and not matches(policy.allow, path) else None
+
+
 def field_columns(policy: Policy, value: Column, path: str) -> tuple[Column, Column, Column]:
     """(redacted value, map of rule to matches, whether it failed) of one field."""
     none = F.expr("cast(map() as map<string,bigint>)")
-    gone = "metadata_only" if policy.metadata_only else "explicit:deny" if matches(policy.deny, path) else "default:deny" if policy.default == "deny" and not matches(policy.allow, path) else None
+    gone = _gone(policy, path)
     if gone:
         return F.lit(None).cast("string"), F.when(value.isNotNull(), F.create_map(F.lit(gone), F.lit(1).cast("long"))).otherwise(none), F.lit(False)
     rules = [r for r in policy.rules if not r.fields or matches(r.fields, path)]
@@ -204,27 +216,32 @@ def redact_steps(policy: Policy, steps: DataFrame) -> DataFrame:
 
 
 def _map_field(policy: Policy, rows: DataFrame, column: str, path: str) -> DataFrame:
-    """Each value of a map is a field of its own: path.<key>; native rules only touch allowed keys."""
-    general = Policy(policy.default, policy.allow, policy.deny, tuple(r for r in policy.rules if not r.path), policy.metadata_only, policy.key)
-    if general.metadata_only or matches(general.deny, path) or (general.default == "deny" and not any(p == path or p.startswith(path + ".") for p in general.allow)):
-        return rows.withColumn(column, F.lit(None).cast("map<string,string>"))
-    keep = F.map_filter(column, lambda k, v: ~k.isin(*[p[len(path) + 1 :] for p in general.deny if p.startswith(path + ".")] or [""]))
-    named = [p[len(path) + 1 :] for p in general.allow if p.startswith(path + ".") and not p.endswith(".*")]
-    if general.default == "deny" and not matches(general.allow, path) and named:
-        keep = F.map_filter(keep, lambda k, v: k.isin(*named))
-    rules = [r for r in general.rules if not r.fields or matches(r.fields, path)]
-
-    def value(k, v):
-        for r in rules:
-            v = regex_action(v, r, policy.key)
-        return v
-
-    done = F.map_filter(F.transform_values(keep, value), lambda k, v: v != "")
-    return rows.withColumn(column, F.when(F.size(done) > 0, done))
+    """Each value of a map is a field of its own, path.<key>, with its part in `redactions` and `redaction_failed`."""
+
+    @F.udf("struct<kept:map<string,string>,entries:array<struct<path:string,rule:string,matches:bigint>>,failed:boolean>")
+    def run(values):
+        kept, entries = {}, []
+        try:
+            for k, v in sorted((values or {}).items()):
+                own = f"{path}.{k}"
+                gone = _gone(policy, own) if v is not None else None
+                # ASCII classes, as the built-ins have
+                v, counts = (None, {gone: 1}) if gone else _ruled(policy, v, own, re.ASCII)
+                entries += [(own, rule, n) for rule, n in counts.items()]
+                if v:
+                    kept[k] = v
+        except Exception:  # whatever fails, no value must pass
+            return None, [], True
+        return kept or None, entries, False
+
+    done = rows.withColumn("_m", run(F.col(column)))
+    return done.withColumns({column: F.col("_m.kept"), "redactions": F.concat("redactions", F.col("_m.entries")), "redaction_failed": F.col("redaction_failed") | F.col("_m.failed")}).drop("_m")
 
 
 def redact_episodes(policy: Policy, episodes: DataFrame) -> DataFrame:
-    return _map_field(policy, episodes, "raw", "episode.raw")
+    """Episodes with a redacted `raw`, `redactions` and `redaction_failed`."""
+    none = F.expr("cast(array() as array<struct<path:string,rule:string,matches:bigint>>)")
+    return _map_field(policy, episodes.withColumns({"redactions": none, "redaction_failed": F.lit(False)}), "raw", "episode.raw")
 
 
 def manifest(policy: Policy, redacted: DataFrame) -> DataFrame:

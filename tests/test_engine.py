@@ -152,6 +152,30 @@ def test_redaction_paths_and_failures(spark):
     assert redact.matches(("steps[*].raw",), "steps[3].raw.a") and not redact.matches(("steps[*].ra",), "steps[3].raw") and redact.matches(("a.*",), "a.b")
 
 
+def test_raw_values_get_the_whole_policy(spark):
+    """Each key of steps[*].raw and of episode.raw goes through deny, allow, fields, path rules and the detector, and is counted."""
+    rules = (redact.Rule("mail", "tokenize", path="$.mail"), redact.Rule("digits", "replace", r"\d+", fields=("steps[*].raw.n", "episode.raw.n")))
+    raw = {"j": '{"mail":"a@b.c"}', "n": "x 12 34", "m": "12", "user.name": "Bob", "free": "é bob", "empty": None}
+    steps = schemas.fitted(spark.createDataFrame([("e", 0, "tool", raw)], "episode_id string, step_idx int, kind string, raw map<string,string>"), "steps")
+    episodes = spark.createDataFrame([("e", raw)], "episode_id string, raw map<string,string>")
+
+    def bob(t):
+        at = t.encode().find(b"bob")
+        return [(at, at + 3, "P")] if at >= 0 else []
+
+    for path, run, rows in (("steps[*].raw", redact.redact_steps, steps), ("episode.raw", redact.redact_episodes, episodes)):
+        policy = redact.Policy(deny=(f"{path}.user",), rules=rules, key=b"k", detector=bob, detector_action="replace")
+        done = run(policy, rows)
+        assert done.first()["raw"] == {"j": '{"mail":"' + redact.token_of(b"k", "a@b.c") + '"}', "n": "x [redacted:digits] [redacted:digits]", "m": "12", "free": "é [redacted:P]"}
+        found = {(r["path"], r["rule"], r["action"], r["matches"]) for r in redact.manifest(policy, done).collect()}
+        assert found == {(f"{path}.j", "mail", "tokenize", 1), (f"{path}.n", "digits", "replace", 2), (f"{path}.user.name", "explicit:deny", "drop", 1), (f"{path}.free", "detector", "replace", 1)}
+        assert run(redact.Policy(deny=(f"{path}.*",)), rows).first()["raw"] is None
+        assert run(redact.Policy("deny", allow=(f"{path}.m",)), rows).first()["raw"] == {"m": "12"}
+        failed = run(redact.Policy(detector=lambda t: 1 / 0, key=b"k"), rows).first()
+        assert failed["raw"] is None and failed["redaction_failed"]
+
+
+
 def test_json_paths():
     doc = '{"a": {"b-c": [1, {"x": "y"}]}, "x": null, "d": 2.0}'
     read = lambda p: jsonpath.read(doc, jsonpath.parse(p))
