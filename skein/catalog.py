@@ -185,6 +185,12 @@ def payload_truncate(spark, d):
     return T.document_steps(spark, d).where(ascii_).select("episode_id", F.sha2(cut.cast("binary"), 256).alias("cut_sha256"))
 
 
+def payload_truncate_all(spark, d):
+    """All documents; SQL has no cut of bytes inside a character, so there is no oracle."""
+    cut = truncated(F.col("content_inline"), 100)
+    return T.document_steps(spark, d).select("episode_id", F.sha2(cut.cast("binary"), 256).alias("cut_sha256"))
+
+
 def partition_values(spark, d):
     docs = T.table(spark, d, "documents")
     value = sanitised(F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("=.."))))
@@ -247,7 +253,7 @@ QUERIES = {
     for f in (
         assemble_sessions, steps_ordered, span_parents, fidelity_flags, asof_join_last_touch, asof_join_all, unattributed_outcomes, outcome_dedup, join_labels, latest_outcome, join_stats, rules_rewards, reward_histogram,
         rescore_skips_scored, latest_reward_per_episode, export_drop_reasons, preference_pairs, preference_drops, trajectories, chat_export, redact_email, redaction_manifest, tokenised_key_join, extract_entity_keys, key_coverage,
-        blob_externalise, blob_dedup, payload_truncate, partition_values, head_sample, tail_sample, dedup_redelivery, late_patches, inspect_by_status, inspect_by_kind, normalise_spans, parse_timestamps,
+        blob_externalise, blob_dedup, payload_truncate, payload_truncate_all, partition_values, head_sample, tail_sample, dedup_redelivery, late_patches, inspect_by_status, inspect_by_kind, normalise_spans, parse_timestamps,
     )
 }
 

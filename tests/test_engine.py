@@ -10,7 +10,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from skein import cli, schemas
+from skein import catalog, cli, schemas
 from skein.functions import cel, hashing, jsonpath, values
 from skein.operators import assemble, conform, inspect, outcome_join, redact, sample, scoring
 from skein.operators.normalise import convention_of, normalise, otlp_spans
@@ -341,3 +341,11 @@ def test_outcome_files(spark, tmp_path):
     (tmp_path / "o.csv").write_text("a,b\n1,2\n")
     with pytest.raises(ValueError):
         wire.read_outcomes(spark, f"{tmp_path}/o.csv")
+
+
+def test_payloads_of_all_documents_are_cut_by_bytes(spark):
+    d = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()
+    got = sorted((r["episode_id"], r["cut_sha256"]) for r in catalog.queries()["payload_truncate_all"](spark, d).collect())
+    want = sorted((f"d{r['doc_id']}", None if r["text"] is None else hashlib.sha256(r["text"].encode()[:100].decode(errors="replace").encode()).hexdigest()) for r in rows)
+    assert got == want and any(not r["text"].encode()[:100].decode(errors="replace").isascii() for r in rows if r["text"])
