@@ -17,9 +17,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one of our own only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine serves a local session, whose executors
+    are threads of it; a cluster without the setting is an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="skein-ckpt-")
@@ -28,6 +34,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of docs has, whatever the case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 

@@ -2,17 +2,22 @@
 
 The snapshot's digests are spread over shards by digest, and each shard carries a static
 binary-fuse filter (three-wise, 16-bit fingerprints). The incoming batch is grouped by
-digest first (map-side partial aggregation, so a hot group costs one row a task); the
-distinct incoming digests are then screened by their shard's filter, and only positives
-meet the snapshot's exact buckets, where the normalised bytes of both sides' rows are
-compared. Negatives never join anything.
+digest first, on its own (map-side partial aggregation, so a hot group costs one row a
+task); its distinct digests are then screened by their shard's filter. Only positives meet
+the snapshot's exact buckets: a positive found there joins its bucket, one that is not (a
+false positive) and all negatives stay groups of the new batch alone.
+
+Byte checks: of every bucket with more than one row, on either side or across, the
+normalised bytes of all rows are compared. Should equal digests have different bytes, these
+rows are grouped by a longer digest of their bytes instead.
 
 Equality: texts equal after deleting the characters of `[\\x20\\x09-\\x0D]`; null counts
 as empty, so null, empty and blank texts form one group. Of a group the row with most code
 points in its original text stays, then the smallest doc_id (a null doc_id after all
 others). Rows that repeat a doc_id with the same text form a group of their own size and
-share the decision. An empty table gives no rows; further columns are ignored by
-`dedup_groups` and kept by `drop_duplicates`.
+share the decision; `drop_duplicates` keeps one of them. Texts of any length are read whole.
+An empty table gives no rows; further columns are ignored by `dedup_groups` and kept by
+`drop_duplicates`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,11 +29,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import documents, materialize
+from skein.llm.common import documents, fresh, materialize
 
 BLANKS = " \t\n\x0b\x0c\r"
 #: Snapshot digests a filter shard holds on average.
 SHARD_KEYS = 16384
+#: Parts in which the rows of one bucket come to its byte check.
+SALTS = 16
 
 
 def normalised(text=None) -> F.Column:
@@ -112,13 +119,14 @@ class BinaryFuse:
         return (self.table[a] ^ self.table[b] ^ self.table[c]) == self._prints(h)
 
 
+def digest(text: F.Column) -> F.Column:
+    """SHA-256 (32 bytes) of a normalised text."""
+    return F.unhex(F.sha2(text.cast("binary"), 256))
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, sha (32 bytes of SHA-256 of the normalised text), n_chars of the original text."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.unhex(F.sha2(normalised().cast("binary"), 256)).alias("sha"),
-        F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_chars"),
-    )
+    """doc_id, sha (of the normalised text), n_chars of the original text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(normalised()).alias("sha"), F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_chars"))
 
 
 def _rank() -> F.Column:
@@ -155,35 +163,49 @@ def screen(snapshot_keys: DataFrame, incoming_keys: DataFrame, shards: int) -> D
     return incoming_keys.select(shard(), "sha").groupBy("shard").cogroup(filters.groupBy("shard")).applyInPandas(probe, "sha binary")
 
 
+def clashes(docs: DataFrame, crowded: DataFrame) -> DataFrame | None:
+    """Of the buckets in `crowded` (sha), those that hold different bytes; None if there are none."""
+    text = docs.select(digest(normalised()).alias("sha"), normalised().alias("bytes"), F.floor(F.rand(7) * SALTS).cast("int").alias("salt"))
+    salted = crowded.select("sha", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    met = text.join(salted, ["sha", "salt"], "left_semi")  # a hot bucket's texts meet it in SALTS places
+    mixed = met.groupBy("sha").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most")).where("least != most").select("sha")
+    mixed = materialize(mixed, "mixed")
+    return None if mixed.isEmpty() else mixed
+
+
 def dedup_groups(incoming: DataFrame, snapshot: DataFrame | None = None) -> DataFrame:
     """One row for each row of both tables: doc_id, keep_id, group_size, kept, text_sha256."""
     new = materialize(digests(incoming), "digests")
-    new_groups = grouped(new)
+    new_groups = materialize(grouped(new), "new-groups")
     if snapshot is None:
-        return _decide(new, new_groups)
+        clash = clashes(incoming, new_groups.where("n > 1").select("sha"))
+        return _decide(new, new_groups) if clash is None else _regrouped(incoming, clash)
     old = materialize(digests(snapshot), "digests")
     old_groups = materialize(grouped(old), "old-groups")
-    new_groups = materialize(new_groups, "new-groups")
     shards = max(1, -(-old_groups.count() // SHARD_KEYS))
     positive = screen(old_groups, new_groups, shards)
     # the exact buckets: only what the filters let through meets the snapshot's groups
-    met = new_groups.join(positive, "sha").select("sha", (-F.col("best.neg")).alias("new_id"))
-    met = met.join(old_groups.select("sha", (-F.col("best.neg")).alias("old_id")), "sha")
-    met = materialize(met, "met")
-
-    def bytes_of(docs: DataFrame, side: str) -> DataFrame:
-        ids = met.select("sha", F.col(side).alias("doc_id"))
-        got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id")
-        got = got.select("sha", normalised().alias(f"{side}_bytes")).where(F.unhex(F.sha2(F.col(f"{side}_bytes").cast("binary"), 256)) == F.col("sha"))
-        return got.dropDuplicates(["sha"])
-
-    both = bytes_of(snapshot, "old_id").join(bytes_of(incoming, "new_id"), "sha")
-    clash = materialize(both.where(F.col("old_id_bytes") != F.col("new_id_bytes")).select("sha"), "clash")
-    if clash.isEmpty():
-        return _decide(old.unionByName(new), grouped(old.unionByName(new)))
-    # equal digests of different bytes (never seen with SHA-256): the new side is its own group
-    apart = new.join(clash.withColumn("x", F.lit(True)), "sha", "left").withColumn("sha", F.when(F.col("x"), F.concat("sha", F.lit(b"\x01"))).otherwise(F.col("sha"))).drop("x")
-    rows = materialize(old.unionByName(apart), "apart")
+    mine = new_groups.join(positive, "sha", "left_semi").select("sha", F.col("n").alias("new_n"), F.col("best").alias("new_best"))
+    met = materialize(mine.join(old_groups, "sha").select("sha", (F.col("n") + F.col("new_n")).alias("n"), F.greatest("best", "new_best").alias("best")), "met")
+    crowded = met.select("sha").unionByName(old_groups.where("n > 1").select("sha")).unionByName(new_groups.where("n > 1").select("sha")).distinct()
+    both = snapshot.select("doc_id", "text").unionByName(incoming.select("doc_id", "text"))
+    clash = clashes(both, crowded)
+    if clash is not None:
+        return _regrouped(both, clash)
+    across = met.select("sha", F.col("n").alias("met_n"), F.col("best").alias("met_best"))
+
+    def settled(groups: DataFrame) -> DataFrame:
+        return groups.join(across, "sha", "left").select("sha", F.coalesce("met_n", "n").alias("n"), F.coalesce("met_best", "best").alias("best"))
+
+    return _decide(old, settled(old_groups)).unionByName(_decide(new, settled(new_groups)))
+
+
+def _regrouped(docs: DataFrame, mixed: DataFrame) -> DataFrame:
+    """All rows grouped anew, those of mixed buckets by a longer digest of their bytes too."""
+    longer = F.unhex(F.sha2(F.concat(F.lit("bytes "), normalised()).cast("binary"), 512))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(normalised()).alias("sha"), F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_chars"), longer.alias("longer"))
+    rows = rows.join(mixed.withColumn("mixed", F.lit(True)), "sha", "left")
+    rows = materialize(rows.select("doc_id", F.when(F.col("mixed"), F.concat("sha", "longer")).otherwise(F.col("sha")).alias("sha"), "n_chars"), "apart")
     return _decide(rows, grouped(rows))
 
 
@@ -204,12 +226,14 @@ def snapshot_split(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with their columns; of rows that repeat doc_id and text, one."""
     old, new = snapshot_split(docs)
-    stay = dedup_groups(new, old).where("kept").select("doc_id", "text_sha256").distinct()
-    rows = docs.withColumn("_sha", F.sha2(normalised().cast("binary"), 256))
-    kept = rows.join(stay, rows["doc_id"].eqNullSafe(stay["doc_id"]) & (rows["_sha"] == stay["text_sha256"]), "left_semi")
-    if not stay.count() == kept.select("doc_id").count():  # rows that repeat doc_id and text: one stays
-        kept = kept.dropDuplicates(["doc_id", "_sha"])
-    return kept.drop("_sha")
+    stay = dedup_groups(new, old).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
+    stay = materialize(stay, "stay")
+    id_, sha = fresh(docs, "id", "sha")
+    rows = docs.withColumns({id_: F.col("doc_id").cast("long"), sha: F.lower(F.hex(digest(normalised())))})
+    kept = rows.join(stay.select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")), F.col(id_).eqNullSafe(F.col("stay_id")) & (F.col(sha) == F.col("stay_sha")), "left_semi")
+    if not stay.where("rows > 1").isEmpty():
+        kept = kept.dropDuplicates([id_, sha])
+    return kept.drop(id_, sha)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
