@@ -4,8 +4,8 @@ Words are `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; a document's set holds
 hashes of its distinct runs of five words (of all words, if there are fewer). Rows with
 equal sets form one class; all later steps see classes.
 
-Signatures: one permutation shuffles the universe, a second one, shifted circularly by k,
-gives coordinate k. BANDS bands of ROWS coordinates make the candidates (at Jaccard 0.85 a
+Signatures: a first permutation shuffles the universe; its places, shifted circularly by a
+k-fold step, go through a second, different permutation, whose least place is coordinate k. BANDS bands of ROWS coordinates make the candidates (at Jaccard 0.85 a
 pair meets in no band with probability below 1e-6). Buckets never emit all pairs:
 (1) each member is checked against one centre of its bucket; (2) the links found give
 components, and only in buckets that still hold several of them are the members outside
@@ -16,7 +16,8 @@ component.
 
 Defined cases: null, empty and blank texts have an empty set, no links and themselves as
 component; a null doc_id never names a component unless all its members are null; repeated
-rows share class and component; an empty table gives no rows; further columns are ignored.
+rows share class and component; texts of any length are read whole; an empty table gives no
+rows; further columns are ignored (`drop_near_duplicates` keeps them, whatever their names).
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import pretoken
-from skein.llm.common import documents, materialize, text_slices, whole_text
+from skein.llm.common import documents, fresh, materialize, text_slices, whole_text
 from skein.llm.graph import components
 
 WIDTH = 5
@@ -84,13 +85,18 @@ def shingle_sets(texts: list[str], width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def _permute(z: np.ndarray, spare: np.ndarray) -> np.ndarray:
-    """A fixed permutation of 32-bit numbers, in place."""
-    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+#: Two permutations of 32-bit numbers: shifts and odd factors of their rounds, and the last shift.
+FIRST, SECOND = ((16, 0x7FEB352D), (15, 0x846CA68B), 16), ((16, 0x21F0AAAD), (15, 0xD35A2D97), 15)
+
+
+def _permute(z: np.ndarray, spare: np.ndarray, by) -> np.ndarray:
+    """One of the permutations, in place."""
+    *rounds, last = by
+    for shift, factor in rounds:
         np.right_shift(z, np.uint32(shift), out=spare)
         np.bitwise_xor(z, spare, out=z)
         np.multiply(z, np.uint32(factor), out=z)
-    np.right_shift(z, np.uint32(16), out=spare)
+    np.right_shift(z, np.uint32(last), out=spare)
     np.bitwise_xor(z, spare, out=z)
     return z
 
@@ -103,12 +109,12 @@ def signatures(sets: list[np.ndarray], size: int = BANDS * ROWS) -> np.ndarray:
         end = begin + max(1, int(np.searchsorted(np.cumsum(lens[begin:]), 60_000)))
         run = np.concatenate(sets[begin:end])
         spare, z = np.empty(len(run), np.uint32), (run >> np.uint64(32)).astype(np.uint32)
-        first = _permute(z ^ run.astype(np.uint32), spare).copy()  # the first permutation
+        first = _permute(z ^ run.astype(np.uint32), spare, FIRST).copy()
         at = np.concatenate(([0], np.cumsum(lens[begin:end])))[:-1]
         z = np.empty_like(first)
         for k in range(size):
             np.add(first, np.uint32((k + 1) * 0x9E3779B1 & 0xFFFFFFFF), out=z)  # the circular shift
-            out[k, begin:end] = np.minimum.reduceat(_permute(z, spare), at)
+            out[k, begin:end] = np.minimum.reduceat(_permute(z, spare, SECOND), at)
         begin = end
     return out.T
 
@@ -122,22 +128,23 @@ def band_keys(sigs: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, set_id (16-byte hash of the set, null if empty), bands."""
+    """doc_id, sha (of the text), n_shingles, set_id (16-byte hash of the set, null if empty), bands."""
 
     def run(batches):
         for b in text_slices(batches):
-            sets = shingle_sets(b.column(b.schema.get_field_index("text")).to_pylist(), width)
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+            sets = shingle_sets(texts, width)
             full = [i for i, s in enumerate(sets) if len(s)]
             ids, bands = [None] * len(sets), [None] * len(sets)
             if full:
                 for i, k in zip(full, band_keys(signatures([sets[i] for i in full]))):
                     ids[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), k
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("doc_id")), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_id", "bands"],
+                [b.column(b.schema.get_field_index("doc_id")), pa.array([hashlib.sha256(t.encode()).digest() for t in texts], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "sha", "n_shingles", "set_id", "bands"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, "doc_id long, sha binary, n_shingles long, set_id binary, bands array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -275,6 +282,11 @@ def _reaching(data: list[np.ndarray], probes: np.ndarray, targets: np.ndarray, t
 
 def near_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept."""
+    return _grouped(docs, threshold, width).select("doc_id", "n_shingles", "component_id", F.col("component_id").eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, threshold: int, width: int) -> DataFrame:
+    """Of every row: doc_id, sha, n_shingles, group (a set of its component; null without words), component_id."""
     base = materialize(sketches(docs, width), "sketches")
     classes = base.where(F.col("set_id").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("lead"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
@@ -316,18 +328,33 @@ def near_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = WIDTH)
         roots = materialize(components(links.unionByName(more)), "roots-2")
 
     leads = roots.join(classes.select(F.col("set_id").alias("node"), "lead"), "node")
-    named = leads.join(leads.groupBy("root").agg(F.min("lead").alias("component_id")), "root").select(F.col("node").alias("set_id"), "component_id")
-    named = classes.select("set_id", "lead").join(named, "set_id", "left").select("set_id", F.coalesce("component_id", "lead").alias("component_id"))
+    named = leads.join(leads.groupBy("root").agg(F.min("lead").alias("component_id")), "root").select(F.col("node").alias("set_id"), "root", "component_id")
+    named = classes.select("set_id", "lead").join(named, "set_id", "left").select("set_id", F.coalesce("root", "set_id").alias("group"), F.coalesce("component_id", "lead").alias("component_id"))
     named = materialize(named, "named")  # so that hot classes are split in the last join
-    return base.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("component_id", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept")
-    )
+    return base.select("doc_id", "sha", "n_shingles", "set_id").join(named, "set_id", "left").select("doc_id", "sha", "n_shingles", "group", F.coalesce("component_id", "doc_id").alias("component_id"))
+
 
+def drop_near_duplicates(docs: DataFrame, threshold: int = 80, width: int = WIDTH) -> DataFrame:
+    """One row of each group, with its columns, and all rows without words.
 
-def drop_near_duplicates(docs: DataFrame, threshold: int = 80) -> DataFrame:
-    """One row of each group, with its columns: that of the smallest doc_id."""
-    stay = near_groups(docs, threshold).where("kept").select("doc_id").distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["doc_id"]), "left_semi")
+    It is that of the smallest doc_id (null last), of several such texts that of the smallest
+    SHA-256, and of rows alike in both any one.
+    """
+    rows = _grouped(docs, threshold, width)
+    stay = rows.where("group is not null").groupBy("group", "doc_id", "sha").agg(F.count("*").alias("rows"))
+    stay = stay.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("sha"), F.col("rows"))).alias("x")).select("x.doc_id", "x.sha", "x.rows")
+    bare = rows.where("group is null").select("doc_id", "sha").distinct().withColumn("rows", F.lit(0).cast("long"))
+    stay = materialize(stay.unionByName(bare), "stay")
+    id_, sha = fresh(docs, "id", "sha")
+    given = docs.withColumns({id_: F.col("doc_id").cast("long"), sha: F.unhex(F.sha2(whole_text().cast("binary"), 256))})
+
+    def met(which: str) -> DataFrame:
+        of = stay.where(which).select(F.col("doc_id").alias("stay_id"), F.col("sha").alias("stay_sha"))
+        return given.join(of, F.col(id_).eqNullSafe(F.col("stay_id")) & (F.col(sha) == F.col("stay_sha")), "left_semi")
+
+    repeated = not stay.where("rows > 1").isEmpty()
+    kept = met("rows < 2").unionByName(met("rows > 1").dropDuplicates([id_, sha])) if repeated else met("true")
+    return kept.drop(id_, sha)
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from skein.llm import blocks as B
 from skein.llm import pretoken
-from skein.llm.common import documents, materialize
+from skein.llm.common import documents, fresh, materialize
 from skein.llm.near_dedup import _mix
 
 LENGTH = 200
@@ -424,14 +424,15 @@ def drop_repeats(docs: DataFrame, length: int = LENGTH, k: int = K, crowd: int =
                     text = raw[base:stop]
                     out.append((doc_id, hashlib.sha256(text).digest(), whole_characters(text, (begin[x:y] - base).tolist(), (end[x:y] - base).tolist())))
             cols = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.string()))], ["_id", "_sha", "_text"])
-
-    cut = _with_runs(docs, length, k, crowd, run_bytes).mapInArrow(run, "_id long, _sha binary, _text string").dropDuplicates(["_id", "_sha"])
-    cut = materialize(cut, "cut")
-    sha = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    joined = docs.withColumn("_own", sha).join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left")
-    text = F.coalesce(F.col("_text"), F.col("text"))
-    cols = [text.alias(c) if c == "text" else F.when(F.col("_text").isNotNull(), F.length(text)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.string()))], ["cut_id", "cut_sha", "cut_text"])
+
+    cut = _with_runs(docs, length, k, crowd, run_bytes).mapInArrow(run, "cut_id long, cut_sha binary, cut_text string").dropDuplicates(["cut_id", "cut_sha"])
+    id_, sha, text = fresh(docs, "cut_id", "cut_sha", "cut_text")
+    cut = materialize(cut, "cut").select(F.col("cut_id").alias(id_), F.col("cut_sha").alias(sha), F.col("cut_text").alias(text))
+    own = F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
+    joined = docs.join(cut, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (own == F.col(sha)), "left")
+    new = F.coalesce(F.col(text), F.col("text"))
+    cols = [new.alias(c) if c == "text" else F.when(F.col(text).isNotNull(), F.length(new)).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return joined.select(*cols)
 
 
