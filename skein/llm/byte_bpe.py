@@ -10,7 +10,8 @@ overlap) is encoded whole instead, which gives the same ids. Decoding concatenat
 bytes of the ids.
 
 Defined cases: null counts as empty; an empty text has no ids; repeated rows give a row
-each; a null doc_id stays null; an empty table gives no rows; further columns are ignored.
+each; a null doc_id stays null; texts of any length are encoded whole, as if in one go; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from skein.llm import pretoken
 from skein.llm.common import documents, materialize, text_slices, whole_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK, OVERLAP = 32768, 1024
+CHUNK, OVERLAP = 8192, 512
 #: A boundary this close to the end of a chunk's window may move when more text follows.
 LOOKAHEAD = 4
 
@@ -76,7 +77,7 @@ SHOWN = {True: "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 st
 
 def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN, chunk: int = CHUNK, overlap: int = OVERLAP, digest: bool = False) -> DataFrame:
     """doc_id and ids (binary, little-endian unsigned 32-bit); with digest the hashes of ids and decoded bytes instead."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
 
     def whole(batches):
         encoder, encoding = _encoder(path, pattern), pretoken.rank_encoding(path, pattern)
@@ -86,7 +87,8 @@ def encode(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN,
             yield _result(encoding, b.column(b.schema.get_field_index("doc_id")).to_pylist(), [flat[x:y] for x, y in zip(at, at[1:])], digest)
 
     short = rows.where(F.length("text") <= chunk).mapInArrow(whole, SHOWN[digest])
-    long = rows.where(F.length("text") > chunk)
+    # their numbers are written down with them, so that all later passes read the same
+    long = materialize(rows.where(F.length("text") > chunk).withColumn("rid", F.monotonically_increasing_id()), "long")
 
     def cut(batches):
         for b in text_slices(batches):
