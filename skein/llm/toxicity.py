@@ -2,22 +2,30 @@
 
 Terms are runs of ASCII letters and non-ASCII characters, A-Z lower-cased. Training uses labels of
 the training fold only, on a bounded sample: at most EXAMPLES documents of either label,
-those first by a hash of the id. The space is all terms of that sample, with document
-frequencies counted over all documents; a query's terms that no sampled text holds have no
-weight, nor a share in its length (which scales its cosines, and leaves their order). Three
+those first by a hash of the id. The space is all terms of that sample, none left out. Three
 quarters of the sample are the indexed examples, toxic and clean, the rest calibrates.
 
+A term weighs (1 + log of its count) * IDF * relevance. IDF counts all documents. Relevance
+is the Robertson-Sparck Jones weight of the term for the label, from the indexed examples and
+drawn towards 0 by PRIOR examples of the average kind; its size counts, whichever label it
+speaks for, and FLOOR is added so that every term weighs something. (With the plain TF-IDF
+cosine the invented rare words, whose IDF is the highest, decide who is near whom.) A query's
+terms that no sampled text holds have no weight, nor a share in its length.
+
 The index is inverted, with examples in blocks. Terms in few examples have postings, which
-a query adds up in full; terms in many have a row of weights, tiled by block, with the
-largest of each block. A query takes blocks by descending upper bound and stops once no
-block can beat its K-th best example, which gives the exact K nearest. Their votes, weighted
-by cosine, are turned into a probability by a logistic fit on the calibration part, weighted
-to the fold's true label shares. The ids of the nearest examples are the evidence.
+a query adds up in full; terms in many have a row of weights, with the largest of each
+block. Queries go in batches: each takes its block of the highest upper bound, then those
+whose bounds reach its K-th best cosine so far, which gives the exact K nearest; blocks that
+cannot hold one are skipped. Cosines are compared in steps of 2 ** -20, ties go to the smaller
+place. The votes of the nearest, weighted by cosine, are turned into a probability by a
+logistic fit on the calibration part, weighted to the fold's true label shares. The ids of
+the nearest examples are the evidence.
 
 Defined cases: null, empty and term-less texts have no neighbours and get the score of such
 texts in calibration; rows without label are scored like all others; repeated label rows
-count once (the larger label wins); without training labels every score is 0; an empty
-table gives no rows; further columns are ignored.
+count once (the larger label wins); without training labels every score is 0; texts of any
+length are read whole; an empty table gives no rows; further columns are ignored by `score`
+and kept by `drop_toxic`.
 """
 
 from __future__ import annotations
@@ -34,6 +42,10 @@ EXAMPLES = 3000  # of either label
 K, BLOCK = 15, 64
 #: Terms that more than this share of the examples hold have rows of weights instead of postings.
 COMMON = 1 / 16
+#: Examples of the average kind in a term's relevance, and what every term's relevance has at least.
+PRIOR, FLOOR = 4.0, 0.01
+#: Queries that are looked up together.
+BATCH = 256
 CUT = 0.7
 FOLDS, HELD_OUT = 3, 1
 
@@ -67,81 +79,126 @@ def known_counts(texts: list[str], features: np.ndarray) -> tuple[np.ndarray, np
     return owner[ok], at[ok], n[ok]
 
 
+class Vectors:
+    """Sparse unit vectors: row i has features f[begin[i]:begin[i + 1]] (rising) with weights w."""
+
+    def __init__(self, begin: np.ndarray, f: np.ndarray, w: np.ndarray):
+        self.begin, self.f, self.w = begin, f, w
+
+    def __len__(self) -> int:
+        return len(self.begin) - 1
+
+    @classmethod
+    def unit(cls, owner: np.ndarray, feature: np.ndarray, n: np.ndarray, rows: int, weight: np.ndarray) -> Vectors:
+        """Of term counts (sorted by owner)."""
+        begin = np.searchsorted(owner, np.arange(rows + 1))
+        w = (1 + np.log(n)) * weight[feature] if len(n) else np.empty(0)
+        size = np.sqrt(np.bincount(owner, weights=w * w, minlength=rows))
+        return cls(begin, feature, (w / size[owner]).astype(np.float32))
+
+    def take(self, rows: np.ndarray) -> Vectors:
+        n = self.begin[rows + 1] - self.begin[rows]
+        ends = np.cumsum(n)
+        at = np.arange(int(n.sum())) + np.repeat(self.begin[rows] - (ends - n), n)
+        return Vectors(np.concatenate(([0], ends)), self.f[at], self.w[at])
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.begin))
+
+
 class BlockMaxIndex:
-    """Exact K nearest by cosine: postings of unit vectors, tiled in blocks with their largest weights."""
+    """Exact K nearest by cosine: postings and rows of weights, in blocks with their largest weights."""
 
-    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, features: int):
-        """vectors: (feature numbers, unit weights); examples with alike leading terms are neighbours in the index."""
-        order = sorted(range(len(vectors)), key=lambda i: (int(vectors[i][0][np.argmax(vectors[i][1])]) if len(vectors[i][0]) else -1, i))
+    def __init__(self, vectors: Vectors, labels: np.ndarray, ids: np.ndarray, features: int):
+        """Examples with alike leading terms are neighbours in the index."""
+        lead = np.array([int(vectors.f[a + np.argmax(vectors.w[a:z])]) if z > a else -1 for a, z in zip(vectors.begin.tolist(), vectors.begin[1:].tolist())], np.int64)
+        order = np.argsort(lead, kind="stable")
+        vectors = vectors.take(order)
         self.labels, self.ids = labels[order], ids[order]
         self.blocks = -(-len(order) // BLOCK)
-        f = np.concatenate([vectors[i][0] for i in order]).astype(np.int64) if order else np.empty(0, np.int64)
-        w = np.concatenate([vectors[i][1] for i in order]).astype(np.float32) if order else np.empty(0, np.float32)
-        place = np.repeat(np.arange(len(order)), [len(vectors[i][0]) for i in order])
+        f, w, place = vectors.f, vectors.w, vectors.owner()
         held = np.bincount(f, minlength=features)
         common = np.flatnonzero(held > COMMON * len(order))
         self.row = np.full(features, -1, np.int32)
         self.row[common] = np.arange(len(common))
         tiled = self.row[f] >= 0
-        self.weights = np.zeros((len(common), self.blocks, BLOCK), np.float32)
-        self.weights[self.row[f[tiled]], place[tiled] // BLOCK, place[tiled] % BLOCK] = w[tiled]
-        self.most = self.weights.max(axis=2) if len(order) else np.zeros((len(common), 0), np.float32)
+        self.weights = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        self.weights[self.row[f[tiled]], place[tiled]] = w[tiled]
+        self.most = self.weights.reshape(len(common), self.blocks, BLOCK).max(axis=2) if len(order) else np.zeros((len(common), 0), np.float32)
         by_term = np.argsort(f[~tiled], kind="stable")
         self.places, self.posted = place[~tiled][by_term].astype(np.int32), w[~tiled][by_term]
         self.begin = np.concatenate(([0], np.cumsum(np.where(self.row < 0, held, 0))))
 
-    def nearest(self, f: np.ndarray, w: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a positive cosine; ties by place."""
-        rows = self.row[f]
-        tiled = rows >= 0
-        begin, n = self.begin[f[~tiled]], self.begin[f[~tiled] + 1] - self.begin[f[~tiled]]
-        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        few = np.bincount(self.places[at], weights=np.repeat(w[~tiled], n) * self.posted[at], minlength=self.blocks * BLOCK).astype(np.float32).reshape(self.blocks, BLOCK)
-        rows, w = rows[tiled], w[tiled]
-        bound = w @ self.most[rows] + few.max(axis=1, initial=0)
-        order = np.argsort(-bound, kind="stable")
-        places, cosines, at, step = np.empty(0, np.int64), np.empty(0, np.float32), 0, 4
-        while at < len(order) and bound[order[at]] > 0:
-            if len(places) == k and bound[order[at]] < cosines[-1] - 1e-5:
-                break
-            take = order[at : at + step]
-            got = (np.tensordot(w, self.weights[rows[:, None], take], 1) + few[take]).ravel()
-            places = np.concatenate((places, (take[:, None] * BLOCK + np.arange(BLOCK)).ravel()))
-            cosines = np.concatenate((cosines, got))
-            keep = np.lexsort((places, -cosines))[:k]
-            keep = keep[cosines[keep] > 0]
-            places, cosines, at, step = places[keep], cosines[keep], at + step, 2 * step
+    def nearest(self, q: Vectors, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines (a row of k a query, best first) of the nearest examples; a cosine of 0 marks an empty place."""
+        size = self.blocks * BLOCK
+        places, cosines = np.zeros((len(q), k), np.int64), np.zeros((len(q), k))
+        for a in range(0, len(q) if size else 0, BATCH):
+            rows = np.arange(a, min(len(q), a + BATCH))
+            places[rows], cosines[rows] = self._nearest(q.take(rows), min(k, size), k)
+        return places, cosines
+
+    def _nearest(self, q: Vectors, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        n, size, owner = len(q), self.blocks * BLOCK, q.owner()
+        row = self.row[q.f]
+        tiled = row >= 0
+        dense = np.zeros((n, len(self.weights)), np.float32)
+        dense[owner[tiled], row[tiled]] = q.w[tiled]
+        f, w, own = q.f[~tiled], q.w[~tiled], owner[~tiled]
+        begin = self.begin[f]
+        m = self.begin[f + 1] - begin
+        at = np.repeat(begin - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        cosine = np.bincount(np.repeat(own * size, m) + self.places[at], weights=np.repeat(w, m) * self.posted[at], minlength=n * size).astype(np.float32).reshape(n, size)
+        bound = dense @ self.most + cosine.reshape(n, self.blocks, BLOCK).max(axis=2)
+        done = np.zeros((n, self.blocks), bool)
+
+        def evaluate(wanted: np.ndarray) -> None:
+            for b in np.flatnonzero(wanted.any(axis=0)).tolist():
+                rows, part = np.flatnonzero(wanted[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+                cosine[rows, part] += dense[rows] @ self.weights[:, part]
+            done[wanted] = True
+
+        def kth() -> np.ndarray:
+            held = np.where(np.repeat(done, BLOCK, axis=1), cosine, 0)
+            return np.partition(held, size - k, axis=1)[:, size - k]
+
+        first = np.zeros((n, self.blocks), bool)
+        first[np.arange(n), bound.argmax(axis=1)] = True
+        evaluate(first & (bound > 0))
+        evaluate(~done & (bound > 0) & (bound >= (kth() - 1e-5)[:, None]))
+        steps = np.round(np.where(np.repeat(done, BLOCK, axis=1), cosine, 0) * (1 << 20)).astype(np.int64)
+        key = steps * size + np.arange(size - 1, -1, -1)
+        best = -np.sort(-np.partition(key, size - k, axis=1)[:, size - k :], axis=1)
+        places, cosines = np.zeros((n, width), np.int64), np.zeros((n, width))
+        places[:, :k], cosines[:, :k] = size - 1 - best % size, best // size / (1 << 20)
         return places, cosines
 
 
 class Model:
-    def __init__(self, features: np.ndarray, idf: np.ndarray, index: BlockMaxIndex):
-        self.features, self.idf, self.index, self.line = features, idf, index, (0.0, -20.0)
+    def __init__(self, features: np.ndarray, weight: np.ndarray, index: BlockMaxIndex):
+        self.features, self.weight, self.index, self.line = features, weight, index, (0.0, -20.0)
 
-    def vectors(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        return unit_vectors(*known_counts(texts, self.features), len(texts), self.idf)
+    def vectors(self, texts: list[str]) -> Vectors:
+        return Vectors.unit(*known_counts(texts, self.features), len(texts), self.weight)
 
-    def vote(self, vector) -> tuple[float, np.ndarray]:
-        if not len(vector[0]):
-            return 0.0, np.empty(0, np.int64)
-        places, cosines = self.index.nearest(*vector)
-        total = float(cosines.sum())
+    def votes(self, vectors: Vectors) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Vote for the label of each vector, and its neighbours' places and cosines."""
+        places, cosines = self.index.nearest(vectors)
+        toxic = self.index.labels[places] if len(self.index.labels) else np.zeros_like(places)
         # half a vote for "clean" keeps a lone weak neighbour from deciding
-        return (float(cosines @ self.index.labels[places]) / (total + 0.5) if total else 0.0), self.index.ids[places]
+        return (cosines * toxic).sum(axis=1) / (cosines.sum(axis=1) + 0.5), places, cosines
 
     def score(self, votes: np.ndarray) -> np.ndarray:
         a, b = self.line
         return 1 / (1 + np.exp(-(a * votes + b)))
 
 
-def unit_vectors(owner, feature, n, texts: int, idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    w = ((1 + np.log(n)) * idf[feature]).astype(np.float64) if len(n) else np.empty(0)
-    begin = np.searchsorted(owner, np.arange(texts + 1))
-    out = []
-    for a, b in zip(begin.tolist(), begin[1:].tolist()):
-        x = w[a:b]
-        out.append((feature[a:b], (x / np.sqrt(x @ x)).astype(np.float32) if b > a else x.astype(np.float32)))
-    return out
+def relevance(f: np.ndarray, labels: np.ndarray, share: float, features: int) -> np.ndarray:
+    """Size of the drawn-in Robertson-Sparck Jones weight of each feature: f and labels are the examples' terms and labels, share that of label 1."""
+    share = float(np.clip(share, 1e-9, 1 - 1e-9))
+    one = np.bincount(f, weights=labels, minlength=features)
+    zero = np.bincount(f, weights=1 - labels, minlength=features)
+    return np.abs(np.log((one + PRIOR * share) / share) - np.log((zero + PRIOR * (1 - share)) / (1 - share))) + FLOOR
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -187,22 +244,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
     rows = [(r["doc_id"], r["y"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["n"], np.uint32)) for r in sample]
     features = np.unique(np.concatenate([t for _, _, t, _ in rows])) if rows else np.empty(0, np.uint64)
     idf = inverse_frequencies(docs, features)
-
-    def vector(t, n):
-        at = np.minimum(np.searchsorted(features, t), max(0, len(features) - 1))
-        ok = features[at] == t if len(features) else np.zeros(len(t), bool)
-        return unit_vectors(np.zeros(int(ok.sum()), np.int64), at[ok], n[ok], 1, idf)[0]
-
-    side = np.array([(d * 0x9E3779B97F4A7C15 % (1 << 64)) >> 62 for d, *_ in rows], np.int64)  # 0 calibrates
-    vectors, y, ids = [vector(t, n) for _, _, t, n in rows], np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64)
-    use = np.flatnonzero((side != 0) & np.array([len(v[0]) > 0 for v in vectors], bool)) if rows else np.empty(0, np.int64)
-    model = Model(features, idf, BlockMaxIndex([vectors[i] for i in use], y[use], ids[use], len(features)))
-    check = np.flatnonzero(side == 0) if rows else np.empty(0, np.int64)
+    y, ids = np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64)
+    owner = np.repeat(np.arange(len(rows)), [len(t) for _, _, t, _ in rows])
+    f = np.searchsorted(features, np.concatenate([np.empty(0, np.uint64), *(t for _, _, t, _ in rows)]))
+    n = np.concatenate([np.empty(0, np.uint32), *(n for *_, n in rows)])
+    calibrates = np.array([(d * 0x9E3779B97F4A7C15 % (1 << 64)) >> 62 == 0 for d in ids.tolist()], bool)
+    indexed = ~calibrates & (np.bincount(owner, minlength=len(rows)) > 0)
+    given = indexed[owner]
+    weight = idf * relevance(f[given], y[owner[given]], y[indexed].mean() if indexed.any() else 0.5, len(features))
+    vectors = Vectors.unit(owner, f, n, len(rows), weight)
+    use, check = np.flatnonzero(indexed), np.flatnonzero(calibrates)
+    model = Model(features, weight, BlockMaxIndex(vectors.take(use), y[use], ids[use], len(features)))
     if len(check) and len(use):
-        votes = np.array([model.vote(vectors[i])[0] for i in check])
-        taken = {c: max(1, int((y == c).sum())) for c in (0, 1)}
-        weight = np.array([shares.get(int(c), 0) / taken[int(c)] for c in y[check]], float)
-        model.line = logistic(votes, y[check].astype(float), weight / weight.mean())
+        votes = model.votes(vectors.take(check))[0]
+        taken = {c: max(1, int((y[check] == c).sum())) for c in (0, 1)}
+        shown = np.array([shares.get(int(c), 0) / taken[int(c)] for c in y[check]], float)
+        model.line = logistic(votes, y[check].astype(float), shown / shown.mean())
     return model
 
 
@@ -231,10 +288,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = given.value
         for b in text_slices(batches):
-            got = [m.vote(v) for v in m.vectors(b.column(b.schema.get_field_index("text")).to_pylist())]
-            scores = m.score(np.array([v for v, _ in got], np.float64))
+            votes, places, cosines = m.votes(m.vectors(b.column(b.schema.get_field_index("text")).to_pylist()))
+            scores = m.score(votes)
+            near = cosines > 0
+            evidence = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(near.sum(axis=1)))).astype(np.int32), pa.array(m.index.ids[places[near]], pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(b.schema.get_field_index("doc_id")), pa.array(scores, pa.float64()), pa.array((scores >= CUT).astype(np.int32)), pa.array([e.tolist() for _, e in got], pa.list_(pa.int64()))],
+                [b.column(b.schema.get_field_index("doc_id")), pa.array(scores, pa.float64()), pa.array((scores >= CUT).astype(np.int32)), evidence],
                 ["doc_id", "score", "predicted", "evidence"],
             )
 
@@ -251,8 +310,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         m = given.value
         for b in text_slices(batches):
             texts = [t or "" for t in b.column(b.schema.get_field_index("text")).to_pylist()]
-            ok = m.score(np.array([m.vote(v)[0] for v in m.vectors(texts)], np.float64)) < CUT
-            yield b.filter(pa.array(ok))
+            yield b.filter(pa.array(m.score(m.votes(m.vectors(texts))[0]) < CUT))
 
     return docs.mapInArrow(run, docs.schema)
 
