@@ -2,313 +2,96 @@
 
 A segment is the unit of storage (one binary value a row of a Parquet table, as only Spark's
 writers reach every store): whole documents in order, cut into blocks of BLOCK ids that are
-coded independently of each other. Its layout, little-endian:
+coded independently of each other by `id_coder`. Its layout, little-endian:
 
-    magic "STK1", then uint32 documents, blocks, block size, alphabet, and uint64 ids
-    int64 document ids (with a bit map of null ones before), uint32 ids of each document
+    magic "STK2", then uint32 documents, blocks, bytes of the tables, CRC-32 of the next three parts, and uint64 ids
+    bit map of null document ids, int64 document ids, uint32 ids of each document
+    the order-0 tables of the segment's blocks
     for each block: uint32 ids, uint32 16-bit words, uint32 CRC-32 of the ids, uint32 CRC-32 of the words
     the words of all blocks
 
-A block's coder starts anew. Three predictors meet at each id: the id that last followed
-the two ids before (order 2), the id that last followed the one before (order 1), and
-counts of the block's ids so far, in groups of neighbouring ids, over a fixed prior by rank (order 0). Orders 2 and 1 get a
-share of the range according to how often predictions of the same standing (hits in a row
-of either, and whether they agree) have come true in the block; what is left is dealt by
-order 0. Shares adapt after each id, order-0 counts every REFRESH ids. Ids are coded by a
-range coder with 48-bit ranges. Blocks are independent, so numpy works on hundreds of them
-at a time, an id of each a step.
+Every block starts from the segment's tables and nothing else, so that a damaged block is
+told by its checksums and leaves the others readable.
 
 Defined cases: null text counts as empty, and an empty text has only the end id; repeated
-rows are stored one by one; a null doc_id comes first; an empty table gives no segments; further columns
-are ignored. A wrong checksum raises ValueError.
+rows are stored one by one; a null doc_id comes first; a document is never split, however
+long; an empty table gives no segments; further columns are ignored. A wrong checksum
+raises ValueError.
 """
 
 from __future__ import annotations
 
-import functools
 import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm import pretoken
+from skein.llm import id_coder, pretoken
 from skein.llm.common import documents, materialize, text_slices, whole_text
 
-VOCABULARY, END, ALPHABET = "word_bpe_49k.json", 2, 49408
-BLOCK, REFRESH = 4096, 1024
+VOCABULARY, END = "word_bpe_49k.json", 2
+BLOCK = 4096
 #: Ids of a segment before it is closed (a document is never split), and blocks coded together.
-SEGMENT, LANES = 1 << 18, 1536
-MAGIC = b"STK1"
-BITS = 26
-TOTAL = 1 << BITS
-#: Ids of a group; order 0 counts groups, as neighbours in rank are about as frequent.
-GROUP_BITS = 6
-#: Order 0 keeps this part of the range at least, and gives each group FLOOR of TOTAL at least, so that no id's part is empty.
-LEAST_ROOM, FLOOR = TOTAL >> 6, 64 << GROUP_BITS
-#: Slots of the tables of orders 1 and 2; fineness of the index into the order-0 table.
-SLOTS, COARSE = 4096, 16
-#: Weight of an id seen in the block against the prior.
-SEEN = 200
-
-
-@functools.cache
-def _prior(groups: int) -> np.ndarray:
-    """Prior frequencies of groups: those of small ids (early merges) are the likelier."""
-    w = 1 / (np.arange(groups) + 4.0)
-    return np.maximum(1, w / w.sum() * (1 << 19)).astype(np.uint32)
-
-
-class _Model:
-    """The state of `lanes` coders side by side."""
-
-    def __init__(self, lanes: int, alphabet: int):
-        self.lanes, self.alphabet, self.row = lanes, alphabet, np.arange(lanes)
-        self.groups = groups = -(-alphabet >> GROUP_BITS) if alphabet & 63 == 0 else (alphabet >> GROUP_BITS) + 1
-        self.counts = np.zeros(lanes * groups, np.uint32)
-        # last follower << 2 | hits in a row, by slot
-        self.after1, self.after2 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
-        # of each standing: came true by order 2, by order 1, by neither
-        self.true = np.tile(np.array([8, 4, 20], np.int64), lanes * 32)
-        self.before, self.before2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.at_group, self.at_cum, self.at_slot, self.at_standing = self.row * groups, self.row * (groups + 1), self.row * SLOTS, self.row * 32
-        self.steps = 0
-        self._refresh()
-
-    def _refresh(self) -> None:
-        f = _prior(self.groups) + self.counts.reshape(self.lanes, -1) * np.uint32(SEEN)
-        c = np.cumsum(f, axis=1, dtype=np.int64)
-        cum = np.zeros((self.lanes, self.groups + 1), np.int64)
-        cum[:, 1:] = c * (TOTAL - FLOOR * self.groups) // c[:, -1:] + np.arange(FLOOR, FLOOR * self.groups + 1, FLOOR)
-        self.cum = cum.ravel()
-        asked = np.arange(0, TOTAL, 1 << COARSE)
-        ends = np.searchsorted((cum[:, :-1] + self.row[:, None] * TOTAL).ravel(), (asked + self.row[:, None] * TOTAL).ravel(), side="right") - 1
-        coarse = np.full((self.lanes, len(asked) + 1), self.groups - 1)
-        coarse[:, :-1] = ends.reshape(self.lanes, -1) - self.at_group[:, None]
-        self.coarse, self.at_coarse = coarse.ravel(), self.row * coarse.shape[1]
-        self.most = int((coarse[:, 1:] - coarse[:, :-1]).max()).bit_length()
-
-    def predict(self):
-        """Predicted ids of orders 2 and 1, and their shares of the range (of TOTAL)."""
-        mixed = self.before * 0x85EBCA6B
-        self.slot1 = self.at_slot + ((mixed >> 15) & (SLOTS - 1))
-        self.slot2 = self.at_slot + (((self.before2 * 0x9E3779B1 + mixed) >> 14) & (SLOTS - 1))
-        x1, x2 = self.after1.take(self.slot1), self.after2.take(self.slot2)
-        p1, p2, h1, h2 = x1 >> 2, x2 >> 2, x1 & 3, x2 & 3
-        agree = p1 == p2
-        self.seen1, self.seen2 = (p1, h1), (p2, h2)
-        self.standing = (self.at_standing + ((h2 << 3) | (h1 << 1) | agree)) * 3
-        t2, t1, t0 = self.true.take(self.standing), self.true.take(self.standing + 1), self.true.take(self.standing + 2)
-        each = (TOTAL - LEAST_ROOM) // (t2 + t1 + t0)
-        share2 = t2 * each * (h2 > 0)
-        share1 = t1 * each * ((h1 > 0) & (~agree | (h2 == 0)))
-        return p2, p1, share2, share1
-
-    def update(self, symbol: np.ndarray, by2: np.ndarray, by1: np.ndarray) -> None:
-        at = self.standing + np.where(by2, 0, 2 - by1)
-        grown = self.true.take(at) + 16
-        self.true[at] = grown
-        if int(grown.max()) > 4096:
-            old = self.standing[grown > 4096]
-            for i in range(3):
-                self.true[old + i] = (self.true[old + i] >> 1) + 1
-        coded = (symbol << 2).astype(np.int32)
-        for after, slot, (p, h) in ((self.after1, self.slot1, self.seen1), (self.after2, self.slot2, self.seen2)):
-            after[slot] = coded | np.where(p == symbol, np.minimum(h + 1, 3), 1)
-        self.counts[self.at_group + (symbol >> GROUP_BITS)] += np.uint32(1)
-        self.before2, self.before = self.before, symbol
-        self.steps += 1
-        if self.steps % REFRESH == 0:
-            self._refresh()
-
-    def order0(self, symbol: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bound of the ids within `room`."""
-        at = self.at_cum + (symbol >> GROUP_BITS)
-        base = self.cum.take(at)
-        wide = self.cum.take(at + 1) - base
-        lo = (symbol & ((1 << GROUP_BITS) - 1)) * wide
-        return ((base + (lo >> GROUP_BITS)) * room) >> BITS, ((base + ((lo + wide) >> GROUP_BITS)) * room) >> BITS
-
-    def order0_find(self, slot: np.ndarray, room: np.ndarray) -> np.ndarray:
-        """The ids whose bounds within `room` hold `slot`."""
-        # the largest value v with (v * room) >> BITS <= slot
-        value = np.minimum((((slot + 1) << BITS) - 1) // room, TOTAL - 1)
-        at = self.at_coarse + (value >> COARSE)
-        lo, hi = self.coarse.take(at), self.coarse.take(at + 1)
-        for _ in range(self.most):
-            mid = (lo + hi + 1) >> 1
-            ok = self.cum.take(self.at_cum + mid) <= value
-            lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid - 1)
-        at = self.at_cum + lo
-        base = self.cum.take(at)
-        inside = (((value - base + 1) << GROUP_BITS) - 1) // (self.cum.take(at + 1) - base)
-        return np.minimum((lo << GROUP_BITS) + inside, self.alphabet - 1)
-
-
-_LOW = np.uint64((1 << 32) - 1)
-_LEAST, _SHIFT, _BITS, _HALF = np.uint64(1 << 32), np.uint64(16), np.uint64(BITS), np.uint64(32)
-
-
-def encode_blocks(ids: np.ndarray, sizes: np.ndarray, alphabet: int = ALPHABET) -> list[np.ndarray]:
-    """Words of each block; ids holds a block a row, padded to the longest."""
-    order = np.argsort(-sizes, kind="stable")
-    ids, n = ids[order].astype(np.int64), sizes[order]
-    lanes = len(n)
-    model = _Model(lanes, alphabet)
-    low, wide = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
-    words = np.zeros((lanes, ids.shape[1] * 2 + 4), np.uint32)  # with a carry above 16 bits
-    flat, at = words.reshape(-1), np.arange(lanes) * words.shape[1]
-    begin = at.copy()
-    for t in range(int(n[0]) if lanes else 0):
-        symbol = ids[:, t]
-        p2, p1, share2, share1 = model.predict()
-        by2 = (symbol == p2) & (share2 > 0)
-        by1 = (symbol == p1) & (share1 > 0) & ~by2
-        room = TOTAL - share2 - share1
-        lo, hi = model.order0(symbol, room)
-        rest = share2 + share1
-        lo = np.where(by2, 0, np.where(by1, share2, rest + lo)).astype(np.uint64)
-        hi = np.where(by2, share2, np.where(by1, rest, rest + hi)).astype(np.uint64)
-        live = int(np.searchsorted(-n, -t, side="left"))  # rows are sorted: those of more than t ids
-        unit = wide >> _BITS
-        low[:live] += (lo * unit)[:live]
-        wide[:live] = ((hi - lo) * unit)[:live]
-        short = np.flatnonzero(wide[:live] < _LEAST)
-        while len(short):
-            flat[at[short]] = (low[short] >> _HALF).astype(np.uint32)
-            at[short] += 1
-            low[short] = (low[short] & _LOW) << _SHIFT
-            wide[short] <<= _SHIFT
-            short = short[wide[short] < _LEAST]
-        model.update(symbol, by2, by1)
-    for _ in range(3):
-        flat[at] = (low >> _HALF).astype(np.uint32)
-        at += 1
-        low = (low & _LOW) << _SHIFT
-    used = at - begin
-    for i in range(words.shape[1] - 1, 0, -1):  # carries run towards the front
-        over = words[:, i] >> 16
-        words[:, i - 1] += over
-        words[:, i] &= 0xFFFF
-    out: list = [None] * lanes
-    for i, k in enumerate(order.tolist()):
-        out[k] = words[i, : used[i]].astype("<u2")
-    return out
+SEGMENT, LANES = 1 << 20, 3072
+MAGIC = b"STK2"
 
 
-def decode_blocks(words: list[np.ndarray], sizes: np.ndarray, alphabet: int = ALPHABET) -> np.ndarray:
-    """The ids of the blocks, a row each, padded with zeros."""
-    order = np.argsort(-sizes, kind="stable")
-    n, lanes = sizes[order], len(sizes)
-    steps = int(n[0]) if lanes else 0
-    out = np.zeros((lanes, steps), np.uint32)
-    if not lanes:
-        return out
-    model = _Model(lanes, alphabet)
-    parts = [words[i] for i in order.tolist()]
-    length = np.array([len(p) for p in parts])
-    flat = np.concatenate([*parts, np.zeros(8, np.uint16)]).astype(np.uint64)
-    at = np.cumsum(length) - length
-    code = np.zeros(lanes, np.uint64)
-    for _ in range(3):
-        code = (code << _SHIFT) | flat[at]
-        at = at + 1
-    wide = np.full(lanes, (1 << 48) - 1, np.uint64)
-    for t in range(steps):
-        p2, p1, share2, share1 = model.predict()
-        rest = share2 + share1
-        room = TOTAL - rest
-        unit = wide >> _BITS
-        slot = np.minimum(code // unit, np.uint64(TOTAL - 1)).astype(np.int64)
-        by2 = slot < share2
-        by1 = ~by2 & (slot < rest)
-        literal = model.order0_find(np.maximum(slot - rest, 0), room)
-        symbol = np.where(by2, p2, np.where(by1, p1, literal))
-        lo, hi = model.order0(symbol, room)
-        lo = np.where(by2, 0, np.where(by1, share2, rest + lo)).astype(np.uint64)
-        hi = np.where(by2, share2, np.where(by1, rest, rest + hi)).astype(np.uint64)
-        live = int(np.searchsorted(-n, -t, side="left"))
-        code[:live] -= (lo * unit)[:live]
-        wide[:live] = ((hi - lo) * unit)[:live]
-        short = np.flatnonzero(wide[:live] < _LEAST)
-        while len(short):
-            code[short] = (code[short] << _SHIFT) | flat[at[short]]
-            at[short] += 1
-            wide[short] <<= _SHIFT
-            short = short[wide[short] < _LEAST]
-        if live < lanes:
-            symbol[live:] = 0
-        out[:live, t] = symbol[:live]
-        model.update(symbol, by2, by1)
-    back = np.empty_like(out)
-    back[order] = out
-    return back
-
-
-def encode_segments(segments: list[tuple[list, np.ndarray, np.ndarray]], alphabet: int = ALPHABET) -> list[bytes]:
+def encode_segments(segments: list[tuple[list, np.ndarray, np.ndarray]]) -> list[bytes]:
     """Bytes of segments given as (document ids, ids of each document counted, all ids)."""
-    blocks, of = [], []
-    for _, _, ids in segments:
-        cut = [ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)]
-        of.append((len(blocks), len(blocks) + len(cut)))
-        blocks += cut
-    coded: list[np.ndarray] = []
-    by_size = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
-    coded = [None] * len(blocks)
-    for i in range(0, len(by_size), LANES):
-        some = by_size[i : i + LANES]
-        sizes = np.array([len(blocks[k]) for k in some])
-        table = np.zeros((len(some), int(sizes.max())), np.uint32)
-        for row, k in enumerate(some):
-            table[row, : sizes[row]] = blocks[k]
-        for k, w in zip(some, encode_blocks(table, sizes, alphabet)):
-            coded[k] = w
-    out = []
-    for (doc_ids, counts, ids), (a, z) in zip(segments, of):
+    cut = [[ids[i : i + BLOCK] for i in range(0, len(ids), BLOCK)] for _, _, ids in segments]
+    tables = [id_coder.Tables.of(blocks) for blocks in cut]
+    blocks = [b for part in cut for b in part]
+    group = np.repeat(np.arange(len(cut)), [len(part) for part in cut])
+    coded = id_coder.encode(blocks, group, tables)
+    out, first = [], 0
+    for (doc_ids, counts, ids), part, table in zip(segments, cut, tables):
         null = np.packbits(np.array([d is None for d in doc_ids], bool)).tobytes()
-        head = [MAGIC, struct.pack("<4IQ", len(doc_ids), z - a, BLOCK, alphabet, len(ids)), null, np.array([d or 0 for d in doc_ids], "<i8").tobytes(), np.asarray(counts, "<u4").tobytes()]
-        for block, w in zip(blocks[a:z], coded[a:z]):
-            head.append(struct.pack("<4I", len(block), len(w), zlib.crc32(block.astype("<u4").tobytes()), zlib.crc32(w.tobytes())))
-        out.append(b"".join(head + [w.tobytes() for w in coded[a:z]]))
+        shared = table.to_bytes()
+        words = [w.tobytes() for w in coded[first : first + len(part)]]
+        first += len(part)
+        names = null + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.asarray(counts, "<u4").tobytes() + shared
+        head = [MAGIC, struct.pack("<4IQ", len(doc_ids), len(part), len(shared), zlib.crc32(names), len(ids)), names]
+        for block, w in zip(part, words):
+            head.append(struct.pack("<4I", len(block), len(w) // 2, zlib.crc32(block.astype("<u4").tobytes()), zlib.crc32(w)))
+        out.append(b"".join(head + words))
     return out
 
 
 def decode_segments(data: list[bytes]) -> list[tuple[list, np.ndarray, np.ndarray]]:
     """(document ids, counts, ids) of each segment; checksums are checked."""
-    heads, words, sizes, sums, alphabet = [], [], [], [], ALPHABET
+    heads, words, sizes, sums, tables = [], [], [], [], []
     for x in data:
         if x[:4] != MAGIC:
             raise ValueError("not a token segment")
-        docs, blocks, _, alphabet, total = struct.unpack_from("<4IQ", x, 4)
+        docs, blocks, shared, names_sum, total = struct.unpack_from("<4IQ", x, 4)
         at = 28
         null = np.unpackbits(np.frombuffer(x, np.uint8, -(-docs // 8), at), count=docs)
         at += -(-docs // 8)
         doc_ids = [None if no else i for i, no in zip(np.frombuffer(x, "<i8", docs, at).tolist(), null.tolist())]
         counts = np.frombuffer(x, "<u4", docs, at + 8 * docs).astype(np.int64)
         at += 12 * docs
+        if zlib.crc32(x[28 : at + shared]) != names_sum:
+            raise ValueError("a segment's head is damaged")
+        tables.append(id_coder.Tables.from_bytes(x[at : at + shared]))
+        at += shared
         table = np.frombuffer(x, "<u4", 4 * blocks, at).reshape(-1, 4)
         at += 16 * blocks
         for n, w, ids_sum, words_sum in table.tolist():
             part = np.frombuffer(x, "<u2", w, at)
-            if zlib.crc32(part.tobytes()) != words_sum:
+            if zlib.crc32(part) != words_sum:
                 raise ValueError("a block's words are damaged")
             words.append(part)
             sizes.append(n)
             sums.append(ids_sum)
             at += 2 * w
         heads.append((doc_ids, counts, blocks, total))
-    decoded: list = [None] * len(words)
-    by_size = sorted(range(len(words)), key=lambda i: -sizes[i])
-    for i in range(0, len(by_size), LANES):
-        some = by_size[i : i + LANES]
-        table = decode_blocks([words[k] for k in some], np.array([sizes[k] for k in some]), alphabet)
-        for row, k in enumerate(some):
-            decoded[k] = table[row, : sizes[k]]
-            if zlib.crc32(decoded[k].astype("<u4").tobytes()) != sums[k]:
-                raise ValueError("a block's ids are damaged")
+    decoded = id_coder.decode(words, np.array(sizes, np.int64), np.repeat(np.arange(len(heads)), [h[2] for h in heads]), tables)
+    if any(zlib.crc32(ids.astype("<u4").tobytes()) != want for ids, want in zip(decoded, sums)):
+        raise ValueError("a block's ids are damaged")
     out, first = [], 0
     for doc_ids, counts, blocks, total in heads:
         ids = np.concatenate([np.empty(0, np.uint32), *decoded[first : first + blocks]])
@@ -373,47 +156,55 @@ def write_segments(docs: DataFrame, path: str, end: int = END, parts: int | None
     return rows.select("doc_id", "text").mapInArrow(run, SEGMENTS)
 
 
+def starts(segments: DataFrame) -> DataFrame:
+    """part, segment, start: the ids before each segment.
+
+    Of the parts (as many as the table was written in, whatever it holds) the sums come to
+    the driver; inside a part the segments are added up by a window.
+    """
+    sizes = segments.select("part", "segment", "n_ids")
+    sums = {r["part"]: r["n"] for r in sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    base, before = 0, []
+    for part in sorted(sums):
+        before.append((part, base))
+        base += sums[part]
+    bases = segments.sparkSession.createDataFrame(before, "part int, base long")
+    earlier = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    inside = sizes.select("part", "segment", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("inside"))
+    return inside.join(F.broadcast(bases), "part").select("part", "segment", (F.col("base") + F.col("inside")).alias("start"))
+
+
 def read_segments(segments: DataFrame, digest: bool = True) -> DataFrame:
     """Per document, from the segments: doc_id, start, n_tokens, ids_crc32 (or ids, without digest)."""
-    sums = segments.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()  # a row a written file
-    base, starts = 0, {}
-    for r in sorted(sums, key=lambda r: r["part"]):
-        starts[r["part"]] = base
-        base += r["n"]
-    given = segments.sparkSession.sparkContext.broadcast(starts)
-    per_part = segments.groupBy("part").agg(F.sort_array(F.collect_list(F.struct("segment", "n_ids"))).alias("all"))
-    # where each segment begins within its part: a few numbers a file
-    inside = per_part.select("part", F.explode(F.transform("all", lambda x, i: F.struct(x["segment"].alias("segment"), F.aggregate(F.slice("all", 1, i), F.lit(0).cast("long"), lambda a, y: a + y["n_ids"]).alias("before")))).alias("x")).select("part", "x.*")
-    before = {(r["part"], r["segment"]): r["before"] for r in inside.collect()}
-    offsets = segments.sparkSession.sparkContext.broadcast(before)
 
     def run(batches):
         held, size = [], 0
 
         def shown():
             doc_ids, start, count, sums, raw = [], [], [], [], []
-            for (part, segment, _, _), (ids_of, counts, ids) in zip(held, decode_segments([h[3] for h in held])):
+            for (before, _, _), (ids_of, counts, ids) in zip(held, decode_segments([h[2] for h in held])):
                 at = np.cumsum(counts) - counts
                 doc_ids += ids_of
-                start.append(at + given.value[part] + offsets.value[part, segment])
+                start.append(at + before)
                 count.append(counts)
-                data = ids.astype("<u4").tobytes()
+                data = memoryview(ids.astype("<u4")).cast("B")
                 pieces = [data[4 * a : 4 * (a + n)] for a, n in zip(at.tolist(), counts.tolist())]
-                (sums.extend(map(zlib.crc32, pieces)) if digest else raw.extend(pieces))
+                (sums.extend(map(zlib.crc32, pieces)) if digest else raw.extend(map(bytes, pieces)))
             third = pa.array(sums, pa.int64()) if digest else pa.array(raw, pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(np.concatenate(start)), pa.array(np.concatenate(count)), third], ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"])
 
         for b in batches:
-            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("part", "segment", "n_ids", "data"))):
+            for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("start", "n_ids", "data"))):
                 held.append(row)
-                size += row[2]
+                size += row[1]
                 if size >= TOGETHER:
                     yield shown()
                     held, size = [], 0
         if held:
             yield shown()
 
-    return segments.mapInArrow(run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
+    placed = segments.join(starts(segments), ["part", "segment"]).select("start", "n_ids", "data")
+    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digest else "ids binary"))
 
 
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

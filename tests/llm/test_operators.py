@@ -1,6 +1,7 @@
 """Dedup, sharding, packing, byte-level BPE, near dedup, fingerprints, toxicity, token files against brute force and round trips."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,8 +11,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
-from skein.llm import byte_bpe, exact_dedup, imatch, near_dedup, packing, pretoken, sharding, token_files, toxicity
+from skein.llm import byte_bpe, exact_dedup, id_coder, imatch, near_dedup, packing, pretoken, sharding, token_files, toxicity
 
 BLANK = r"[\x20\x09-\x0D]"
 
@@ -53,6 +55,40 @@ def test_exact_dedup(spark):
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(best.values())
 
 
+def test_filters_decide(spark, monkeypatch):
+    """A filter that answers nothing leaves the batch's copies of snapshot rows as groups of their own."""
+    rows = [(i, f"text {i // 2}") for i in range(40)]
+    docs = frame(spark, rows)
+    old, new = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
+    assert {(r["keep_id"], r["group_size"]) for r in exact_dedup.dedup_groups(new, old).collect()} == {(i, 2) for i in range(0, 40, 2)}
+    monkeypatch.setattr(exact_dedup, "screen", lambda snapshot, incoming, shards: incoming.select("sha").where("false"))
+    assert {(r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.dedup_groups(new, old).collect()} == {(i, i, 1) for i in range(40)}
+
+
+def test_bytes_decide(spark, monkeypatch):
+    """With a digest that takes many texts for one, the groups are still those of equal bytes, within a side and across."""
+    monkeypatch.setattr(exact_dedup, "digest", lambda text: F.unhex(F.sha2(F.substring(text, 1, 1).cast("binary"), 256)))
+    rows = [(i, f"{'ab'[i % 2]}{i % 7} x") for i in range(60)] + [(None, "a1x"), (None, "b"), (60, "c 1"), (61, "c\t1")]
+    want = {}
+    for i, t in rows:
+        want.setdefault(re.sub(BLANK, "", t), []).append(i)
+    old, new = exact_dedup.snapshot_split(frame(spark, rows))
+    for got in (exact_dedup.dedup_groups(new, old), exact_dedup.dedup_groups(frame(spark, rows))):
+        sizes = sorted((str(i), len(g)) for g in want.values() for i in g)
+        assert sorted((str(r["doc_id"]), r["group_size"]) for r in got.collect()) == sizes
+
+
+def test_dedup_edges(spark):
+    """Repeated ids and rows, null ids, a very long text, and columns that clash with helpers' names."""
+    long = "word " * 300_000
+    rows = [(1, "a b"), (1, "a b"), (1, "ab "), (2, "other"), (2, "text"), (None, "n"), (None, "n"), (None, long), (3, long + "\n"), (4, None), (5, " ")]
+    docs = spark.createDataFrame([(i, t, "x", "y", "z", 1) for i, t in rows], "doc_id long, text string, sha string, id string, _sha string, longer int")
+    got = {(r["doc_id"], (r["text"] or "")[:5]) for r in exact_dedup.drop_duplicates(docs).collect()}
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.columns == docs.columns and kept.count() == 6
+    assert got & {(1, "a b"), (1, "ab ")} and {(2, "other"), (2, "text"), (None, "n"), (3, "word ")} < got and (5, " ") in got
+
+
 def test_sharding(spark):
     rows = corpus() + [(None, "no id")]
     got = sharding.shard_documents(frame(spark, rows), 7).collect()
@@ -157,22 +193,28 @@ def test_imatch(spark):
     assert got[3]["fingerprint"] == got[60]["fingerprint"] and got[0]["fingerprint"] != got[1]["fingerprint"]
 
 
-def test_block_max_is_exact():
+def sparse(rows):
+    """Vectors of (features, weights) pairs."""
+    begin = np.concatenate(([0], np.cumsum([len(f) for f, _ in rows])))
+    return toxicity.Vectors(begin, np.concatenate([f for f, _ in rows]), np.concatenate([w for _, w in rows]).astype(np.float32))
+
+
+@pytest.mark.parametrize("n", [700, 65, 3])
+def test_block_max_is_exact(n):
     rng = np.random.default_rng(3)
     vectors = []
-    for _ in range(700):
+    for _ in range(n):
         f = np.sort(rng.choice(50, rng.integers(1, 8), replace=False))
         w = rng.random(len(f)).astype(np.float32) + 0.1
-        vectors.append((f, (w / np.sqrt(w @ w)).astype(np.float32)))
-    index = toxicity.BlockMaxIndex(vectors, np.zeros(700, int), np.arange(700), 50)
-    dense = np.zeros((700, 50), np.float32)
+        vectors.append((f, w / np.sqrt(w @ w)))
+    vectors.append((np.empty(0, np.int64), np.empty(0, np.float32)))
+    dense = np.zeros((n + 1, 50), np.float32)
     for i, (f, w) in enumerate(vectors):
         dense[i, f] = w
-    for f, w in vectors[:40]:
-        q = np.zeros(50, np.float32)
-        q[f] = w
-        _, cosines = index.nearest(f, w, 10)
-        assert np.allclose(cosines, np.sort(dense @ q)[::-1][:10], atol=1e-5)
+    index = toxicity.BlockMaxIndex(sparse(vectors), np.zeros(n + 1, int), np.arange(n + 1), 50)
+    _, cosines = index.nearest(sparse(vectors), 10)
+    truth = -np.sort(-(dense @ dense.T), axis=1)[:, :10]
+    assert np.allclose(cosines[:, : truth.shape[1]], truth, atol=1e-5) and not cosines[:, truth.shape[1] :].any()
 
 
 def test_toxicity(spark):
@@ -207,16 +249,24 @@ def test_toxicity_space_is_all_terms(spark):
     assert sorted(model.index.ids.tolist()) == held and model.index.labels.tolist() == [label[i] for i in model.index.ids.tolist()]
     assert len(model.index.posted) and len(model.index.weights)  # both kinds of terms
     words, known = {i: t.split() for i, t in rows}, {w for i, t in rows if i in fold for w in t.split()}
-    idf = {w: np.log((1 + len(rows)) / (1 + sum(w in ws for ws in words.values()))) + 1 for w in known}
+    toxic = sum(label[i] for i in held)
+
+    def weight(w):
+        one, zero = (sum(w in words[i] and label[i] == y for i in held) for y in (1, 0))
+        share = toxic / len(held)
+        rsj = abs(np.log((one + 4 * share) / share) - np.log((zero + 4 * (1 - share)) / (1 - share)))
+        return (np.log((1 + len(rows)) / (1 + sum(w in ws for ws in words.values()))) + 1) * (rsj + 0.01)
+
+    weights = {w: weight(w) for w in known}
 
     def unit(i):
-        v = {w: (1 + np.log(words[i].count(w))) * idf[w] for w in set(words[i]) & known}
+        v = {w: (1 + np.log(words[i].count(w))) * weights[w] for w in set(words[i]) & known}
         size = np.sqrt(sum(x * x for x in v.values()))
         return {w: x / size for w, x in v.items()}
 
     vectors = {i: unit(i) for i in words}
-    for i, v in zip(words, model.vectors([t for _, t in rows])):
-        places, cosines = model.index.nearest(*v)
+    assert (model.weight > 0).all()
+    for i, places, cosines in zip(words, *model.index.nearest(model.vectors([t for _, t in rows]))):
         truth = {j: sum(x * vectors[j].get(w, 0) for w, x in vectors[i].items()) for j in held}
         assert np.allclose(cosines, sorted(truth.values())[::-1][: toxicity.K], atol=1e-5)
         assert np.allclose(cosines, [truth[j] for j in model.index.ids[places].tolist()], atol=1e-5)
@@ -224,16 +274,46 @@ def test_toxicity_space_is_all_terms(spark):
 
 def test_token_codec():
     rng = np.random.default_rng(6)
-    parts = [rng.zipf(1.3, n) % token_files.ALPHABET for n in (0, 1, 5, 4096, 9000)] + [np.full(5000, 49407), rng.integers(0, token_files.ALPHABET, 6000)]
+    alphabet = 49408
+    parts = [rng.zipf(1.3, n) % alphabet for n in (0, 1, 5, 4096, 9000)] + [np.full(5000, 49407), rng.integers(0, alphabet, 6000), np.tile(rng.integers(0, alphabet, 700), 12), np.arange(alphabet)]
     segments = [([i, None], np.array([len(p) // 2, len(p) - len(p) // 2]), p.astype(np.uint32)) for i, p in enumerate(parts)]
     data = token_files.encode_segments(segments)
     for (ids, counts, want), (got_ids, got_counts, got) in zip(segments, token_files.decode_segments(data)):
         assert ids == got_ids and (counts == got_counts).all() and (want == got).all()
-    assert len(data[3]) < 2 * len(parts[3])
-    damaged = bytearray(data[4])
-    damaged[-3] ^= 1
-    with pytest.raises(ValueError):
-        token_files.decode_segments([bytes(damaged)])
+    assert [token_files.encode_segments([s])[0] for s in segments] == data  # blocks don't depend on what is coded beside them
+    assert len(data[3]) < 2 * len(parts[3]) and len(data[5]) < 600
+    for at in (-3, len(data[4]) // 2, 30):
+        damaged = bytearray(data[4])
+        damaged[at] ^= 1
+        with pytest.raises(ValueError):
+            token_files.decode_segments([bytes(damaged)])
+
+
+def test_id_coder_mixes():
+    """The interval of an id is the sum of its shares: the cost matches the mixed probabilities, step by step."""
+    rng = np.random.default_rng(9)
+    block = np.concatenate([rng.integers(0, 40, 300), np.tile([3, 9, 4, 11], 60), rng.integers(0, 40, 300)])
+    tables = id_coder.Tables.of([block])
+    last, last2, cost = {}, {}, 0.0
+    counts = id_coder._start_counts()
+    seen = []
+    for t, x in enumerate(block.tolist()):
+        s = int(np.searchsorted(tables.ids, x))
+        prev = int(np.searchsorted(tables.ids, block[t - 1])) if t else 0
+        prev2 = int(np.searchsorted(tables.ids, block[t - 2])) if t > 1 else 0
+        (p1, h1), (p2, h2) = last.get(prev, (0, 0)), last2.get((prev, prev2), (0, 0))
+        standing = 8 * h2 + 2 * h1 + (p1 == p2)
+        zero, one, two = (int(v[standing]) for v in id_coder._shares(counts[None]))
+        assert (zero << id_coder.FINE) + one + two == 1 << id_coder.BITS
+        size = zero * int(tables.freq[tables.classes[prev], s]) + one * (p1 == s) + two * (p2 == s)
+        cost -= math.log2(size / (1 << id_coder.BITS))
+        seen.append(3 * standing + (0 if h2 and p2 == s else 1 if h1 and p1 == s else 2))
+        last[prev] = s, 1 + min(h1, 2) * (p1 == s and h1 > 0)
+        last2[prev, prev2] = s, 1 + min(h2, 2) * (p2 == s and h2 > 0)
+        if (t + 1) % id_coder.REFRESH == 0:
+            counts = counts / 2 + np.bincount(seen[-id_coder.REFRESH :], minlength=96).reshape(32, 3)
+    words = id_coder.encode([block], np.zeros(1, int), [tables])[0]
+    assert cost < 16 * len(words) < cost * 1.02 + 64
 
 
 def test_token_files(spark):
