@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import re
-from array import array
 
 import numpy as np
 import regex
@@ -154,7 +154,21 @@ class Encoder:
     def __init__(self, split, whole, pieces, special: str = "", lower: bool = False):
         """whole(text): the library's ids of any text; pieces(list of distinct pre-tokens): their ids."""
         self.split, self.whole, self.pieces, self.special, self.lower = split, whole, pieces, special, lower
-        self.seen: dict[str, bytes] = {}  # ids as native unsigned 32-bit integers
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty cache: sorted hashes of pre-tokens, where the ids of each begin and how many, and all these ids."""
+        self.known, self.base, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.table = np.empty(0, np.uint32)
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        lists = self.pieces(words)
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        base = len(self.table) + np.cumsum(count) - count
+        self.table = np.concatenate((self.table, np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(count.sum()))))
+        known = np.concatenate((self.known, hashes))
+        order = np.argsort(known, kind="stable")  # two sorted runs: a merge
+        self.known, self.base, self.count = known[order], np.concatenate((self.base, base))[order], np.concatenate((self.count, count))[order]
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         fast, slow = [], {}
@@ -189,19 +203,16 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         hashes = span_hashes(cp, starts, ends)
         _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        words = [joined[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist())]
-        seen = self.seen
-        new = [w for w in words if w not in seen]
-        if new:
-            if len(seen) + len(new) > CACHE:
-                seen.clear()
-                new = words
-            for w, x in zip(new, self.pieces(new)):
-                seen[w] = array("I", x).tobytes()
-        lists = [seen[w] for w in words]
-        lens = np.fromiter(map(len, lists), np.int64, len(lists)) >> 2
-        table = np.frombuffer(b"".join(lists), np.uint32)
-        base = np.concatenate(([0], np.cumsum(lens)))[:-1]
+        distinct = hashes[index]
+        at = np.searchsorted(self.known, distinct)
+        new = np.flatnonzero(self.known.take(at, mode="clip") != distinct) if len(self.known) else np.arange(len(distinct))
+        if len(new):
+            if len(self.known) + len(new) > CACHE:
+                self._forget()
+                new = np.arange(len(distinct))
+            self._learn(distinct[new], [joined[a:b] for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist())])
+            at = np.searchsorted(self.known, distinct)
+        base, lens, table = self.base[at], self.count[at], self.table
         count = lens[inverse]
         ends_at = np.cumsum(count)
         total = int(ends_at[-1])
