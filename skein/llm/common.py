@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,29 +9,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.plans.stored import materialize, shared_dir  # noqa: F401
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir.
-
-    Where that is unset, a folder of this machine serves a local session, whose executors
-    are threads of it; a cluster without the setting is an error.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        at = "file://" + tempfile.mkdtemp(prefix="skein-ckpt-")
-        spark.sparkContext.setCheckpointDir(at)
-        at = spark.sparkContext.getCheckpointDir()
-    return at
-
-
 def fresh(docs: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of docs has, whatever the case."""
     taken, out = {c.lower() for c in docs.columns}, []
@@ -45,36 +27,6 @@ def fresh(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _drop_written() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session is already down: the cluster's own cleaning applies
-            return
-
-
-atexit.register(_drop_written)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as zstd Parquet in the shared folder and read it back.
-
-    The rows survive lost executors, as they lie in shared storage; the files go when
-    the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(schema).parquet(path)
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of rows of about `most` text bytes (a longer row stays whole)."""
     for b in batches:

@@ -228,9 +228,9 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     old, new = snapshot_split(docs)
     stay = dedup_groups(new, old).where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("rows"))
     stay = materialize(stay, "stay")
-    id_, sha = fresh(docs, "id", "sha")
+    id_, sha, stay_id, stay_sha = fresh(docs, "id", "sha", "stay_id", "stay_sha")
     rows = docs.withColumns({id_: F.col("doc_id").cast("long"), sha: F.lower(F.hex(digest(normalised())))})
-    kept = rows.join(stay.select(F.col("doc_id").alias("stay_id"), F.col("text_sha256").alias("stay_sha")), F.col(id_).eqNullSafe(F.col("stay_id")) & (F.col(sha) == F.col("stay_sha")), "left_semi")
+    kept = rows.join(stay.select(F.col("doc_id").alias(stay_id), F.col("text_sha256").alias(stay_sha)), F.col(id_).eqNullSafe(F.col(stay_id)) & (F.col(sha) == F.col(stay_sha)), "left_semi")
     if not stay.where("rows > 1").isEmpty():
         kept = kept.dropDuplicates([id_, sha])
     return kept.drop(id_, sha)

@@ -345,12 +345,12 @@ def drop_near_duplicates(docs: DataFrame, threshold: int = 80, width: int = WIDT
     stay = stay.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("sha"), F.col("rows"))).alias("x")).select("x.doc_id", "x.sha", "x.rows")
     bare = rows.where("group is null").select("doc_id", "sha").distinct().withColumn("rows", F.lit(0).cast("long"))
     stay = materialize(stay.unionByName(bare), "stay")
-    id_, sha = fresh(docs, "id", "sha")
+    id_, sha, stay_id, stay_sha = fresh(docs, "id", "sha", "stay_id", "stay_sha")
     given = docs.withColumns({id_: F.col("doc_id").cast("long"), sha: F.unhex(F.sha2(whole_text().cast("binary"), 256))})
 
     def met(which: str) -> DataFrame:
-        of = stay.where(which).select(F.col("doc_id").alias("stay_id"), F.col("sha").alias("stay_sha"))
-        return given.join(of, F.col(id_).eqNullSafe(F.col("stay_id")) & (F.col(sha) == F.col("stay_sha")), "left_semi")
+        of = stay.where(which).select(F.col("doc_id").alias(stay_id), F.col("sha").alias(stay_sha))
+        return given.join(of, F.col(id_).eqNullSafe(F.col(stay_id)) & (F.col(sha) == F.col(stay_sha)), "left_semi")
 
     repeated = not stay.where("rows > 1").isEmpty()
     kept = met("rows < 2").unionByName(met("rows > 1").dropDuplicates([id_, sha])) if repeated else met("true")

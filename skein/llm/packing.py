@@ -200,7 +200,8 @@ def place(rows: DataFrame, size: int = SIZE) -> DataFrame:
     # at most `size` numbers of blocks; a block holds about the square root of its length's count
     pairs = [x for n, c in histogram.items() for x in (F.lit(n), F.lit(max(1, round(c**0.5))))]
     blocks = F.element_at(F.create_map(*pairs), F.col("length")) if pairs else F.lit(1)
-    ranked = numbered_in_shards(rows, "length", ["doc_id", "piece", "ids_crc32"], ["doc_id", "piece", "ids_crc32"], blocks, bounded=False)
+    block = F.pmod(F.xxhash64(F.lit("slot"), "doc_id", "piece", "ids_crc32"), blocks)
+    ranked = numbered_in_shards(rows, "length", block, ["doc_id", "piece", "ids_crc32"], bounded=False)
     given = rows.sparkSession.sparkContext.broadcast((keys, lo, first, offset))  # a few ranges per length
 
     @F.pandas_udf("sequence_id long, offset long")

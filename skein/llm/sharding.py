@@ -59,13 +59,12 @@ def jump_shard(key_column, shards: int) -> F.Column:
     return of(F.col(key_column) if isinstance(key_column, str) else key_column)
 
 
-def numbered_in_shards(df: DataFrame, shard: str, key: list, order: list, blocks=BLOCKS, bounded: bool = True) -> DataFrame:
-    """Adds `slot`: 0, 1, 2 ... within each shard, by sub-block counts and an in-block order.
+def numbered_in_shards(df: DataFrame, shard: str, block: F.Column, order: list, bounded: bool = True) -> DataFrame:
+    """Adds `slot`: 0, 1, 2 ... within each shard, by the counts of sub-blocks (`block`: a number) and an in-block order.
 
-    blocks: a number or a column. bounded: shards * blocks does not depend on the data.
+    bounded: the number of shards and sub-blocks does not depend on the data.
     """
-    block = F.pmod(F.xxhash64(F.lit("slot"), *key), F.lit(blocks) if isinstance(blocks, int) else blocks).cast("int")
-    rows = df.withColumn("_block", block)
+    rows = df.withColumn("_block", block.cast("int"))
     counts = rows.groupBy(shard, "_block").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(shard, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -86,9 +85,41 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
     rows = rows.withColumn("shard", jump_shard("doc_id", shards)).withColumn("grown_shard", jump_shard("doc_id", shards + 1))
-    rows = numbered_in_shards(rows, "shard", ["doc_id"], ["doc_id", "text_crc32", "size"])
+    block = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % BLOCKS
+    rows = numbered_in_shards(rows, "shard", block, ["doc_id", "text_crc32", "size"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir))
+
+
+SQL = {
+    "op2_sharding": r"""
+WITH RECURSIVE
+tab AS (
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda h, k: CASE WHEN h & 1 = 1 THEN xor(h >> 1, 3988292384) ELSE h >> 1 END) AS c FROM range(256) t(i))),
+d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS name, strlen(coalesce(text, '')) + 16 AS size,
+         list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+c AS (
+  SELECT row, doc_id, size,
+         xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda h, b: xor(crc[xor(h & 255, b) + 1], h >> 8))) AS text_crc32,
+         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda h, b: xor(crc[xor(h & 255, b) + 1], h >> 8))) % 256 AS block
+  FROM d, tab),
+-- splitmix64 of the id, then the walk of jump consistent hashing for 41 shards; arithmetic modulo 2^64
+m1 AS (SELECT row, (CAST(doc_id AS UHUGEINT) + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS z FROM c),
+m2 AS (SELECT row, xor(z, z // 1073741824) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM m1),
+m3 AS (SELECT row, xor(z, z // 134217728) * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM m2),
+walk AS (
+  SELECT row, xor(z, z // 2147483648) AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM m3
+  UNION ALL
+  SELECT row, n, j, CAST(trunc((j + 1) * (2147483648.0::DOUBLE / (CAST(n // 8589934592 AS BIGINT) + 1)::DOUBLE)) AS BIGINT)
+  FROM (SELECT *, (k * 2862933555777941757::UHUGEINT + 1) % 18446744073709551616::UHUGEINT AS n FROM walk WHERE j < 41)),
+shards AS (SELECT row, max(b) FILTER (b < 40) AS shard, max(b) FILTER (b < 41) AS grown_shard FROM walk GROUP BY row)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+       row_number() OVER (PARTITION BY shard ORDER BY block, doc_id, text_crc32, size) - 1 AS slot, CAST(grown_shard AS INTEGER) AS grown_shard
+FROM c JOIN shards USING (row)
+""",
+}
