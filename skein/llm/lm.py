@@ -1,30 +1,36 @@
 """Hierarchical Pitman-Yor language model, seated by Gibbs sampling, and scores under it.
 
 Tokens are words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased, and one end a text. A token is drawn
-in the restaurant of its context, which is the class of the word before (CONTEXTS classes
-by hash, one of them the start of a text; with few words, a class is a word). All context
-restaurants share one parent, the unigram restaurant, whose base gives each of the V
-training words and one unknown word 1 / (V + 1). Discounts come from the counts of counts.
-
-Seating: the tables of every dish of every context are redrawn in sweeps, then those of the
-parent. A redraw seats the dish's customers one by one (beyond EXACT customers in runs of a
-sixteenth) given all other dishes, twice, and picks between the two by importance weight.
-After BURN sweeps the totals of all restaurants are exchanged; the SAMPLES sweeps after
-that give as many seatings, whose predictive probabilities are averaged.
-
-Everything about a dish lies in one bucket by its hash; what buckets share are the totals of
-the restaurants (CONTEXTS numbers), which is what is broadcast. Blocks of documents send a
-bucket the distinct (word, context) pairs they hold with their training counts, and get
-back counts and log probabilities for these. All passes draw the same random numbers, as
-they depend on the bucket only.
+in the restaurant of the word before it (of the start, for a text's first one); every word
+has a restaurant of its own. All of them share one parent, whose customers are their tables
+and whose base gives each of the V training words and one unknown word 1 / (V + 1). Tables,
+discounts and strengths are sampled (see `seating`), and the predictive probabilities of
+several samples averaged.
+
+Documents are tokenised once, into blocks; what is exchanged is hashes and numbers:
+
+1. A block sends each word bucket its words and their training counts.
+2. A block sends each context bucket its distinct (context, word) pairs with training counts.
+   The bucket seats its restaurants; it stands in for the parent by the tables of its own
+   restaurants, as it holds a random part of all contexts. It answers every block with the
+   pairs' shares and the contexts' back-off weights, and sends the word buckets the tables.
+3. A word bucket seats its words' tables in the parent, and answers every block with counts
+   and parent's shares. The block adds up its documents.
+
+Buckets hold about BUCKET text bytes, whatever the corpus. A word with more tokens than that
+would fill a bucket with its restaurant; its followers are dealt by hash to as many parts,
+each a restaurant of its own under the parent's share of these followers, and the parts are
+weighted by their customers. Followers and contexts meet by 40 bits of their hashes, words
+in step 1 by all 64. The same seed is used whenever a bucket is computed.
 
 Defined cases: null, empty and blank texts are one end; a null doc_id trains and is not held
-out; repeated rows count each; with no training tokens every token has the base's share; an
-empty table gives no rows; further columns are ignored.
+out; repeated rows count each; texts of any length are read whole; with no training tokens
+every token has the base's share; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
 
+import secrets
 import zlib
 
 import numpy as np
@@ -32,80 +38,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm import blocks as B
-from skein.llm import pretoken
-from skein.llm.common import documents, materialize
+from skein.llm import pretoken, seating
+from skein.llm.common import documents, materialize, whole_text
 from skein.llm.near_dedup import _BLANK, _LOWER, _mix
 
-CONTEXTS = 16384
 FOLDS, HELD_OUT = 7, 2
-BURN, SAMPLES = 3, 3
-EXACT = 16
-STRENGTH = 1.0
-END = np.uint64(0x5BD1E995)
-#: What follows the CONTEXTS numbers in a vector of totals.
-TOKENS, WORDS, ONE, TWO, ROOT_ONE, ROOT_TWO, ROOT_TABLES = range(CONTEXTS, CONTEXTS + 7)
-WIDTH = CONTEXTS + 16
-#: Slices of a vector of totals that are added up apart.
-SLICES = 8
+END, START, GOLD = np.uint64(0x5BD1E995), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
+#: Text bytes of a block (a longer document is a block of its own), and of a bucket on average.
+BLOCK, BUCKET = 6 << 20, 12 << 20
+#: Steps of the 16-bit logarithms: of shares (0 to 1) and of a word's customers in the parent.
+FINE, NONE = 512, 65535
 
 
 def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-class Tokens:
-    """The tokens of a block: distinct words and (word, context) pairs, in bucket order, and what each token is."""
-
-    def __init__(self, doc_ids: list, sizes: np.ndarray, raw: bytes, buckets: int):
-        data = _LOWER[np.frombuffer(raw, np.uint8)]
-        n = len(data)
-        ends = np.cumsum(sizes)
-        word = np.zeros(n + 2, bool)
-        word[1:-1] = ~_BLANK[data]
-        begin = word[1:] & ~word[:-1]
-        stop = word[:-1] & ~word[1:]
-        border = np.unique(np.concatenate((ends - sizes, ends)))
-        border = border[word[border] & word[np.minimum(border + 1, n + 1)]]  # texts that meet inside a run of word bytes
-        begin[border] = stop[border] = True
-        starts, stops = np.flatnonzero(begin), np.flatnonzero(stop)
-        hashes = pretoken.span_hashes(data, starts, stops) if len(starts) else np.empty(0, np.uint64)
-        texts = len(sizes)
-        owner = np.searchsorted(ends, starts, side="right")
-        per = np.bincount(owner, minlength=texts) + 1  # and the end
-        self.per = per
-        last = np.cumsum(per) - 1
-        tokens = np.empty(int(per.sum()), np.uint64)
-        is_end = np.zeros(len(tokens), bool)
-        is_end[last] = True
-        tokens[is_end], tokens[~is_end] = END, hashes
-        context = np.zeros(len(tokens), np.int64)
-        context[1:] = 1 + (_mix(tokens[:-1]) % np.uint64(CONTEXTS - 1)).astype(np.int64)
-        context[last - per + 1] = 0
-        trains = np.repeat([not held_out(d) for d in doc_ids], per)
-        words, at = np.unique(tokens, return_inverse=True)
-        bucket = (_mix(words) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.words, self.bucket, self.word_of = words[order], bucket[order], place[at]
-        pairs, self.pair_of = np.unique(self.word_of * CONTEXTS + context, return_inverse=True)
-        self.count = np.bincount(self.pair_of[trains], minlength=len(pairs))
-        self.pair_word, self.context = pairs // CONTEXTS, pairs % CONTEXTS
-        # where each bucket's words and pairs begin
-        self.found = np.unique(self.bucket)
-        self.word_at = np.append(np.searchsorted(self.bucket, self.found), len(words))
-        self.pair_at = np.append(np.searchsorted(self.bucket[self.pair_word], self.found), len(pairs))
+def tokenised(sizes: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of a block's texts (mixed hashes, sorted), which one each token is, and the tokens of each text."""
+    data = _LOWER[np.frombuffer(raw, np.uint8)]
+    n = len(data)
+    ends = np.cumsum(sizes)
+    word = np.zeros(n + 2, bool)
+    word[1:-1] = ~_BLANK[data]
+    begin = word[1:] & ~word[:-1]
+    stop = word[:-1] & ~word[1:]
+    border = np.unique(np.concatenate((ends - sizes, ends)))
+    border = border[word[border] & word[np.minimum(border + 1, n + 1)]]  # texts that meet inside a run of word bytes
+    begin[border] = stop[border] = True
+    starts, stops = np.flatnonzero(begin), np.flatnonzero(stop)
+    hashes = pretoken.span_hashes(data, starts, stops) if len(starts) else np.empty(0, np.uint64)
+    per = np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(sizes)) + 1  # and the end
+    tokens = np.empty(int(per.sum()), np.uint64)
+    is_end = np.zeros(len(tokens), bool)
+    is_end[np.cumsum(per) - 1] = True
+    tokens[is_end], tokens[~is_end] = END, hashes
+    words, at = np.unique(_mix(tokens), return_inverse=True)
+    return words, at, per
+
+
+BLOCKS = "block long, doc_ids array<long>, per binary, words binary, tokens binary, bytes long"
+
+
+def tokenised_blocks(docs: DataFrame, size: int) -> DataFrame:
+    def run(batches):
+        ids, texts, held = [], [], 0
 
+        def shown():
+            words, at, per = tokenised(np.array([len(t) for t in texts], np.int64), b"".join(texts))
+            cols = [[secrets.randbits(62)], [ids], [_narrow(per)], [words.tobytes()], [_narrow(at)], [held]]
+            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["block", "doc_ids", "per", "words", "tokens", "bytes"])
 
-SENT = "bucket int, block long, words binary, pairs binary, contexts binary, counts binary"
-STATE = "bucket int, pairs binary, contexts binary, counts binary, blocks array<long>, word_steps array<binary>, pair_steps array<binary>"
+        for b in batches:
+            for doc_id, text in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), b.column(b.schema.get_field_index("text")).cast(pa.binary())):
+                t = text.as_py()
+                if texts and held + len(t) > size:
+                    yield shown()
+                    ids, texts, held = [], [], 0
+                ids.append(doc_id)
+                texts.append(t)
+                held += len(t)
+        if texts:
+            yield shown()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, BLOCKS)
 
 
 def _narrow(x: np.ndarray) -> bytes:
     """A leading digit for the width, then the numbers, in the fewest bytes."""
     most = int(x.max(initial=0))
-    kind = np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32
+    kind = np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32 if most < 1 << 32 else np.uint64
     return bytes([np.dtype(kind).itemsize]) + x.astype(kind).tobytes()
 
 
@@ -113,268 +116,325 @@ def _wide(x: bytes) -> np.ndarray:
     return np.frombuffer(x, f"<u{x[0]}", offset=1).astype(np.int64)
 
 
-def gathered(blocks: DataFrame, buckets: int) -> DataFrame:
-    """A row a bucket: its words' pairs with training counts, and what each block asks for."""
+def _five(x: np.ndarray) -> bytes:
+    """The upper 40 bits of each hash."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+
+
+def _from_five(x: bytes) -> np.ndarray:
+    """Hashes with their lower 24 bits cleared."""
+    out = np.zeros((len(x) // 5, 8), np.uint8)
+    out[:, 3:] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _logs(x: np.ndarray, zero: float) -> bytes:
+    """16-bit logarithms of numbers in (0, 1], in steps of 1 / FINE octaves below 2 ** zero; NONE for 0."""
+    with np.errstate(divide="ignore"):
+        steps = np.round((zero - np.log2(x)) * FINE)
+    return np.where(x > 0, np.clip(steps, 0, NONE - 1), NONE).astype("<u2").tobytes()
+
+
+def _from_logs(x: bytes, zero: float) -> np.ndarray:
+    steps = np.frombuffer(x, "<u2")
+    return np.where(steps == NONE, 0, np.exp2(zero - steps / FINE))
+
+
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes, told by the upper 32 bits."""
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+
+
+def _cuts(buckets: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, from, to) of the runs of sorted bucket numbers."""
+    at = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(buckets) else np.empty(0, np.int64)
+    return list(zip(buckets[at].tolist(), at.tolist(), np.append(at[1:], len(buckets)).tolist()))
+
+
+class Block:
+    """A block's tokens as pairs, ordered by context and follower."""
+
+    def __init__(self, doc_ids: list, per: bytes, words: bytes, tokens: bytes, hot: Hot):
+        self.words, self.tokens, self.per = np.frombuffer(words, np.uint64), _wide(tokens), _wide(per)
+        n, first = len(self.words), np.cumsum(self.per) - self.per
+        self.trains = np.repeat(np.array([not held_out(d) for d in doc_ids], bool), self.per)
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[first] = n  # the start
+        pairs, pair_of = np.unique(before * np.int64(n) + self.tokens, return_inverse=True)
+        before, after = pairs // max(n, 1), pairs % max(n, 1)
+        key = np.append(self.words, START)[before]
+        # a hot context has parts, and a follower lies in one of them
+        self.parts = hot(np.append(self.words, START))[before]
+        part = (self.words[after] & np.uint64(0xFFFFFF)).astype(np.int64) % self.parts if n else np.empty(0, np.int64)
+        key = np.where(self.parts > 1, _mix(key + (part.astype(np.uint64) + np.uint64(1)) * GOLD), key)
+        order = np.lexsort((after, key))
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.pair_of, self.before, self.after, self.key, self.parts = place[pair_of], before[order], after[order], key[order], self.parts[order]
+        self.count = np.bincount(self.pair_of[self.trains], minlength=len(order))
+        self.context = np.flatnonzero(np.concatenate(([True], self.key[1:] != self.key[:-1]))) if len(order) else np.empty(0, np.int64)  # where each begins
+
+    def training_counts(self) -> np.ndarray:
+        return np.bincount(self.tokens[self.trains], minlength=len(self.words))
+
+
+def _rows(names: str, columns: list) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64(), "array<long>": pa.list_(pa.int64()), "array<binary>": pa.list_(pa.binary()), "boolean": pa.bool_()}
+    fields = [x.split(" ") for x in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _each(batches, *names):
+    for b in batches:
+        yield from zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names))
+
+
+WORDS = "bucket int, block long, words binary, counts binary"
+VOCABULARY = "bucket int, words binary, counts binary, blocks array<long>, steps array<binary>, tokens long, known long"
+
+
+def vocabulary(blocks: DataFrame, buckets: int) -> DataFrame:
+    """A row a word bucket: its words with training counts, and which of them each block holds."""
 
     def send(batches):
-        for block, doc_ids, sizes, raw in B.unpacked(batches):
-            x = Tokens(doc_ids, sizes, raw, buckets)
-            per_word = np.bincount(x.pair_word, minlength=len(x.words))
-            cols = [[], [], [], [], [], []]
-            for b, wa, wz, pa_, pz in zip(x.found.tolist(), x.word_at.tolist(), x.word_at[1:].tolist(), x.pair_at.tolist(), x.pair_at[1:].tolist()):
-                for col, value in zip(cols, (b, block, x.words[wa:wz].tobytes(), _narrow(per_word[wa:wz]), x.context[pa_:pz].astype(np.uint16).tobytes(), _narrow(x.count[pa_:pz]))):
-                    col.append(value)
-            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["bucket", "block", "words", "pairs", "contexts", "counts"])
+        for block, doc_ids, per, words, tokens in _each(batches, "block", "doc_ids", "per", "words", "tokens"):
+            hashes, trains = np.frombuffer(words, np.uint64), np.repeat(np.array([not held_out(d) for d in doc_ids], bool), _wide(per))
+            count = np.bincount(_wide(tokens)[trains], minlength=len(hashes))
+            cuts = _cuts(bucket_of(hashes, buckets))
+            yield _rows(WORDS, [[b for b, _, _ in cuts], [block] * len(cuts), [hashes[a:z].tobytes() for _, a, z in cuts], [_narrow(count[a:z]) for _, a, z in cuts]])
 
     def merge(table: pa.Table) -> pa.Table:
         d = table.to_pydict()
-        asked = [np.frombuffer(w, np.uint64) for w in d["words"]]
-        words, at = np.unique(np.concatenate(asked), return_inverse=True)
-        per = np.concatenate([_wide(p) for p in d["pairs"]])
-        keys = np.repeat(at, per) * CONTEXTS + np.concatenate([np.frombuffer(c, np.uint16) for c in d["contexts"]])
-        pairs, pair_at = np.unique(keys, return_inverse=True)
-        count = np.bincount(pair_at, weights=np.concatenate([_wide(c) for c in d["counts"]]), minlength=len(pairs)).astype(np.int64)
-        word_cut = np.cumsum([len(w) for w in asked])
-        pair_cut = np.cumsum([len(c) // 2 for c in d["contexts"]])
-
-        def steps(x, cut):
-            # numbers of one block rise, but for words, which come in hash order and so rise too
-            return [_narrow(np.diff(part, prepend=0)) for part in np.split(x, cut[:-1])]
-
-        return pa.table(
-            [
-                pa.array([d["bucket"][0]], pa.int32()),
-                pa.array([_narrow(np.bincount(pairs // CONTEXTS, minlength=len(words)))], pa.binary()),
-                pa.array([(pairs % CONTEXTS).astype(np.uint16).tobytes()], pa.binary()),
-                pa.array([_narrow(count)], pa.binary()),
-                pa.array([d["block"]], pa.list_(pa.int64())),
-                pa.array([steps(at, word_cut)], pa.list_(pa.binary())),
-                pa.array([steps(pair_at, pair_cut)], pa.list_(pa.binary())),
-            ],
-            names=["bucket", "pairs", "contexts", "counts", "blocks", "word_steps", "pair_steps"],
-        )
-
-    return blocks.mapInArrow(send, SENT).groupBy("bucket").applyInArrow(merge, STATE)
-
-
-def seatings(c: np.ndarray, a: np.ndarray, slope: np.ndarray, discount: float, rng) -> tuple[np.ndarray, np.ndarray]:
-    """Tables of dishes of c customers (descending), one by one; a new table has weight a + slope * tables. Also the log importance weights."""
-    tables, weight = np.ones(len(c)), np.zeros(len(c))
-    n = 1
-    while True:
-        live = int(np.searchsorted(-c, -n, side="left"))  # c > n
-        if not live:
-            return tables, weight
-        new = a[:live] + slope[:live] * tables[:live]
-        total = new + n - discount * tables[:live]
-        if n < EXACT:
-            tables[:live] += rng.random(live) * total < new
-            weight[:live] += np.log(total)
-            n += 1
-        else:
-            run = n // EXACT
-            more = np.minimum(run, c[:live] - n)
-            tables[:live] += rng.binomial(more, np.clip(new / total, 0, 1))
-            weight[:live] += more * np.log(total)
-            n += run
-
-
-def redrawn(c, a, slope, discount, rng):
-    """One of two seatings, by importance weight."""
-    one, w1 = seatings(c, a, slope, discount, rng)
-    two, w2 = seatings(c, a, slope, discount, rng)
-    return np.where(rng.random(len(c)) < 1 / (1 + np.exp(np.clip(w1 - w2, -50, 50))), two, one)
-
-
-class Restaurants:
-    """The seating of a bucket's dishes."""
-
-    def __init__(self, bucket: int, pairs: bytes, contexts: bytes, counts: bytes):
-        per = _wide(pairs)
-        self.word = np.repeat(np.arange(len(per)), per)
-        self.context = np.frombuffer(contexts, np.uint16).astype(np.int64)
-        self.count = _wide(counts)
-        self.words = len(per)
-        self.rng = np.random.default_rng([bucket, 20240607])
-        order = np.argsort(-self.count, kind="stable")
-        self.many = order[: int((self.count > 1).sum())]  # the pairs with something to draw
-        self.tables = (self.count > 0).astype(float)
-        self.of_word = np.bincount(self.word, weights=self.tables, minlength=self.words)
-        self.root = (self.of_word > 0).astype(float)
-        self.unigram = np.bincount(self.word, weights=self.count, minlength=self.words)
-
-    def totals(self) -> np.ndarray:
-        """Tables of each context, and the parent's."""
-        out = np.zeros(WIDTH)
-        out[:CONTEXTS] = np.bincount(self.context, weights=self.tables, minlength=CONTEXTS)
-        out[ROOT_TABLES] = self.root.sum()
-        return out
-
-    def first_totals(self) -> tuple[np.ndarray, np.ndarray]:
-        """Customers of each context with the counts of counts, and the tables of the least seating."""
-        out = np.zeros(WIDTH)
-        out[:CONTEXTS] = np.bincount(self.context, weights=self.count, minlength=CONTEXTS)
-        out[TOKENS], out[WORDS] = self.count.sum(), (self.unigram > 0).sum()
-        out[ONE], out[TWO] = (self.count == 1).sum(), (self.count == 2).sum()
-        out[ROOT_ONE], out[ROOT_TWO] = (self.of_word == 1).sum(), (self.of_word == 2).sum()
-        return out, self.totals()
-
-    def parent(self, model, tables: np.ndarray, root_tables: float) -> np.ndarray:
-        """Predictive probability of each word in the parent."""
-        base = (STRENGTH + model.root_discount * root_tables) / (model.words + 1)
-        return (self.of_word - model.root_discount * self.root + base) / (STRENGTH + tables.sum())
-
-    def sweep(self, model, known: np.ndarray, mine: np.ndarray) -> None:
-        """known: totals of all buckets when `mine` were this bucket's."""
-        now = known + self.totals() - mine
-        d, d0, many = model.discount, model.root_discount, self.many
-        old, w, u = self.tables[many], self.word[many], self.context[many]
-        rest = self.of_word[w] - old
-        base = (STRENGTH + d0 * now[ROOT_TABLES]) / (model.words + 1)
-        p = (np.maximum(rest - d0 * self.root[w], 0) * (rest > 0) + base) / (STRENGTH + now[:CONTEXTS].sum())
-        self.tables[many] = redrawn(self.count[many], (STRENGTH + d * np.maximum(now[u] - old, 0)) * p, d * p, d, self.rng)
-        self.of_word = np.bincount(self.word, weights=self.tables, minlength=self.words)
-        order = np.argsort(-self.of_word, kind="stable")
-        order = order[: int((self.of_word > 1).sum())]
-        share = 1 / (model.words + 1)
-        rest = np.maximum(now[ROOT_TABLES] - self.root[order], 0)
-        self.root[order] = redrawn(self.of_word[order].astype(np.int64), (STRENGTH + d0 * rest) * share, np.full(len(order), d0 * share), d0, self.rng)
-
-    def probabilities(self, model) -> np.ndarray:
-        """log10 of the averaged predictive probability of each pair."""
-        start = self.totals()
-        for _ in range(BURN):
-            self.sweep(model, model.first, start)
-        start, p = self.totals(), np.zeros(len(self.count))
-        for known in model.samples:
-            self.sweep(model, model.burnt, start)
-            parent = self.parent(model, known[:CONTEXTS], known[ROOT_TABLES])[self.word]
-            here = np.maximum(self.count - model.discount * self.tables, 0)
-            p += (here + (STRENGTH + model.discount * known[self.context]) * parent) / (STRENGTH + model.customers[self.context])
-        return np.log10(p / len(model.samples))
-
-
-class Model:
-    """What all buckets share: discounts and the totals of the restaurants at each exchange."""
-
-    def __init__(self, customers: np.ndarray, first: np.ndarray):
-        self.customers, self.first = customers[:CONTEXTS], first
-        self.tokens, self.words = int(customers[TOKENS]), int(customers[WORDS])
-        self.discount = self._discount(customers[ONE], customers[TWO])
-        self.root_discount = self._discount(customers[ROOT_ONE], customers[ROOT_TWO])
-        self.burnt: np.ndarray | None = None
-        self.samples: list[np.ndarray] = []
-
-    @staticmethod
-    def _discount(one: float, two: float) -> float:
-        return float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95))
-
-
-def _restaurants(batches):
-    for b in batches:
-        for row in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("bucket", "pairs", "contexts", "counts"))):
-            yield Restaurants(*row)
+        sent = [np.frombuffer(w, np.uint64) for w in d["words"]]
+        words, at = np.unique(np.concatenate(sent), return_inverse=True)
+        count = np.zeros(len(words), np.int64)
+        np.add.at(count, at, np.concatenate([_wide(c) for c in d["counts"]]))
+        # a block's words rise, so their places go as steps
+        steps = [_narrow(np.diff(x, prepend=0)) for x in np.split(at, np.cumsum([len(w) for w in sent])[:-1])]
+        return pa.Table.from_batches([_rows(VOCABULARY, [[d["bucket"][0]], [words.tobytes()], [_narrow(count)], [d["block"]], [steps], [int(count.sum())], [int((count > 0).sum())]])])
+
+    return blocks.mapInArrow(send, WORDS).groupBy("bucket").applyInArrow(merge, VOCABULARY)
+
+
+class Hot:
+    """Contexts that have parts, and how many; fewer than half as many as there are buckets."""
 
+    def __init__(self, hashes: np.ndarray, parts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.parts = hashes[order], parts[order]
 
-def _added(state: DataFrame, vectors: int, of) -> list[np.ndarray]:
-    """Sums over all buckets of the vectors that `of` gives for a bucket's restaurants; SLICES rows come to the driver."""
-    cut = -(-WIDTH // SLICES)
+    def __call__(self, contexts: np.ndarray) -> np.ndarray:
+        if not len(self.hashes):
+            return np.ones(len(contexts), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, contexts), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == contexts, self.parts[at], 1)
+
+
+def hot_contexts(vocabulary_: DataFrame, tokens: int, buckets: int) -> tuple[Hot, int]:
+    """The contexts with more than twice the tokens that a bucket has on average, and the number of training texts."""
+    each = max(1.0, tokens / buckets)
+    end = _mix(np.array([END]))[0]
 
     def run(batches):
-        total = np.zeros((vectors, SLICES * cut))
-        for r in _restaurants(batches):
-            total[:, :WIDTH] += of(r)
-        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([total[:, i * cut : (i + 1) * cut].tobytes() for i in range(SLICES)], pa.binary())], ["slice", "sums"])
+        for words, counts in _each(batches, "words", "counts"):
+            hashes, count = np.frombuffer(words, np.uint64), _wide(counts)
+            many = np.flatnonzero((count > 2 * each) | (hashes == end))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[many].view(np.int64)), pa.array(count[many])], ["word", "n"])
+
+    found = vocabulary_.select("words", "counts").mapInArrow(run, "word long, n long").toArrow()  # under buckets / 2 rows, and one
+    hashes, n = found["word"].to_numpy().view(np.uint64), found["n"].to_numpy()
+    starts = int(n[hashes == end].sum())
+    hashes = np.where(hashes == end, START, hashes)  # as many texts begin as end, and no token follows an end
+    many = n > 2 * each
+    return Hot(hashes[many], np.ceil(n[many] / each).astype(np.int64)), starts
+
+
+PAIRS = "bucket int, block long, contexts binary, followers binary, sizes binary, counts binary"
+SEATED = "bucket int, block long, shares binary, back binary, guests binary, to int, words binary, tables binary"
+
+
+def seated(blocks: DataFrame, buckets: int, word_buckets: int, hot: Hot) -> DataFrame:
+    """Rows of two kinds: what a context bucket answers a block (block, shares, back, guests), and what it sends a word bucket (to, words, tables)."""
+    given = blocks.sparkSession.sparkContext.broadcast(hot)
+
+    def send(batches):
+        for block, *parts in _each(batches, "block", "doc_ids", "per", "words", "tokens"):
+            x = Block(*parts, given.value)
+            size = np.diff(np.append(x.context, len(x.key)))
+            contexts = x.key[x.context]
+            cuts = _cuts(bucket_of(contexts, buckets))
+            at = np.append(x.context, len(x.key)).tolist()
+            yield _rows(
+                PAIRS,
+                [
+                    [b for b, _, _ in cuts], [block] * len(cuts), [_five(contexts[a:z]) for _, a, z in cuts], [_five(x.words[x.after[at[a] : at[z]]]) for _, a, z in cuts],
+                    [_narrow(size[a:z]) for _, a, z in cuts], [_narrow(x.count[at[a] : at[z]]) for _, a, z in cuts],
+                ],
+            )
+
+    def merge(table: pa.Table) -> pa.Table:
+        d = table.to_pydict()
+        bucket = d["bucket"][0]
+        sent = [_from_five(c) for c in d["contexts"]]
+        sizes = [_wide(s) for s in d["sizes"]]
+        contexts, context_at = np.unique(np.concatenate(sent), return_inverse=True)
+        words, word_at = np.unique(np.concatenate([_from_five(f) for f in d["followers"]]), return_inverse=True)
+        pairs, pair_at = np.unique(np.repeat(context_at, np.concatenate(sizes)) * np.int64(len(words)) + word_at, return_inverse=True)
+        count = np.zeros(len(pairs), np.int64)
+        np.add.at(count, pair_at, np.concatenate([_wide(c) for c in d["counts"]]))
+        share, back, tables, guests = predictive(pairs // len(words), pairs % len(words), count, len(contexts), len(words), np.random.default_rng([bucket, 20240607]))
+        out: list[list] = [[], [], [], [], [], [], [], []]
+        pair_cut, context_cut = np.cumsum([0, *(s.sum() for s in sizes)]), np.cumsum([0, *(len(s) for s in sent)])
+        for i, block in enumerate(d["block"]):
+            p, c = pair_at[pair_cut[i] : pair_cut[i + 1]], context_at[context_cut[i] : context_cut[i + 1]]
+            for col, value in zip(out, (bucket, block, _logs(share[p], 0), _logs(back[c], 0), _narrow(guests[c]), None, None, None)):
+                col.append(value)
+        total = np.bincount(pairs % len(words), weights=tables, minlength=len(words)).astype(np.int64)
+        keep = np.flatnonzero(total)
+        for to, a, z in _cuts(bucket_of(words[keep], word_buckets)):
+            for col, value in zip(out, (bucket, None, None, None, None, to, _five(words[keep[a:z]]), _narrow(total[keep[a:z]]))):
+                col.append(value)
+        return pa.Table.from_batches([_rows(SEATED, out)])
+
+    return blocks.mapInArrow(send, PAIRS).groupBy("bucket").applyInArrow(merge, SEATED)
+
+
+def predictive(context: np.ndarray, word: np.ndarray, count: np.ndarray, contexts: int, words: int, rng) -> tuple[np.ndarray, ...]:
+    """Of each pair its averaged share without the parent's, of each context its averaged back-off weight, the last tables of each pair, and the customers of each context."""
+    guests = np.bincount(context, weights=count, minlength=contexts)
+    live = np.flatnonzero(count)
+    share, back, tables = np.zeros(len(count)), np.zeros(contexts), np.zeros(len(count))
+    if not len(live):
+        return share, back + 1, tables, guests.astype(np.int64)
+    c, u, w = count[live], context[live], word[live]
+
+    def parent(t: np.ndarray) -> np.ndarray:
+        # the tables of the other contexts here, and a little for what only this one has
+        of_word = np.bincount(w, weights=t, minlength=words)
+        return (np.maximum(of_word[w] - t, 0) + 0.5) / (t.sum() + 0.5 * words)
+
+    n = 0
+    for d, s, t, total in seating.sampled(u, c, parent, contexts, rng):
+        share[live] += (c - d * t) / (s + guests[u])
+        back += (s + d * total) / (s + guests)
+        tables[live] = t
+        n += 1
+    return share / n, back / n, tables, guests.astype(np.int64)
+
+
+ROOTED = "bucket int, block long, counts binary, customers binary, tables double, discounted double, strength double"
+#: log2 below which a word's customers in the parent count.
+CUSTOMERS = 64.0
+
+
+def rooted(vocabulary_: DataFrame, seated_: DataFrame, buckets: int, words: int) -> DataFrame:
+    """What word buckets answer blocks (block, counts, customers), and a row a bucket with its totals (block is null)."""
 
     def add(table: pa.Table) -> pa.Table:
-        sums = sum(np.frombuffer(x, np.float64) for x in table["sums"].to_pylist())
-        return pa.table({"slice": table["slice"][:1], "sums": pa.array([sums.tobytes()], pa.binary())})
+        d = table.to_pydict()
+        found, at = np.unique(np.concatenate([_from_five(x) for x in d["words"]]), return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, at, np.concatenate([_wide(x) for x in d["tables"]]))
+        return pa.Table.from_batches([_rows("to int, found binary, total binary", [[d["to"][0]], [_five(found)], [_narrow(total)]])])
+
+    def run(batches):
+        for bucket, raw, counts, blocks, steps, found, total in _each(batches, "bucket", "words", "counts", "blocks", "steps", "found", "total"):
+            count = _wide(counts)
+            tables, discounted, strength, customers = 0.0, 0.0, 1.0, np.zeros(len(count))
+            if found is not None:
+                known = _from_five(found)
+                key = np.frombuffer(raw, np.uint64) & np.uint64(0xFFFFFFFFFF000000)
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                ok = np.flatnonzero((known[at] == key) & (count > 0))
+                t = _wide(total)[at[ok]]
+                # of all dishes of the base's menu one in `buckets` is served here
+                base = np.full(len(t), min(0.5, buckets / (words + 1)))
+                drawn = list(seating.sampled(np.zeros(len(t), np.int64), t, base, 1, np.random.default_rng([bucket, 1, 20240607])))
+                customers[ok] = np.mean([t - d * s for d, _, s, _ in drawn], axis=0)
+                tables, discounted, strength = float(t.sum()), float(np.mean([d * s.sum() for d, _, s, _ in drawn])), float(np.mean([s for _, s, _, _ in drawn]))
+            out = [[bucket], [None], [None], [None], [tables], [discounted], [strength]]
+            for block, x in zip(blocks, steps):
+                place = np.cumsum(_wide(x))
+                for col, value in zip(out, (bucket, block, _narrow(count[place]), _logs(customers[place], CUSTOMERS), None, None, None)):
+                    col.append(value)
+            yield _rows(ROOTED, out)
+
+    sums = seated_.where("to is not null").select("to", "words", "tables").groupBy("to").applyInArrow(add, "to int, found binary, total binary")
+    # one bucket a batch
+    joined = vocabulary_.join(sums.withColumnRenamed("to", "bucket"), "bucket", "left")
+    return joined.mapInArrow(lambda batches: run(b.slice(i, 1) for b in batches for i in range(b.num_rows)), ROOTED)
+
 
-    rows = state.select("bucket", "pairs", "contexts", "counts").mapInArrow(run, "slice int, sums binary").groupBy("slice").applyInArrow(add, "slice int, sums binary").collect()
-    total = np.zeros((vectors, SLICES * cut))
-    for r in rows:
-        total[:, r["slice"] * cut : (r["slice"] + 1) * cut] = np.frombuffer(r["sums"]).reshape(vectors, cut)
-    return list(total[:, :WIDTH])
+class Parent:
+    """What a block needs beside its answers: totals of the training part and of the parent restaurant."""
 
+    def __init__(self, tokens: int, words: int, starts: int, tables: float, discounted: float, strength: float):
+        self.tokens, self.words, self.starts = tokens, words, starts
+        self.rest, self.whole = (strength + discounted) / (words + 1), strength + tables
 
-def train(state: DataFrame) -> Model:
-    sc = state.sparkSession.sparkContext
-    model = Model(*_added(state, 2, lambda r: r.first_totals()))
-    given = sc.broadcast(model)
+    def share(self, customers: np.ndarray) -> np.ndarray:
+        return (customers + self.rest) / self.whole
 
-    def burnt(r: Restaurants):
-        m, start = given.value, r.totals()
-        for _ in range(BURN):
-            r.sweep(m, m.first, start)
-        return r.totals()
 
-    model.burnt = _added(state, 1, burnt)[0]
-    given = sc.broadcast(model)
+def token_shares(x: Block, count: np.ndarray, customers: np.ndarray, share: np.ndarray, back: np.ndarray, guests: np.ndarray, parent: Parent) -> np.ndarray:
+    """The predictive probability of each pair of the block."""
+    size = np.diff(np.append(x.context, len(x.key)))
+    back, guests = np.repeat(back, size), np.repeat(guests, size)
+    # of a context in one part, the factor is 1
+    whole = np.append(count, parent.starts)[x.before]
+    factor = np.where(x.parts > 1, (guests + 1 / x.parts) / (whole + 1), 1)
+    return factor * (share + back * x.parts * parent.share(customers)[x.after])
 
-    def sampled(r: Restaurants):
-        burnt(r)
-        m, start, out = given.value, r.totals(), []
-        for _ in range(SAMPLES):
-            r.sweep(m, m.burnt, start)
-            out.append(r.totals())
-        return out
 
-    model.samples = _added(state, SAMPLES, sampled)
-    return model
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
+def score(docs: DataFrame, buckets: int | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = B.written(docs)
-    state = materialize(gathered(blocks, buckets), "restaurants")
-    given = spark.sparkContext.broadcast(train(state))
-
-    def answer(batches):
-        for b in batches:
-            for r, blocks_, words, pairs in zip(_restaurants([b]), *(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("blocks", "word_steps", "pair_steps"))):
-                log = r.probabilities(given.value).astype(np.float32)
-                count = r.unigram.astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(blocks_, pa.int64()),
-                        pa.array([int(b.column(0)[0].as_py())] * len(blocks_), pa.int32()),
-                        pa.array([_narrow(count[np.cumsum(_wide(x))]) for x in words], pa.binary()),
-                        pa.array([log[np.cumsum(_wide(x))].tobytes() for x in pairs], pa.binary()),
-                    ],
-                    ["block", "bucket", "counts", "logs"],
-                )
-
-    # one bucket a batch: the bucket's number comes first
-    answers = state.mapInArrow(lambda batches: answer(b.slice(i, 1) for b in batches for i in range(b.num_rows)), "block long, bucket int, counts binary, logs binary")
-    of_block = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "counts", "logs")).alias("answers"))
+    blocks = materialize(tokenised_blocks(docs, block), "blocks")
+    total = blocks.agg(F.sum("bytes").alias("n")).first()["n"] or 0
+    buckets = buckets or max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    words = materialize(vocabulary(blocks, buckets), "words")
+    sums = words.agg(F.sum("tokens").alias("tokens"), F.sum("known").alias("known")).first()
+    tokens, known = sums["tokens"] or 0, sums["known"] or 0
+    hot, starts = hot_contexts(words, tokens, buckets)
+    answers = materialize(seated(blocks, buckets, buckets, hot), "seated")
+    roots = materialize(rooted(words, answers, buckets, known), "rooted")
+    r = roots.where("block is null").agg(F.sum("tables").alias("t"), F.sum("discounted").alias("d"), F.try_divide(F.sum(F.col("strength") * F.col("tables")), F.sum("tables")).alias("s")).first()
+    parent = Parent(tokens, known, starts, r["t"] or 0.0, r["d"] or 0.0, r["s"] or 1.0)
+    none = F.lit(None).cast("binary")
+    both = answers.where("block is not null").select("block", "bucket", "shares", "back", "guests", none.alias("counts"), none.alias("customers")).unionByName(
+        roots.where("block is not null").select("block", "bucket", none.alias("shares"), none.alias("back"), none.alias("guests"), "counts", "customers")
+    )
+    of_block = both.groupBy("block").agg(F.collect_list(F.struct("bucket", "shares", "back", "guests", "counts", "customers")).alias("answers"))
+
+    given = spark.sparkContext.broadcast(hot)
 
     def run(batches):
-        model = given.value
-        for b in batches:
-            for (_, doc_ids, sizes, raw), answers in zip(B.unpacked([b]), b.column(b.schema.get_field_index("answers")).to_pylist()):
-                x = Tokens(doc_ids, sizes, raw, buckets)
-                answers = sorted(answers, key=lambda a: a["bucket"])
-                count = np.concatenate([_wide(a["counts"]) for a in answers])[x.word_of]
-                log = np.concatenate([np.frombuffer(a["logs"], np.float32) for a in answers]).astype(np.float64)[x.pair_of]
-                at = np.cumsum(x.per) - x.per
-                base = np.log10((count + 1) / (model.tokens + model.words + 1))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc_ids, pa.int64()),
-                        pa.array([held_out(d) for d in doc_ids], pa.bool_()),
-                        pa.array(x.per, pa.int64()),
-                        pa.array(np.add.reduceat((count > 0).astype(np.int64), at), pa.int64()),
-                        pa.array(np.full(len(doc_ids), model.tokens), pa.int64()),
-                        pa.array(np.add.reduceat(base, at), pa.float64()),
-                        pa.array(np.add.reduceat(log, at), pa.float64()),
-                    ],
-                    ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
-                )
-
-    return blocks.join(of_block, "block").mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        for doc_ids, per, raw, at, found in _each(batches, "doc_ids", "per", "words", "tokens", "answers"):
+            x = Block(doc_ids, per, raw, at, given.value)
+            found.sort(key=lambda a: a["bucket"])
+            seats, root = [a for a in found if a["shares"] is not None], [a for a in found if a["counts"] is not None]
+            count = np.concatenate([_wide(a["counts"]) for a in root])
+            customers = np.concatenate([_from_logs(a["customers"], CUSTOMERS) for a in root])
+            shares, back = (np.concatenate([_from_logs(a[c], 0) for a in seats]) for c in ("shares", "back"))
+            p = token_shares(x, count, customers, shares, back, np.concatenate([_wide(a["guests"]) for a in seats]), parent)
+            first = np.cumsum(x.per) - x.per
+            known_ = (count > 0)[x.tokens]
+            base = np.log10((count + 1) / (parent.tokens + parent.words + 1))[x.tokens]
+            yield _rows(
+                SCORES,
+                [doc_ids, [held_out(d) for d in doc_ids], x.per, np.add.reduceat(known_.astype(np.int64), first), [parent.tokens] * len(doc_ids), np.add.reduceat(base, first), np.add.reduceat(np.log10(p)[x.pair_of], first)],
+            )
+
+    return blocks.join(of_block, "block").mapInArrow(run, SCORES)
+
+
+def perplexity(scored: DataFrame, column: str = "score") -> DataFrame:
+    """held_out and the perplexity per token of the texts of either kind."""
+    return scored.groupBy("held_out").agg(F.pow(F.lit(10.0), -F.sum(column) / F.sum("n_tokens")).alias("perplexity"))
 
 
 def op6_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
