@@ -44,8 +44,8 @@ K, BLOCK = 15, 64
 COMMON = 1 / 16
 #: Examples of the average kind in a term's relevance, and what every term's relevance has at least.
 PRIOR, FLOOR = 4.0, 0.01
-#: Queries that are looked up together.
-BATCH = 256
+#: Queries that are looked up together, and postings that these read (a single query may read more).
+BATCH, POSTINGS = 256, 1 << 18
 CUT = 0.7
 FOLDS, HELD_OUT = 3, 1
 
@@ -133,9 +133,12 @@ class BlockMaxIndex:
         """Places and cosines (a row of k a query, best first) of the nearest examples; a cosine of 0 marks an empty place."""
         size = self.blocks * BLOCK
         places, cosines = np.zeros((len(q), k), np.int64), np.zeros((len(q), k))
-        for a in range(0, len(q) if size else 0, BATCH):
-            rows = np.arange(a, min(len(q), a + BATCH))
-            places[rows], cosines[rows] = self._nearest(q.take(rows), min(k, size), k)
+        read = np.concatenate(([0], np.cumsum(self.begin[q.f + 1] - self.begin[q.f])))[q.begin]
+        a = 0
+        while a < len(q) and size:
+            z = min(a + BATCH, max(a + 1, int(np.searchsorted(read, read[a] + POSTINGS, side="right")) - 1))
+            places[a:z], cosines[a:z] = self._nearest(q.take(np.arange(a, z)), min(k, size), k)
+            a = z
         return places, cosines
 
     def _nearest(self, q: Vectors, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
