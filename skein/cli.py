@@ -18,6 +18,7 @@ from skein.functions.values import byte_size, duration_us
 from skein.operators import assemble, conform, export, extract, inspect, outcome_join, redact, sample, scoring
 from skein.sources import importers, wire
 from skein.sources.lake import Lake
+from skein.streaming import delivery
 
 
 class ConfigError(ValueError):
@@ -76,6 +77,7 @@ def land(lake: Lake, envelopes, config: Config) -> dict:
     rows = sample.head_sample(envelopes, config.head_rate, config.head_by_source)
     steps = redact.redact_steps(config.redaction, assemble.steps(rows))
     steps, bad = redact.quarantined(steps)
+    failed = bad
     episodes = redact.redact_episodes(config.redaction, assemble.episodes(rows))
     bad = bad.select("episode_id").unionByName(episodes.where("redaction_failed").select("episode_id"))
     episodes = episodes.join(bad.distinct(), "episode_id", "left_anti").drop("redactions", "redaction_failed")
@@ -85,6 +87,7 @@ def land(lake: Lake, envelopes, config: Config) -> dict:
     episodes = sample.tail_sample(episodes, config.tail_rules, config.otherwise_rate)
     steps = steps.join(episodes.select("episode_id"), "episode_id", "left_semi")
     batch = lake.write(config.inline_bytes, most_bytes=config.max_bytes, episodes=episodes, steps=steps)
+    delivery.quarantine(failed, lake.root, batch)
     kept = lake.manifests().where((F.col("batch_id") == batch) & (F.col("table") == "episodes")).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     return {"batch": batch, "episodes": kept, "sampled_out": before - kept, "quarantined": bad.select("episode_id").distinct().count()}
 
@@ -127,7 +130,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         bad = rows.where("size(errors) > 0").count()
         good = rows.where("size(errors) = 0").withColumn("entity_key", redact.transform_key(config.redaction, rows["entity_key"]))
         lake.write(outcomes=good)
-        print({"outcomes": good.count(), "rejected": bad})
+        per = good.groupBy("entity_name", "kind").count().orderBy("entity_name", "kind").collect()  # a row a kind
+        print({"outcomes": sum(r["count"] for r in per), "rejected": bad, "kinds": {f"{r['entity_name']}/{r['kind']}": r["count"] for r in per}})
     elif a.command in ("join", "score", "export"):
         horizon = timedelta(microseconds=duration_us(a.horizon))
         labels = outcome_join.labels(lake.episodes(), lake.outcomes(), a.as_of, horizon, a.attribution)

@@ -17,6 +17,20 @@ def _bad(rows: DataFrame, detail) -> tuple[int, str]:
     return found["n"], found["one"] or ""
 
 
+def unreadable(lake: Lake, table: str, paths: list[str]) -> list[str]:
+    """The files that cannot be read to the end, every column: one job a table if all can, else halves of halves."""
+    if not paths:
+        return []
+    try:
+        lake.spark.read.schema(schemas.schema(table)).parquet(*paths).write.format("noop").mode("overwrite").save()
+        return []
+    except Exception as e:  # any unreadable file is a finding
+        if len(paths) == 1:
+            return [f"{paths[0]}: {type(e).__name__}"]
+    half = len(paths) // 2
+    return unreadable(lake, table, paths[:half]) + unreadable(lake, table, paths[half:])
+
+
 def checks(lake: Lake) -> list[tuple[str, str, bool | None, str]]:
     """(name, reference, passed or None if skipped, detail); unmanifested files are looked at too."""
     spark = lake.spark
@@ -33,13 +47,7 @@ def checks(lake: Lake) -> list[tuple[str, str, bool | None, str]]:
     def add(name: str, ref: str, bad: tuple[int, str] | None, why: str = "") -> None:
         out.append((name, ref, None if bad is None else bad[0] == 0, why if bad is None else f"{bad[0]}: {bad[1]}" if bad[0] else ""))
 
-    unread = []
-    for t, paths in files.items():
-        for p in paths:
-            try:
-                spark.read.schema(schemas.schema(t)).parquet(p).limit(1).count()
-            except Exception as e:  # any unreadable file is a finding
-                unread.append(f"{p}: {type(e).__name__}")
+    unread = [x for t, paths in files.items() for x in unreadable(lake, t, paths)]
     add("files readable", "layout", (len(unread), (unread or [""])[0]))
     if unread:
         return out

@@ -13,7 +13,8 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from re import _parser as sre_parse
+from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -56,7 +57,8 @@ class Policy:
     rules: tuple[Rule, ...] = ()
     metadata_only: bool = False
     key: bytes = b""
-    native: bool = True
+    #: Regex rules by built-ins, which is faster but shows the padded key in plans and logs; else by Python.
+    native: bool = False
     detector: Detector | None = None
     detector_action: str = "tokenize"
     error_message: bool = False
@@ -67,11 +69,21 @@ class Policy:
         if wants and not self.key:
             raise ValueError("tokenize needs a key")  # it fails closed
 
+    def by_builtins(self, rules: list[Rule]) -> bool:
+        """Whether built-ins can do the rules: splitting at matches needs matches of one character at least."""
+        return self.native and not self.detector and all(not r.path and not (r.action == "tokenize" and may_be_empty(r.regex)) for r in rules)
+
     @property
     def key_id(self) -> str:
         return key_id(self.key) if self.key else ""
 
 
+def may_be_empty(regex: str) -> bool:
+    """Whether a match may have no character (for all we know)."""
+    parsed = sre_parse.parse(regex)
+    return parsed.getwidth()[0] == 0
+
+
 def matches(patterns: tuple[str, ...], path: str) -> bool:
     """A pattern names a path if it is equal, with [*] for any index, a prefix before a dot, or ends in .* ."""
     general = re.sub(r"\[\d+\]", "[*]", path)
@@ -91,9 +103,9 @@ def regex_action(text: Column, rule: Rule, key: bytes) -> Column:
         return F.regexp_replace(text, pattern, F.lit(f"[redacted:{rule.id}]".replace("\\", r"\\").replace("$", r"\$")))
     # pieces between the matches, each followed by the token of its match
     hits = F.regexp_extract_all(text, pattern, F.lit(0))
-    marked = F.split(F.regexp_replace(text, pattern, F.lit("\u0001")), "\u0001")
+    between = F.split(text, rule.regex, -1)
     tokens = F.concat(F.transform(hits, lambda m: token(key, m)), F.array(F.lit("")))
-    swapped = F.array_join(F.zip_with(marked, tokens, lambda a, b: F.concat(a, b)), "")
+    swapped = F.array_join(F.zip_with(between, tokens, lambda a, b: F.concat(a, b)), "")
     return F.when(F.regexp_like(text, pattern), swapped).otherwise(text)
 
 
@@ -115,7 +127,7 @@ def path_action(text: str | None, rule: Rule, key: bytes) -> tuple[str | None, i
         if value is None:
             continue
         if rule.regex:
-            value, n = re.subn(rule.regex, lambda m: act(rule, m[0], key), value)
+            value, n = re.subn(rule.regex, lambda m: act(rule, m[0], key), value, flags=re.ASCII)
             count += n
             if n:
                 owner[name] = value
@@ -140,7 +152,7 @@ def detected(text: str, found: list[tuple[int, int, str]], action: str, key: byt
     return raw.decode(errors="replace"), len(spans)
 
 
-def _ruled(policy: Policy, t: str | None, path: str, flags: int = 0) -> tuple[str | None, dict[str, int]]:
+def _ruled(policy: Policy, t: str | None, path: str) -> tuple[str | None, dict[str, int]]:
     """The rules, then the detector, on one value; and {rule: matches}."""
     counts: dict[str, int] = {}
     for rule in policy.rules if t is not None else ():
@@ -149,7 +161,7 @@ def _ruled(policy: Policy, t: str | None, path: str, flags: int = 0) -> tuple[st
         if rule.path:
             t, n = path_action(t, rule, policy.key)
         else:
-            t, n = re.subn(rule.regex, lambda m, rule=rule: act(rule, m[0], policy.key), t, flags=flags)
+            t, n = re.subn(rule.regex, lambda m, rule=rule: act(rule, m[0], policy.key), t, flags=re.ASCII)  # as the built-ins
         if n:
             counts[rule.id] = counts.get(rule.id, 0) + n
     if policy.detector and t:
@@ -190,7 +202,7 @@ def field_columns(policy: Policy, value: Column, path: str) -> tuple[Column, Col
     if gone:
         return F.lit(None).cast("string"), F.when(value.isNotNull(), F.create_map(F.lit(gone), F.lit(1).cast("long"))).otherwise(none), F.lit(False)
     rules = [r for r in policy.rules if not r.fields or matches(r.fields, path)]
-    if policy.detector or any(r.path for r in rules) or not policy.native:
+    if rules and not policy.by_builtins(rules) or policy.detector:
         found = _python_rules(policy, path)(value)
         return F.nullif(found["text"], F.lit("")), F.coalesce(found["counts"], none), F.coalesce(found["failed"], F.lit(False))
     counts = []
@@ -205,16 +217,20 @@ def redact_steps(policy: Policy, steps: DataFrame) -> DataFrame:
     """Steps with redacted payloads, `redactions` (path, rule, matches) and `redaction_failed`."""
     content, counts, failed = field_columns(policy, F.col("content_inline"), "steps[*].content_inline")
     out = steps.withColumns({"_c": content, "_n": counts, "redaction_failed": failed})
-    entries = F.transform(F.map_entries("_n"), lambda e: F.struct(F.lit("steps[*].content_inline").alias("path"), e["key"].alias("rule"), e["value"].alias("matches")))
-    out = out.withColumn("content_inline", F.col("_c")).withColumn("redactions", entries)
+    out = out.withColumns({"content_inline": F.col("_c"), "redactions": _entries("steps[*].content_inline")})
     if "raw" in steps.columns:
         out = _map_field(policy, out, "raw", "steps[*].raw")
     if policy.error_message and "error" in steps.columns:
-        message, counts, _ = field_columns(policy, F.col("error.message"), "steps[*].error.message")
-        out = out.withColumn("error", F.when(F.col("error").isNotNull(), F.struct(F.col("error.type").alias("type"), message.alias("message"))))
+        message, counts, failed = field_columns(policy, F.col("error.message"), "steps[*].error.message")
+        out = out.withColumns({"_c": message, "_n": counts, "redaction_failed": F.col("redaction_failed") | failed})
+        out = out.withColumns({"error": F.when(F.col("error").isNotNull(), F.struct(F.col("error.type").alias("type"), F.col("_c").alias("message"))), "redactions": F.concat("redactions", _entries("steps[*].error.message"))})
     return out.drop("_c", "_n")
 
 
+def _entries(path: str) -> Column:
+    return F.transform(F.map_entries("_n"), lambda e: F.struct(F.lit(path).alias("path"), e["key"].alias("rule"), e["value"].alias("matches")))
+
+
 def _map_field(policy: Policy, rows: DataFrame, column: str, path: str) -> DataFrame:
     """Each value of a map is a field of its own, path.<key>, with its part in `redactions` and `redaction_failed`."""
 
@@ -225,8 +241,7 @@ def _map_field(policy: Policy, rows: DataFrame, column: str, path: str) -> DataF
             for k, v in sorted((values or {}).items()):
                 own = f"{path}.{k}"
                 gone = _gone(policy, own) if v is not None else None
-                # ASCII classes, as the built-ins have
-                v, counts = (None, {gone: 1}) if gone else _ruled(policy, v, own, re.ASCII)
+                v, counts = (None, {gone: 1}) if gone else _ruled(policy, v, own)
                 entries += [(own, rule, n) for rule, n in counts.items()]
                 if v:
                     kept[k] = v
@@ -265,7 +280,15 @@ def quarantined(redacted: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def transform_key(policy: Policy, value: Column) -> Column:
     """An outcome's key under the regex rules, so that it meets the tokenised keys of episodes."""
-    for r in policy.rules:
-        if r.regex and not r.path:
-            value = regex_action(value, r, policy.key)
+    rules = [replace(r, fields=()) for r in policy.rules if r.regex and not r.path]
+    if rules and not replace(policy, detector=None).by_builtins(rules):
+        only = Policy(rules=tuple(rules), key=policy.key)
+
+        @F.pandas_udf("string")
+        def run(values: pd.Series) -> pd.Series:
+            return pd.Series([None if v is None else _ruled(only, v, "")[0] for v in values], dtype=object)
+
+        return run(value)
+    for r in rules:
+        value = regex_action(value, r, policy.key)
     return value

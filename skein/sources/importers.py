@@ -17,11 +17,16 @@ from skein.functions.values import present, string_map, timestamp
 from skein.operators.normalise import normalise, payload, stop_list
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of text files, without blank ones, `#` comments and container-log prefixes; `value`."""
+def unwrapped(rows: DataFrame) -> DataFrame:
+    """Lines (`value`), in a batch or a stream, without blank ones, `#` comments and container-log prefixes."""
     # <time> <stream> <F or P> <line>, as container runtimes write
     bare = F.regexp_replace("value", r"^\d{4}-\d\d-\d\dT\S+ (?:stdout|stderr) [FP] ", "")
-    return spark.read.text(path).select(F.trim(bare).alias("value")).where((F.col("value") != "") & ~F.startswith("value", F.lit("#")))
+    return rows.select(F.trim(bare).alias("value")).where((F.col("value") != "") & ~F.startswith("value", F.lit("#")))
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files, as `unwrapped` gives them."""
+    return unwrapped(spark.read.text(path))
 
 
 def records(spark: SparkSession, path: str, *keys: str) -> DataFrame:
@@ -140,10 +145,13 @@ def native(spark: SparkSession, path: str, source: str = "native") -> DataFrame:
 
 
 def jsonl(spark: SparkSession, path: str, source: str = "jsonl") -> DataFrame:
+    return routed(lines(spark, path), source)
+
+
+def routed(rows: DataFrame, source: str) -> DataFrame:
     """A line with session_id is a span, with episode_id an episode; others are skipped (see rejected)."""
     from skein.sources import wire
 
-    rows = lines(spark, path)
     spans = rows.where(_get("$.session_id").isNotNull())
     episodes = rows.where(_get("$.session_id").isNull() & _get("$.episode_id").isNotNull())
     return wire.span_envelopes(spans, source).unionByName(wire.episode_envelopes(episodes, source))

@@ -94,6 +94,10 @@ class Lake:
         joined = own.join(patched, "episode_id", "left")
         return joined.withColumn("status", F.when(F.col("_p"), "patched").otherwise(F.col("status"))).select(*schemas.schema("episodes").names)
 
+    def ordered_episodes(self) -> DataFrame:
+        """Episodes by start, then id."""
+        return self.episodes().orderBy("started_at", "episode_id")
+
     def steps(self) -> DataFrame:
         """Steps of known episodes, once per step_idx, the earliest."""
         rows = self._first(self._table("steps"), ["episode_id", "step_idx"], ["started_at"])
@@ -120,12 +124,22 @@ class Lake:
         return joined.withColumn("content_inline", F.coalesce("content_inline", "content")).select(*steps.columns)
 
     def unmanifested(self) -> int:
-        known = {p for t in schemas._DDL for p in self.committed(t)} if exists(self.spark, f"{self.root}/manifests") else set()
-        tails = {p[len(self.root) :] for p in known}
-        return sum(not any(f.endswith(t) for t in tails) for table in ("episodes", "steps", "outcomes", "rewards", "labels") for f in listed(self.spark, f"{self.root}/{table}", ".parquet"))
-
-    def write(self, inline: int = INLINE, collector: str = "skein", most_bytes: int | None = None, **tables: DataFrame) -> str:
-        """Writes tables as one batch and commits it; the batch's id."""
+        """Files of the tables that no manifest names, by an anti join of paths below the root."""
+        known = self.manifests().select("path").distinct()
+        total = 0
+        for table in ("episodes", "steps", "outcomes", "rewards", "labels"):
+            at = f"{self.root}/{table}"
+            if exists(self.spark, at):
+                # listed by the executors; the content is not read
+                here = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(at).select("path")
+                below = F.concat(F.lit(f"{table}/"), F.substring_index("path", f"{self.root.split(':', 1)[-1].lstrip('/')}/{table}/", -1))
+                total += here.select(below.alias("path")).join(known, "path", "left_anti").count()
+        return total
+
+    def write(self, inline: int = INLINE, collector: str = "skein", most_bytes: int | None = None, compression: str = "zstd", most_records: int = MOST_RECORDS, **tables: DataFrame) -> str:
+        """Writes tables as one batch and commits it; the batch's id. compression: zstd, snappy or none; a file rolls at most_records rows."""
+        if compression not in ("zstd", "snappy", "none"):
+            raise ValueError(f"compression is zstd, snappy or none, not {compression!r}")
         batch, now = uuid.uuid4().hex, datetime.now(UTC)
         stats = {"blobs_new": 0, "blobs_deduped": 0}
         if "steps" in tables:
@@ -139,7 +153,7 @@ class Lake:
                 rows = rows.withColumn("p_dt", F.lit(now.date().isoformat()))
             keys = [c for c in rows.columns if c.startswith("p_")]
             # the batch's own folder: its files are known without looking through the table
-            rows.withColumn("p_batch", F.lit(batch)).write.mode("append").option("compression", "zstd").option("maxRecordsPerFile", MOST_RECORDS).partitionBy(*keys, "p_batch").parquet(f"{self.root}/{name}")
+            rows.withColumn("p_batch", F.lit(batch)).write.mode("append").option("compression", compression).option("maxRecordsPerFile", most_records).partitionBy(*keys, "p_batch").parquet(f"{self.root}/{name}")
         self._commit(batch, now, list(tables), collector, stats)
         return batch
 

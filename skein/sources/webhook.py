@@ -75,6 +75,49 @@ fields:
   ended_at: ["$.endTime"]
 """
 
+GATEWAY_B = """
+name: portkey
+version: "1.0"
+kind: fixed
+fixed_kind: llm
+fields:
+  span_id: ["$.id", "$.request_id"]
+  session_key: ["$.metadata.session_id", "$.metadata._user", "$.trace_id"]
+  group_id: ["$.metadata.group_id"]
+  task_type: ["$.metadata.task_type"]
+  input: ["$.request.body.messages"]
+  output: ["$.response.body.choices"]
+  model: ["$.request.body.model", "$.response.body.model"]
+  provider: ["$.provider"]
+  temperature: ["$.request.body.temperature"]
+  top_p: ["$.request.body.top_p"]
+  max_tokens: ["$.request.body.max_tokens"]
+  seed: ["$.request.body.seed"]
+  token_input: ["$.response.body.usage.prompt_tokens"]
+  token_output: ["$.response.body.usage.completion_tokens"]
+  finish_reason: ["$.response.body.choices[0].finish_reason"]
+"""
+GATEWAY_C = """
+name: helicone
+version: "1.0"
+kind: fixed
+fixed_kind: llm
+fields:
+  span_id: ["$.request.id"]
+  session_key: ["$.request.properties['Helicone-Session-Id']", "$.request.properties.session_id", "$.request.id"]
+  group_id: ["$.request.properties.group_id"]
+  task_type: ["$.request.properties['Helicone-Session-Path']"]
+  input: ["$.request.body.messages"]
+  output: ["$.response.body.choices"]
+  model: ["$.request.model", "$.response.model"]
+  provider: ["$.request.provider"]
+  temperature: ["$.request.body.temperature"]
+  max_tokens: ["$.request.body.max_tokens"]
+  token_input: ["$.response.body.usage.prompt_tokens"]
+  token_output: ["$.response.body.usage.completion_tokens"]
+"""
+GATEWAYS = {"litellm": GATEWAY_A, "portkey": GATEWAY_B, "helicone": GATEWAY_C}
+
 
 @F.pandas_udf(StringType())
 def _payload(given: pd.Series, output: pd.Series) -> pd.Series:

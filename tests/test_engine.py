@@ -3,6 +3,7 @@
 import hashlib
 import hmac
 import json
+import re
 import random
 import time
 from datetime import datetime, timedelta
@@ -152,6 +153,35 @@ def test_redaction_paths_and_failures(spark):
     assert redact.matches(("steps[*].raw",), "steps[3].raw.a") and not redact.matches(("steps[*].ra",), "steps[3].raw") and redact.matches(("a.*",), "a.b")
 
 
+@pytest.mark.parametrize("native", [True, False])
+def test_redaction_of_any_character(spark, native):
+    """Control characters, matches at either end and next to each other, and patterns that may match nothing."""
+    mail = r"[a-z]+@[a-z]+\.[a-z]+"
+    texts = ["a\x01b x@y.com c secret@z.org tail", "x@y.com", "\x00\x01x@y.comé\x01", "x@y.com x@y.com", "\x01\x01", "no"]
+    got = [r["content_inline"] for r in redact.redact_steps(redact.Policy(rules=(redact.Rule("m", "tokenize", mail),), key=b"k", native=native), steps_of(spark, texts)).collect()]
+    assert got == [re.sub(mail, lambda m: hashing.token_of(b"k", m[0]), t) for t in texts]
+    empty = redact.Policy(rules=(redact.Rule("e", "tokenize", "9*"),), key=b"k", native=native)
+    assert redact.redact_steps(empty, steps_of(spark, ["a9"])).first()["content_inline"] == re.sub("9*", lambda m: hashing.token_of(b"k", m[0]), "a9")
+    key = redact.transform_key(redact.Policy(rules=(redact.Rule("m", "tokenize", mail, fields=("x",)),), key=b"k", native=native), F.lit("x@y.com"))
+    assert spark.range(1).select(key).first()[0] == hashing.token_of(b"k", "x@y.com")
+
+
+def test_error_messages_are_counted_and_quarantined(spark):
+    rows = steps_of(spark, ["fine"]).withColumn("error", F.struct(F.lit("t").alias("type"), F.lit("call 12345").alias("message")))
+    policy = redact.Policy(rules=(redact.Rule("digits", "replace", r"\d{4,}"),), error_message=True)
+    done = redact.redact_steps(policy, rows)
+    assert done.first()["error"]["message"] == "call [redacted:digits]"
+    assert {(r["path"], r["matches"]) for r in redact.manifest(policy, done).collect()} == {("steps[*].error.message", 1)}
+
+    def broken(text):
+        if "call" in text:
+            raise RuntimeError
+        return []
+
+    good, bad = redact.quarantined(redact.redact_steps(redact.Policy(detector=broken, key=b"k", error_message=True), rows))
+    assert good.count() == 0 and bad.first()["error"]["message"] is None
+
+
 def test_raw_values_get_the_whole_policy(spark):
     """Each key of steps[*].raw and of episode.raw goes through deny, allow, fields, path rules and the detector, and is counted."""
     rules = (redact.Rule("mail", "tokenize", path="$.mail"), redact.Rule("digits", "replace", r"\d+", fields=("steps[*].raw.n", "episode.raw.n")))
@@ -349,3 +379,110 @@ def test_payloads_of_all_documents_are_cut_by_bytes(spark):
     got = sorted((r["episode_id"], r["cut_sha256"]) for r in catalog.queries()["payload_truncate_all"](spark, d).collect())
     want = sorted((f"d{r['doc_id']}", None if r["text"] is None else hashlib.sha256(r["text"].encode()[:100].decode(errors="replace").encode()).hexdigest()) for r in rows)
     assert got == want and any(not r["text"].encode()[:100].decode(errors="replace").isascii() for r in rows if r["text"])
+
+
+def test_file_tail(spark, tmp_path):
+    """Closed log files are taken once, container prefixes go, spans and episodes are told apart."""
+    from skein.sources import filetail
+
+    span = json.dumps({"session_id": "s1", "span_id": "a", "step": {"step_idx": 0, "kind": "llm", "started_at": "2026-01-01T00:00:00Z"}})
+    episode = json.dumps({"episode_id": "e1", "status": "complete", "steps": [{"step_idx": 0, "kind": "tool", "started_at": "2026-01-01T00:00:01Z"}]})
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text(f"# a comment\n2026-01-01T00:00:00.1Z stdout F {span}\n\n")
+    got: list = []
+
+    def drain():
+        query = filetail.envelopes(spark, f"{folder}/*.jsonl", most_files=1).writeStream.foreachBatch(lambda rows, _: got.extend((r["session_key"], r["kind"]) for r in rows.collect())).option("checkpointLocation", f"{tmp_path}/tail").trigger(availableNow=True).start()
+        assert query.awaitTermination(60)
+
+    drain()
+    (folder / "b.tmp").write_text(episode + "\n")
+    drain()
+    assert len(got) == 1
+    (folder / "b.tmp").rename(folder / "b.jsonl")
+    drain()
+    assert len(got) == 2 and {k for _, k in got} == {"llm", "tool"}
+
+
+def test_delivery_retries_and_sets_aside(spark, tmp_path):
+    from skein.streaming import delivery
+
+    rows, waits, calls = spark.createDataFrame([(1, "a"), (2, "b")], "id int, text string"), [], []
+
+    def busy(df, batch):
+        calls.append(df.count())
+        if len(calls) < 3:
+            raise OSError("the store is away")
+
+    delivery.delivered(busy, f"{tmp_path}/dead", attempts=4, first=1, sleep=waits.append)(rows, 7)
+    assert calls == [2, 2, 2] and len(waits) == 2 and 0.5 <= waits[0] <= 1 <= waits[1] <= 2
+    delivery.delivered(lambda df, b: df.select("nothing_of_this_name").collect(), f"{tmp_path}/dead", sleep=waits.append)(rows, 8)
+    dead = spark.read.json(f"{tmp_path}/dead/batch=8").collect()
+    assert len(waits) == 2 and {json.loads(r["row"])["text"] for r in dead} == {"a", "b"} and all("AnalysisException" in r["reason"] for r in dead)
+
+    def never(df, batch):
+        raise OSError("gone")
+
+    delivery.delivered(never, f"{tmp_path}/dead", attempts=3, sleep=waits.append)(rows, 9)
+    assert len(waits) == 4 and spark.read.json(f"{tmp_path}/dead/batch=9").count() == 2
+
+
+def test_counters(spark, tmp_path):
+    from skein.streaming import delivery
+
+    counters = delivery.listened(spark)
+    try:
+        steps_of(spark, ["abc", None, "defg"]).write.parquet(f"{tmp_path}/steps")
+        stream = spark.readStream.schema(schemas.schema("steps")).parquet(f"{tmp_path}/steps")
+        query = delivery.counted(stream, "ingest").writeStream.format("noop").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+        assert query.awaitTermination(60)
+        until = time.time() + 20
+        while ("ingest", "rows") not in counters.totals and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counters)
+    assert counters.totals["ingest", "rows"] == 3 and counters.totals["ingest", "kind_tool"] == 3 and counters.totals["ingest", "payload_bytes"] == 7 and counters.totals["ingest", "errors"] == 0
+    assert 'skein_rows_total{at="ingest"} 3' in counters.text()
+
+
+def test_gateway_mappings_ship():
+    mappings = {name: webhook.mapping_of(text) for name, text in webhook.GATEWAYS.items()}
+    assert set(mappings) == {"litellm", "portkey", "helicone"} and all(m.fields["span_id"] for m in mappings.values())
+
+
+def test_gateway_payloads(spark):
+    bodies = [
+        ("portkey", {"id": "p1", "metadata": {"session_id": "s"}, "request": {"body": {"messages": [{"role": "user", "content": "q"}], "model": "m", "temperature": 0.5}}, "response": {"body": {"choices": [{"finish_reason": "stop"}], "usage": {"prompt_tokens": 3}}}}),
+        ("helicone", {"request": {"id": "h1", "properties": {"Helicone-Session-Id": "t"}, "body": {"messages": []}, "model": "n"}, "response": {"body": {"usage": {"completion_tokens": 4}}}}),
+    ]
+    for name, body in bodies:
+        rows = webhook.envelopes(spark.createDataFrame([(json.dumps(body),)], "value string"), webhook.mapping_of(webhook.GATEWAYS[name]), name).collect()
+        assert [(r["session_key"], r["model"], r["kind"]) for r in rows] == [("s", "m", "llm") if name == "portkey" else ("t", "n", "llm")]
+
+
+def test_damaged_files_are_found(spark, tmp_path):
+    """Damage after the first rows of a file counts, and only that file is named."""
+    lake = Lake(spark, f"{tmp_path}/lake")
+    rows = steps_of(spark, [hashlib.sha256(str(i).encode()).hexdigest() * 20 for i in range(3000)])
+    for i in range(3):
+        rows.coalesce(1).write.parquet(f"{tmp_path}/lake/steps/p_batch={i}")
+    paths = sorted(str(p) for p in (tmp_path / "lake" / "steps").rglob("*.parquet"))
+    assert conform.unreadable(lake, "steps", paths) == []
+    raw = bytearray(open(paths[1], "rb").read())
+    middle = len(raw) // 2
+    raw[middle : middle + 2000] = bytes(2000)
+    open(paths[1], "wb").write(raw)
+    for crc in (tmp_path / "lake" / "steps").rglob(".*.crc"):
+        crc.unlink()
+    found = conform.unreadable(lake, "steps", paths)
+    assert len(found) == 1 and found[0].startswith(paths[1])
+
+
+def test_unmanifested_files_by_join(spark, tmp_path):
+    lake = Lake(spark, f"{tmp_path}/lake")
+    episodes = schemas.fitted(spark.createDataFrame([("e1", "complete")], "episode_id string, status string"), "episodes").withColumn("started_at", F.lit("2026-01-01").cast("timestamp"))
+    lake.write(episodes=episodes)
+    assert lake.unmanifested() == 0
+    schemas.fitted(lake.episodes(), "episodes").coalesce(1).write.parquet(f"{tmp_path}/lake/episodes/p_dt=x")
+    assert lake.unmanifested() == 1
