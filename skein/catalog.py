@@ -10,6 +10,7 @@ from skein.functions.values import sanitised, timestamp, truncated
 from skein.operators import assemble, export, extract, inspect, outcome_join, redact, sample, scoring
 from skein.operators.normalise import normalise
 from skein.plans import tables as T
+from skein.plans.stored import materialize
 from skein.sources import lake
 
 RULES = """
@@ -25,7 +26,7 @@ default_reward: 0.25
 KEY = b"a key for tests"
 EMAIL = r"[A-Za-z0-9_.+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.]+"
 DIGITS = r"[0-9]{4,}"
-POLICY = redact.Policy(rules=(redact.Rule("email", "tokenize", EMAIL), redact.Rule("digits", "replace", DIGITS)), key=KEY)
+POLICY = redact.Policy(rules=(redact.Rule("email", "tokenize", EMAIL), redact.Rule("digits", "replace", DIGITS)), key=KEY, native=True)  # the key is no secret
 KEY_RULES = {"shop.open": [("k", "$.args.k")]}
 
 
@@ -33,8 +34,8 @@ def _us(*columns: str) -> list:
     return [F.unix_micros(c).alias(c.replace("_at", "_us")) for c in columns]
 
 
-def _labels(spark, d):
-    return outcome_join.labels(T.episodes(spark, d), T.outcomes(spark, d), T.AS_OF, T.HORIZON)
+def _labels(spark, d, episodes=None):
+    return outcome_join.labels(T.episodes(spark, d) if episodes is None else episodes, T.outcomes(spark, d), T.AS_OF, T.HORIZON)
 
 
 def _rewards(spark, d):
@@ -42,8 +43,11 @@ def _rewards(spark, d):
 
 
 def _selected(spark, d, **options):
-    rewarded = export.latest_rewards(_rewards(spark, d), "shop.kept")
-    return export.selection(_labels(spark, d), T.episodes(spark, d), rewarded, **options)
+    """Exports read tables that are written, as in a lake: each is built once."""
+    episodes = materialize(T.episodes(spark, d), "episodes")
+    labels = materialize(_labels(spark, d, episodes), "labels")
+    rewarded = export.latest_rewards(scoring.rewards(labels, scoring.parse_rules(RULES)), "shop.kept")
+    return export.selection(labels, episodes, rewarded, **options)
 
 
 def assemble_sessions(spark: SparkSession, d: str) -> DataFrame:
@@ -103,7 +107,7 @@ def reward_histogram(spark, d):
 
 
 def rescore_skips_scored(spark, d):
-    done = _rewards(spark, d).where(F.pmod(F.crc32(F.col("episode_id").cast("binary")), F.lit(2)) == 0)
+    done = _rewards(spark, d).where(F.substring(F.md5(F.col("episode_id").cast("binary")), 1, 1) < "8")
     return scoring.rewards(_labels(spark, d), scoring.parse_rules(RULES), done).select("episode_id", "reward")
 
 
@@ -153,7 +157,7 @@ def redaction_manifest(spark, d):
 
 
 def tokenised_key_join(spark, d):
-    everything = redact.Policy(rules=(redact.Rule("id", "tokenize", r"^[0-9]+$"),), key=KEY)
+    everything = redact.Policy(rules=(redact.Rule("id", "tokenize", r"^[0-9]+$"),), key=KEY, native=True)
     keyed = T.episodes(spark, d).withColumn("entity_keys", F.transform("entity_keys", lambda k: F.struct(k["name"].alias("name"), redact.transform_key(everything, k["value"]).alias("value"))))
     outcomes = T.outcomes(spark, d).withColumn("entity_key", redact.transform_key(everything, F.col("entity_key")))
     return outcome_join.attribute(keyed, outcomes, T.AS_OF, T.HORIZON).select("episode_id", "outcome_id", "entity_key")
@@ -312,6 +316,7 @@ ORACLES = {
       (SELECT count(*) FROM v) - (SELECT count(*) FROM l) AS unattributed, (SELECT count(*) FROM o) - (SELECT count(*) FROM v) AS future_observed, (SELECT count(*) FROM o WHERE event_id % 10 = 0) AS duplicates""",
     "rules_rewards": f"WITH {_O} SELECT episode_id, 'shop.kept' AS verifier_id, '1' AS verifier_version, reward, clause FROM rw",
     "reward_histogram": f"WITH {_O} SELECT clause, count(*) AS episodes FROM rw GROUP BY clause",
+    "rescore_skips_scored": f"WITH {_O} SELECT episode_id, reward FROM rw WHERE substr(md5(episode_id), 1, 1) >= '8'",
     "latest_reward_per_episode": f"WITH {_O} SELECT episode_id, CASE WHEN reward < 1 THEN '2' ELSE '10' END AS verifier_version, CASE WHEN reward < 1 THEN reward + 2 ELSE reward + 10 END AS reward FROM rw",
     "export_drop_reasons": f"""WITH {_O}, z AS (SELECT CASE WHEN lab.label_status <> 'final' THEN 'label_' || lab.label_status WHEN rw.reward IS NULL THEN 'not_scored' WHEN rw.reward < 0.5 THEN 'below_min_reward'
       WHEN NOT lab.versions THEN 'fidelity_tool_versions' END AS drop_reason FROM lab LEFT JOIN rw USING (episode_id)) SELECT drop_reason, count(*) AS episodes FROM z WHERE drop_reason IS NOT NULL GROUP BY drop_reason""",
@@ -335,6 +340,11 @@ ORACLES = {
     "blob_dedup": "SELECT sha256(text) AS content_ref, count(*) AS uses, max(strlen(text)) AS bytes FROM documents WHERE strlen(text) > 8192 GROUP BY sha256(text)",
     "payload_truncate": r"SELECT 'd' || doc_id AS episode_id, sha256(substr(text, 1, 100)) AS cut_sha256 FROM documents WHERE strlen(text) = length(text)",
     "partition_values": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE source || '_' || lang || '__' END AS task_type FROM documents",
+    "head_sample": f"""WITH {_S}, k AS (SELECT episode_id AS session_key, count(*) AS spans FROM s GROUP BY episode_id),
+      f AS (SELECT *, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(session_key, ''), lambda x: ascii(x)::UHUGEINT)), lambda h, b: xor(h, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS z FROM k),
+      a AS (SELECT session_key, spans, xor(z, z // 1073741824) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM f),
+      b AS (SELECT session_key, spans, xor(z, z // 134217728) * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM a)
+      SELECT session_key, spans FROM b WHERE CAST(xor(z, z // 2147483648) // 2048 AS DOUBLE) / 9007199254740992 < 0.3""",
     "tail_sample": f"""WITH {_S}, z AS (SELECT episode_id, CASE WHEN step_count >= 3 THEN 'tail:long' WHEN status = 'complete' AND ended - started >= 1000 THEN 'tail:ended' WHEN task_type IN ('view', 'search') OR group_id = 'g3' THEN 'tail:kind' END AS sampled_by FROM ep)
       SELECT * FROM z WHERE sampled_by IS NOT NULL""",
     "dedup_redelivery": f"WITH {_S} SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY us, event_id) - 1 AS step_idx, us AS started_us FROM s",

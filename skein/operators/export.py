@@ -129,7 +129,7 @@ _STEP = "step_idx, parent_idx, attempt, kind, tool_name, tool_version, model, pa
 
 
 @F.pandas_udf(StringType())
-def _trajectory(meta: pd.Series, steps: pd.Series) -> pd.Series:
+def _episode_line(meta: pd.Series, steps: pd.Series) -> pd.Series:
     def one(head, body):
         head, rows = json.loads(head), json.loads(body or "[]")
         rows.sort(key=lambda s: (s.get("started_at", ""), s["step_idx"]))
@@ -150,7 +150,7 @@ def trajectories(selected: DataFrame, steps: DataFrame) -> DataFrame:
     """episode_id and one JSON line per kept episode, with its steps in order."""
     per = steps.groupBy("episode_id").agg(F.to_json(F.collect_list(F.struct(*_STEP))).alias("steps"))
     rows = kept(selected).join(per, "episode_id", "left")
-    return rows.select("episode_id", "group_id", "reward", _trajectory(F.to_json(F.struct(*_EPISODE)), "steps").alias("line"))
+    return rows.select("episode_id", "group_id", "reward", _episode_line(F.to_json(F.struct(*_EPISODE)), "steps").alias("line"))
 
 
 def contrasts(selected: DataFrame) -> DataFrame:

@@ -89,12 +89,14 @@ def join_stats(episodes: DataFrame, outcomes: DataFrame, as_of, horizon: timedel
     rows = labels(episodes, outcomes, as_of, horizon, attribution)
     of_labels = rows.agg(
         F.count("*").alias("episodes"), *[F.count_if(F.col("label_status") == s).alias(s) for s in ("final", "provisional", "unjoinable")], F.count_if(F.col("outcome_count") > 0).alias("with_outcomes"),
+        F.coalesce(F.sum("outcome_count"), F.lit(0)).cast("long").alias("attributed"),
     )
     distinct = dedup_outcomes(outcomes)
     of_outcomes = distinct.agg(F.count("*").alias("distinct_outcomes"), F.count_if(F.col("observed_at") > _ts(as_of)).alias("future_observed"))
     total = outcomes.agg(F.count("*").alias("outcomes"))
-    attributed = attribute(episodes, outcomes, as_of, horizon, attribution).agg(F.countDistinct("_id").alias("attributed"))
-    one = of_labels.crossJoin(of_outcomes).crossJoin(total).crossJoin(attributed)  # four tables of one row
+    one = of_labels.crossJoin(of_outcomes).crossJoin(total)  # three tables of one row
+    if attribution == "all":  # an outcome may be in several rows; with the last touch it is in one
+        one = one.drop("attributed").crossJoin(attribute(episodes, outcomes, as_of, horizon, attribution).agg(F.countDistinct("_id").alias("attributed")))
     return one.select(
         "episodes", "final", "provisional", "unjoinable", "with_outcomes", "outcomes", "attributed",
         (F.col("distinct_outcomes") - F.col("future_observed") - F.col("attributed")).alias("unattributed"), "future_observed", (F.col("outcomes") - F.col("distinct_outcomes")).alias("duplicates"),
