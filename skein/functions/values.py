@@ -73,3 +73,21 @@ def string_map(json: Column) -> Column:
 def path_value(json: Column, paths: list[str]) -> Column:
     """The first path with a value; JSON null is none."""
     return F.coalesce(*[F.get_json_object(json, p) for p in paths]) if paths else F.lit(None).cast("string")
+
+
+#: Bytes up to which a text is read as JSON by built-ins; a longer one is carried as a string, as variants end at 16 MB.
+MOST_JSON = 8 << 20
+
+
+def json_value(text: Column, scalars: bool = True) -> Column:
+    """A text as JSON: itself, compact and with sorted keys, if it is JSON (of any kind, or of objects and arrays only), else a JSON string; null stays."""
+    shaped = F.lit(True) if scalars else F.regexp_like(text, F.lit(r"^\s*[{\[]"))
+    value = F.coalesce(F.when(shaped, F.try_parse_json(text)), text.cast("variant"))
+    boxed = F.when(F.octet_length(text) <= MOST_JSON, F.to_json(F.struct(value.alias("v")))).when(text.isNotNull(), F.to_json(F.struct(text.alias("v"))))
+    return F.substr(boxed, F.lit(6), F.length(boxed) - 6)
+
+
+def json_object(**fields: Column) -> Column:
+    """A JSON object of fields that are JSON already, without those that are null; null if all are."""
+    parts = F.array_compact(F.array(*[F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]))
+    return F.when(F.size(parts) > 0, F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from skein.functions.values import json_value
+
 FIDELITY = {"params": "has_params", "token_spans": "has_token_spans", "tool_versions": "has_tool_versions"}
 
 
@@ -60,16 +62,6 @@ def kept(selected: DataFrame) -> DataFrame:
     return selected.where(F.col("drop_reason").isNull()).drop("drop_reason")
 
 
-def _json(text: str | None):
-    """The value of a payload: itself if it is JSON, else a string."""
-    if not text:
-        return None
-    try:
-        return json.loads(text)
-    except ValueError:
-        return text
-
-
 def messages_of(given) -> list[dict]:
     """The message list of a prompt: a string, a list, or an object that holds one."""
     if isinstance(given, dict):
@@ -128,29 +120,22 @@ _EPISODE = "episode_id, task_type, group_id, label_status, reward, clauses, veri
 _STEP = "step_idx, parent_idx, attempt, kind, tool_name, tool_version, model, params, trainable, token_spans, error, truncated, content_inline, started_at".split(", ")
 
 
-@F.pandas_udf(StringType())
-def _episode_line(meta: pd.Series, steps: pd.Series) -> pd.Series:
-    def one(head, body):
-        head, rows = json.loads(head), json.loads(body or "[]")
-        rows.sort(key=lambda s: (s.get("started_at", ""), s["step_idx"]))
-        for s in rows:
-            s.pop("started_at", None)
-            content = _json(s.pop("content_inline", None))
-            if content is not None:
-                s["content"] = content
-        verifier, version = head.pop("verifier_id", None), head.pop("verifier_version", None)
-        if verifier:
-            head["verifier"] = f"{verifier}@{version}"
-        return _line(head | {"steps": rows})
-
-    return pd.Series([one(*row) for row in zip(meta, steps)], dtype=object)
+def _with(json: Column, name: str, value: Column) -> Column:
+    """A JSON object (not an empty one) with one field more, of JSON; without it where it is null."""
+    return F.when(value.isNull(), json).otherwise(F.concat(F.substr(json, F.lit(1), F.length(json) - 1), F.lit(f',"{name}":'), value, F.lit("}")))
 
 
 def trajectories(selected: DataFrame, steps: DataFrame) -> DataFrame:
-    """episode_id and one JSON line per kept episode, with its steps in order."""
-    per = steps.groupBy("episode_id").agg(F.to_json(F.collect_list(F.struct(*_STEP))).alias("steps"))
+    """episode_id and one JSON line per kept episode, with its steps in order (start, then number)."""
+    fields = [c for c in _STEP if c not in ("started_at", "content_inline")]
+    # pieces of JSON, not values, so that a payload may be of any size
+    step = _with(F.to_json(F.struct(*fields)), "content", json_value(F.nullif(F.col("content_inline"), F.lit(""))))
+    per = steps.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce(F.unix_micros("started_at"), F.lit(0)).alias("at"), F.col("step_idx"), step.alias("json")))).alias("steps"))
     rows = kept(selected).join(per, "episode_id", "left")
-    return rows.select("episode_id", "group_id", "reward", _episode_line(F.to_json(F.struct(*_EPISODE)), "steps").alias("line"))
+    head = [F.col(c) for c in _EPISODE if c not in ("verifier_id", "verifier_version")]
+    verifier = F.when(F.coalesce("verifier_id", F.lit("")) != "", F.concat_ws("@", "verifier_id", "verifier_version"))
+    shown = F.concat(F.lit("["), F.coalesce(F.array_join("steps.json", ","), F.lit("")), F.lit("]"))
+    return rows.select("episode_id", "group_id", "reward", _with(F.to_json(F.struct(*head, verifier.alias("verifier"))), "steps", shown).alias("line"))
 
 
 def contrasts(selected: DataFrame) -> DataFrame:

@@ -8,18 +8,15 @@ could not be parsed, stay in `raw`.
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass
 from pathlib import Path
 
-import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from skein import schemas
-from skein.functions.values import is_true, present
+from skein.functions.values import is_true, json_object, json_value, present
 
 SPAN = """trace_id string, span_id string, parent_span_id string, name string, start_us bigint, end_us bigint,
  attributes map<string,string>, status_error boolean, status_message string, scope_name string, scope_version string"""
@@ -102,30 +99,11 @@ def conventions(folder: str | None = None) -> list[Convention]:
     return [found[k] for k in sorted(found)]
 
 
-def embedded(text: str | None):
-    """JSON objects and arrays become values, anything else a string."""
-    if text is None:
-        return None
-    t = text.strip()
-    if t[:1] in ("{", "["):
-        try:
-            return json.loads(t)
-        except ValueError:
-            pass
-    return text
-
-
-@F.pandas_udf(StringType())
-def payload(kind: pd.Series, given: pd.Series, arguments: pd.Series, output: pd.Series) -> pd.Series:
-    """The payload envelope: {"args","result"} of a tool, {"input","output"} otherwise; null if both are missing."""
-
-    def one(k, a, b, c):
-        first, second = ("args", "result") if k == "tool" else ("input", "output")
-        a = b if k == "tool" and b is not None else a
-        doc = {name: embedded(v) for name, v in ((first, a), (second, c)) if v is not None}
-        return json.dumps(doc, ensure_ascii=False, separators=(",", ":"), sort_keys=True) if doc else None
-
-    return pd.Series([one(*row) for row in zip(kind, given, arguments, output)], dtype=object)
+def payload(kind, given, arguments, output) -> Column:
+    """The payload envelope: {"args","result"} of a tool, {"input","output"} otherwise; objects and arrays are values in it, anything else a string. Null if both are missing."""
+    kind, given, arguments, output = (F.col(c) if isinstance(c, str) else c for c in (kind, given, arguments, output))
+    first, second = json_value(F.coalesce(F.when(kind == "tool", arguments), given), scalars=False), json_value(output, scalars=False)
+    return F.when(kind == "tool", json_object(args=first, result=second)).otherwise(json_object(input=first, output=second))
 
 
 _INVOCATION = "struct<temperature:double,top_p:double,max_tokens:int,max_completion_tokens:int,seed:bigint,stop:string>"

@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 
-import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from skein import schemas
 from skein.functions.jsonpath import parse
-from skein.functions.values import path_value, present, timestamp
+from skein.functions.values import json_object, json_value, path_value, present, timestamp
 
 FIELDS = frozenset("span_id session_key task_type group_id episode_end input output model provider finish_reason temperature top_p max_tokens seed token_input token_output cost error started_at ended_at".split())
 
@@ -119,21 +116,6 @@ fields:
 GATEWAYS = {"litellm": GATEWAY_A, "portkey": GATEWAY_B, "helicone": GATEWAY_C}
 
 
-@F.pandas_udf(StringType())
-def _payload(given: pd.Series, output: pd.Series) -> pd.Series:
-    def value(text):
-        try:
-            return json.loads(text)
-        except ValueError:
-            return text
-
-    def one(a, b):
-        doc = {k: value(v) for k, v in (("input", a), ("output", b)) if v is not None}
-        return json.dumps(doc, ensure_ascii=False, separators=(",", ":"), sort_keys=True) if doc else None
-
-    return pd.Series([one(*r) for r in zip(given, output)], dtype=object)
-
-
 def documents(bodies: DataFrame, column: str = "value") -> DataFrame:
     """One row per call (`doc`): a body is one object or an array of them."""
     listed = F.from_json(column, "array<string>")
@@ -157,7 +139,7 @@ def envelopes(bodies: DataFrame, mapping: Mapping, source: str = "gateway") -> D
     out = rows.select(
         F.coalesce(present(mapping.get("session_key")), mapping.get("span_id")).alias("session_key"), F.lit(source).alias("source"), mapping.get("span_id").alias("span_id"), F.coalesce(mapping.get("episode_end").isin("true", "1"), F.lit(False)).alias("terminal"),
         error.alias("episode_error"), present(mapping.get("task_type")).alias("task_type"), present(mapping.get("group_id")).alias("group_id"), F.lit(f"gateway-{mapping.name}").alias("instrumentation"), F.lit(mapping.version).alias("instrumentation_version"),
-        F.lit(mapping.fixed_kind).alias("kind"), _payload(mapping.get("input"), mapping.get("output")).alias("content_inline"), present(mapping.get("model")).alias("model"), present(mapping.get("provider")).alias("provider"),
+        F.lit(mapping.fixed_kind).alias("kind"), json_object(input=json_value(mapping.get("input")), output=json_value(mapping.get("output"))).alias("content_inline"), present(mapping.get("model")).alias("model"), present(mapping.get("provider")).alias("provider"),
         present(mapping.get("finish_reason")).alias("finish_reason"), params.alias("params"), tokens.alias("token_counts"), F.lit("unknown").alias("trainable"), F.coalesce(started, F.timestamp_micros(F.lit(0))).alias("started_at"),
         F.when((ended > started) & (F.unix_micros(started) > 0), ((F.unix_micros(ended) - F.unix_micros(started)) / 1000).cast("int")).alias("latency_ms"), error.alias("error"), F.when(F.size(raw) > 0, raw).alias("raw"), number("cost", "double").alias("cost_usd"),
         mapping.get("input").alias("_messages"),
@@ -180,17 +162,6 @@ def tool_steps(calls: DataFrame) -> DataFrame:
     latest = met.groupBy("session_key", "span_id", "id", "pos").agg(F.max_by(F.struct("tool_name", "args"), "at").alias("a"), F.first(F.struct("source", "instrumentation", "instrumentation_version", "task_type", "group_id", "started_at", F.col("m.content").alias("result"))).alias("g"))
     out = latest.select(
         "session_key", F.concat(F.lit("tool:"), F.col("id")).alias("span_id"), "g.source", "g.instrumentation", "g.instrumentation_version", "g.task_type", "g.group_id", F.lit(False).alias("terminal"), F.lit("tool").alias("kind"), F.col("a.tool_name").alias("tool_name"),
-        _tool_payload("a.args", "g.result").alias("content_inline"), F.lit("unknown").alias("trainable"), F.timestamp_micros(F.unix_micros("g.started_at") - 1).alias("started_at"),
+        F.coalesce(json_object(args=json_value(F.col("a.args")), result=json_value(F.col("g.result"))), F.lit("{}")).alias("content_inline"), F.lit("unknown").alias("trainable"), F.timestamp_micros(F.unix_micros("g.started_at") - 1).alias("started_at"),
     )
     return schemas.fitted(out, "envelopes")
-
-
-@F.pandas_udf(StringType())
-def _tool_payload(args: pd.Series, result: pd.Series) -> pd.Series:
-    def value(text):
-        try:
-            return json.loads(text)
-        except (ValueError, TypeError):
-            return text
-
-    return pd.Series([json.dumps({k: value(v) for k, v in (("args", a), ("result", r)) if v is not None}, ensure_ascii=False, separators=(",", ":"), sort_keys=True) for a, r in zip(args, result)], dtype=object)
