@@ -486,3 +486,50 @@ def test_unmanifested_files_by_join(spark, tmp_path):
     assert lake.unmanifested() == 0
     schemas.fitted(lake.episodes(), "episodes").coalesce(1).write.parquet(f"{tmp_path}/lake/episodes/p_dt=x")
     assert lake.unmanifested() == 1
+
+
+def test_protobuf_converges_on_json(spark):
+    """A body written by the protobuf library gives the same envelopes as its JSON; broken bodies are told."""
+    from google.protobuf import descriptor_pb2, descriptor_pool, message_factory
+
+    from skein.sources import protobuf
+
+    # the library's own encoder, with messages declared from the same numbers
+    file = descriptor_pb2.FileDescriptorProto(name="t.proto", package="t", syntax="proto3")
+    kinds = {"text": 9, "int": 3, "bool": 8, "double": 1}
+
+    def declare(name, fields):
+        m = file.message_type.add(name=name)
+        for number, (field, shape) in fields.items():
+            many, shape = (3, shape[0]) if isinstance(shape, list) else (1, shape)
+            if shape == "map":
+                entry = m.nested_type.add(name=f"{field.title().replace('_', '')}Entry")
+                entry.options.map_entry = True
+                for n, part in ((1, "key"), (2, "value")):
+                    entry.field.add(name=part, number=n, type=9, label=1)
+                m.field.add(name=field, number=number, type=11, label=3, type_name=f".t.{name}.{entry.name}")
+            elif isinstance(shape, dict):
+                declare(inner := f"{name}_{field}", shape)
+                m.field.add(name=field, number=number, type=11, label=many, type_name=f".t.{inner}")
+            else:
+                m.field.add(name=field, number=number, type=5 if isinstance(shape, tuple) else kinds[shape], label=many)
+
+    declare("Batch", protobuf.EPISODE_BATCH)
+    declare("Spans", protobuf.SPAN_BATCH)
+    pool = descriptor_pool.DescriptorPool()
+    pool.Add(file)
+    batch, spans = (message_factory.GetMessageClass(pool.FindMessageTypeByName(f"t.{n}")) for n in ("Batch", "Spans"))
+    step = {"step_idx": 1, "kind": 2, "content": "é", "tool_name": "open", "started_at": 1_700_000_000_000_000, "params": {"temperature": 0.5, "seed": -3, "stop": ["a", "b"]}, "token_spans": [{"start": 1, "end": 9, "trainable": 2}], "raw": {"k": "v"}, "latency_ms": 12, "trainable": 3}
+    body = batch(episodes=[{"episode": {"episode_id": "e1", "status": 1, "tenant": "t", "raw": {"a": "b"}, "error": {"type": "x", "message": "y"}}, "steps": [{"kind": 1, "started_at": 1_700_000_000_000_000}, step]}]).SerializeToString()
+    named = step | {"kind": "tool", "trainable": "false", "token_spans": [{"start": 1, "end": 9, "trainable": "true"}]}
+    text = json.dumps({"episode_id": "e1", "status": "complete", "tenant": "t", "raw": {"a": "b"}, "error": {"type": "x", "message": "y"}, "steps": [{"step_idx": 0, "kind": "llm", "started_at": 1_700_000_000_000_000}, named]})
+    got = protobuf.episode_envelopes(spark.createDataFrame([(body,)], "body binary"), "s")
+    want = wire.episode_envelopes(spark.createDataFrame([(text,)], "value string"), "s")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 2
+    body = spans(spans=[{"session_id": "s", "span_id": "a", "terminal": True, "step": step}]).SerializeToString()
+    text = json.dumps({"session_id": "s", "span_id": "a", "terminal": True, "step": named})
+    got = protobuf.span_envelopes(spark.createDataFrame([(body,)], "body binary"), "s")
+    assert [str(r) for r in got.collect()] == [str(r) for r in wire.span_envelopes(spark.createDataFrame([(text,)], "value string"), "s").collect()]
+    bad = [body[:-3], b"", b"\x0a", b"\xff" * 12, batch(episodes=[{"steps": [step]}]).SerializeToString()]
+    told = protobuf.records(spark.createDataFrame([(x,) for x in bad], "body binary"), protobuf.episodes_of).collect()
+    assert len(told) == len(bad) and all(r["error"].startswith("invalid protobuf") and r["value"] is None for r in told)
