@@ -38,7 +38,7 @@ EACH = 16
 SUBSETS = EACH * len(DENSITIES)
 #: Distinct terms that a task holds before it hands its counts on.
 HELD = 2_000_000
-#: Rows of a block of neighbouring ids, on average, and most blocks.
+#: Rows of a block of neighbouring ids, on average, and most blocks. A block is sorted by Spark and read row by row, so it may have any size.
 BLOCK_ROWS, MOST_BLOCKS = 1000, 65536
 
 
@@ -204,11 +204,14 @@ def with_next(docs: DataFrame) -> DataFrame:
     given = spark.sparkContext.broadcast(np.array(sorted(set(bounds or [])), np.int64))
 
     @F.pandas_udf("int")
-    def block_of(ids: pd.Series) -> pd.Series:
-        known = ids.fillna(-(1 << 63)).astype("int64").to_numpy()
-        return pd.Series(np.searchsorted(given.value, known, side="right").astype(np.int32))
-
-    rows = rows.withColumn("block", block_of("doc_id")).withColumn("tie", F.xxhash64("text"))
+    def block_of(ids: pd.Series, none: pd.Series, ties: pd.Series) -> pd.Series:
+        known = np.searchsorted(given.value, ids.to_numpy(np.int64), side="right")
+        # rows without an id come after all others, by their hashes: blocks of their own below 0
+        place = ((ties.to_numpy(np.int64) >> 32) + (1 << 31)) * blocks >> 32
+        return pd.Series(np.where(none.to_numpy(bool), place - blocks, known).astype(np.int32))
+
+    # nulls are told apart before, as pandas would turn a column that holds some into floats
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("block", block_of(F.coalesce("doc_id", F.lit(0).cast("long")), F.col("doc_id").isNull(), F.col("tie")))
     heads = rows.groupBy("block").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id"), F.col("tie"))).alias("head")).select("block", "head.doc_id", "head.tie").collect()  # a row a block
     heads = sorted(heads, key=lambda r: r["block"])
     copies = [(h["doc_id"], h["tie"], heads[(i + 1) % len(heads)]["block"]) for i, h in enumerate(heads)]

@@ -53,10 +53,10 @@ def jump_shard(key_column, shards: int) -> F.Column:
 
     @F.pandas_udf("int")
     def of(key: pd.Series) -> pd.Series:
-        ids = key.fillna(-(1 << 63)).astype("int64").to_numpy().view(np.uint64)
-        return pd.Series(jump_hash(mix64(ids), shards).astype(np.int32))
+        return pd.Series(jump_hash(mix64(key.to_numpy(np.int64).view(np.uint64)), shards).astype(np.int32))
 
-    return of(F.col(key_column) if isinstance(key_column, str) else key_column)
+    # null is the least number; told before, as pandas would turn a column that holds some into floats
+    return of(F.coalesce(F.col(key_column) if isinstance(key_column, str) else key_column, F.lit(-(1 << 63)).cast("long")))
 
 
 def numbered_in_shards(df: DataFrame, shard: str, block: F.Column, order: list, bounded: bool = True) -> DataFrame:

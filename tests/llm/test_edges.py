@@ -101,6 +101,15 @@ def test_jump_hash_is_the_published_walk():
         assert sharding.jump_hash(keys, n).tolist() == [walk(int(k), n) for k in keys]
 
 
+def test_large_ids_beside_null(spark):
+    """Ids beyond 2 ** 53 keep their shards when null ids lie in the same batch."""
+    ids = [(1 << 60) + k for k in range(200)] + [-(1 << 62) - 1, None, None]
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_documents(spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").coalesce(1)).collect()}
+    known = np.array([i for i in ids if i is not None], np.int64)
+    want = sharding.jump_hash(sharding.mix64(known.view(np.uint64)), sharding.SHARDS).tolist()
+    assert [got[i] for i in known.tolist()] == want
+
+
 def best_possible(lengths, size):
     """Fewest sequences, by trying all partitions."""
     best = len(lengths)
@@ -178,6 +187,20 @@ def test_imatch_against_brute_force(spark):
     assert imatch.likeness(a, b)[0] == pytest.approx(sum(x == y for x, y in used) / max(1, len(used)))
 
 
+def test_next_document_among_rows_without_ids(spark, monkeypatch):
+    """Rows without an id come last, by their hashes, in several blocks; the last row is followed by the first."""
+    monkeypatch.setattr(imatch, "BLOCK_ROWS", 3)
+    docs = spark.createDataFrame([(i if i % 3 else None, f"text {i} of some words") for i in range(60)] + [(None, None)], "doc_id long, text string").repartition(4)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie")).collect()
+    rows.sort(key=lambda r: (r["doc_id"] is None, -(r["doc_id"] or 0), -r["tie"]))
+    want = []
+    for k, r in enumerate(rows):
+        edited = imatch.edited(r["text"], rows[(k + 1) % len(rows)]["text"])
+        want.append((str(r["doc_id"]), len(r["text"]), hashlib.sha256(edited.encode()).hexdigest()))
+    got = imatch.edited_fingerprints(docs).collect()
+    assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+
+
 def test_repeats_in_rows_with_one_id(spark):
     """Rows that share an id are told apart by their texts."""
     rng = random.Random(8)
