@@ -127,7 +127,9 @@ def preference_pairs(spark, d):
 
 
 def preference_drops(spark, d):
-    return export.preference_drops(_selected(spark, d))
+    """Some groups are split by clause, so that all their rewards are alike, and one is no group."""
+    group = F.when(F.col("group_id") == "g0", F.lit(None)).when(F.col("group_id") < "g5", F.concat("group_id", F.lit("/"), F.map_keys("clauses")[0])).otherwise(F.col("group_id"))
+    return export.preference_drops(_selected(spark, d).withColumn("group_id", group))
 
 
 def trajectories(spark, d):
@@ -207,7 +209,7 @@ def head_sample(spark, d):
 
 def tail_sample(spark, d):
     rules = [("long", "step_count >= 3"), ("ended", "status == 'complete' && duration_ms > 0"), ("kind", "task_type in ['view', 'search'] || group_id == 'g3'")]
-    return sample.tail_sample(T.episodes(spark, d), rules, 0.0).select("episode_id", "sampled_by")
+    return sample.tail_sample(T.episodes(spark, d), rules, 0.25).select("episode_id", "sampled_by")
 
 
 def dedup_redelivery(spark, d):
@@ -273,7 +275,19 @@ s AS (SELECT *, 'u' || user_id || '-s' || CAST(sum(fresh) OVER (PARTITION BY use
   CASE event_type WHEN 'click' THEN 'tool' WHEN 'view' THEN 'llm' WHEN 'signup' THEN 'human' WHEN 'search' THEN 'retrieval' ELSE 'other' END AS kind FROM n),
 ep AS (SELECT episode_id, user_id, min(us) AS started, max(us) AS ended, count(*) AS step_count, arg_min(event_type, (us, event_id)) AS task_type,
   'g' || (user_id % 10) AS group_id, CASE WHEN bool_or(event_type = 'signup') THEN 'complete' ELSE 'timed_out' END AS status,
-  count(*) FILTER (kind = 'tool') > 0 AND count(*) FILTER (kind = 'tool' AND event_id % 2 <> 0) = 0 AS versions FROM s GROUP BY episode_id, user_id)"""
+  count(*) FILTER (kind = 'tool') > 0 AND count(*) FILTER (kind = 'tool' AND event_id % 2 <> 0) = 0 AS versions, count(*) FILTER (kind = 'llm') > 0 AND count(*) FILTER (kind = 'llm' AND event_id % 3 = 0) = 0 AS params,
+  count(*) FILTER (kind = 'llm') > 0 AND count(*) FILTER (kind = 'llm' AND event_id % 5 = 0) = 0 AS spans FROM s GROUP BY episode_id, user_id)"""
+
+
+def _units_sql(source: str, key: str) -> str:
+    """The sampling hash: FNV-1a with the splitmix64 finaliser, modulo 2^64, as tables ending in u (k, unit)."""
+    return f"""f AS (SELECT k, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(k, ''), lambda x: ascii(x)::UHUGEINT)), lambda h, b: xor(h, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS z
+      FROM (SELECT DISTINCT {key} AS k FROM {source})),
+      a AS (SELECT k, xor(z, z // 1073741824) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM f),
+      b AS (SELECT k, xor(z, z // 134217728) * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM a),
+      u AS (SELECT k, CAST(xor(z, z // 2147483648) // 2048 AS DOUBLE) / 9007199254740992 AS unit FROM b)"""
+
+
 _O = (
     _S
     + """,
@@ -304,7 +318,7 @@ ORACLES = {
     "steps_ordered": f"WITH {_S} SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY us, event_id) - 1 AS step_idx, kind, us AS started_us FROM s",
     "span_parents": f"""WITH {_S}, w AS (SELECT *, row_number() OVER (PARTITION BY episode_id ORDER BY us, event_id) - 1 AS step_idx FROM s)
       SELECT a.episode_id, a.step_idx, CASE WHEN a.kind <> 'tool' THEN b.step_idx END AS parent_idx FROM w a LEFT JOIN w b ON a.episode_id = b.episode_id AND b.event_id = a.event_id - 1""",
-    "fidelity_flags": f"WITH {_S} SELECT episode_id, false AS has_params, false AS has_token_spans, versions AS has_tool_versions FROM ep",
+    "fidelity_flags": f"WITH {_S} SELECT episode_id, params AS has_params, spans AS has_token_spans, versions AS has_tool_versions FROM ep",
     "asof_join_last_touch": f"WITH {_O} SELECT episode_id, outcome_id, kind, value FROM l",
     "asof_join_all": f"WITH {_O} SELECT episode_id, outcome_id FROM m",
     "unattributed_outcomes": f"WITH {_O} SELECT outcome_id FROM v WHERE outcome_id NOT IN (SELECT outcome_id FROM m)",
@@ -322,8 +336,9 @@ ORACLES = {
       WHEN NOT lab.versions THEN 'fidelity_tool_versions' END AS drop_reason FROM lab LEFT JOIN rw USING (episode_id)) SELECT drop_reason, count(*) AS episodes FROM z WHERE drop_reason IS NOT NULL GROUP BY drop_reason""",
     "preference_pairs": f"""WITH {_O}, z AS (SELECT group_id, arg_min(episode_id, (-reward, episode_id)) AS chosen, arg_max(episode_id, (-reward, episode_id)) AS rejected, max(reward) AS chosen_reward, min(reward) AS rejected_reward, count(*) AS c
       FROM rw GROUP BY group_id) SELECT group_id, chosen, rejected, chosen_reward, rejected_reward FROM z WHERE c >= 2 AND chosen_reward <> rejected_reward""",
-    "preference_drops": f"""WITH {_O}, z AS (SELECT group_id, count(*) AS c, min(reward) AS a, max(reward) AS b FROM rw GROUP BY group_id)
-      SELECT 'group_without_contrast' AS drop_reason, CAST(sum(c) AS BIGINT) AS episodes FROM z WHERE c < 2 OR a = b HAVING count(*) > 0""",
+    "preference_drops": f"""WITH {_O}, g AS (SELECT reward, CASE WHEN group_id = 'g0' THEN NULL WHEN group_id < 'g5' THEN group_id || '/' || clause ELSE group_id END AS group_id FROM rw),
+      z AS (SELECT group_id, count(*) AS c, min(reward) AS a, max(reward) AS b FROM g GROUP BY group_id)
+      SELECT CASE WHEN group_id IS NULL THEN 'no_group_id' ELSE 'group_without_contrast' END AS drop_reason, CAST(sum(c) AS BIGINT) AS episodes FROM z WHERE group_id IS NULL OR c < 2 OR a = b GROUP BY 1""",
     "trajectories": f"""WITH {_O}, z AS (SELECT episode_id, count(*) AS n_steps, string_agg(kind, ',' ORDER BY us, event_id) AS kinds FROM s GROUP BY episode_id)
       SELECT episode_id, reward, 'shop.kept@1' AS verifier, n_steps, kinds FROM rw JOIN z USING (episode_id)""",
     "chat_export": """SELECT 'c' || u.conv_id AS episode_id, CAST(u.turn AS INTEGER) AS step_idx, u.text AS prompt, a.text AS reply FROM conversations u JOIN conversations a
@@ -340,13 +355,9 @@ ORACLES = {
     "blob_dedup": "SELECT sha256(text) AS content_ref, count(*) AS uses, max(strlen(text)) AS bytes FROM documents WHERE strlen(text) > 8192 GROUP BY sha256(text)",
     "payload_truncate": r"SELECT 'd' || doc_id AS episode_id, sha256(substr(text, 1, 100)) AS cut_sha256 FROM documents WHERE strlen(text) = length(text)",
     "partition_values": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE source || '_' || lang || '__' END AS task_type FROM documents",
-    "head_sample": f"""WITH {_S}, k AS (SELECT episode_id AS session_key, count(*) AS spans FROM s GROUP BY episode_id),
-      f AS (SELECT *, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split(session_key, ''), lambda x: ascii(x)::UHUGEINT)), lambda h, b: xor(h, b) * 1099511628211::UHUGEINT % 18446744073709551616::UHUGEINT) AS z FROM k),
-      a AS (SELECT session_key, spans, xor(z, z // 1073741824) * 13787848793156543929::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM f),
-      b AS (SELECT session_key, spans, xor(z, z // 134217728) * 10723151780598845931::UHUGEINT % 18446744073709551616::UHUGEINT AS z FROM a)
-      SELECT session_key, spans FROM b WHERE CAST(xor(z, z // 2147483648) // 2048 AS DOUBLE) / 9007199254740992 < 0.3""",
-    "tail_sample": f"""WITH {_S}, z AS (SELECT episode_id, CASE WHEN step_count >= 3 THEN 'tail:long' WHEN status = 'complete' AND ended - started >= 1000 THEN 'tail:ended' WHEN task_type IN ('view', 'search') OR group_id = 'g3' THEN 'tail:kind' END AS sampled_by FROM ep)
-      SELECT * FROM z WHERE sampled_by IS NOT NULL""",
+    "head_sample": f"""WITH {_S}, {_units_sql("s", "episode_id")} SELECT episode_id AS session_key, count(*) AS spans FROM s JOIN u ON k = episode_id WHERE unit < 0.3 GROUP BY episode_id""",
+    "tail_sample": f"""WITH {_S}, {_units_sql("ep", "episode_id")}, z AS (SELECT episode_id, CASE WHEN step_count >= 3 THEN 'tail:long' WHEN status = 'complete' AND ended - started >= 1000 THEN 'tail:ended' WHEN task_type IN ('view', 'search') OR group_id = 'g3' THEN 'tail:kind'
+      WHEN unit < 0.25 THEN 'tail:rate' END AS sampled_by FROM ep JOIN u ON k = episode_id) SELECT * FROM z WHERE sampled_by IS NOT NULL""",
     "dedup_redelivery": f"WITH {_S} SELECT episode_id, row_number() OVER (PARTITION BY episode_id ORDER BY us, event_id) - 1 AS step_idx, us AS started_us FROM s",
     "late_patches": f"""WITH {_S} SELECT episode_id, 1048576 + row_number() OVER (PARTITION BY episode_id ORDER BY us, event_id) - 1 AS step_idx, us AS started_us FROM s
       WHERE event_type = 'click' AND episode_id IN (SELECT episode_id FROM s WHERE event_type <> 'click')""",

@@ -29,6 +29,10 @@ def kind() -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("event_type")), F.lit("other"))
 
 
+def _of(column: str, text: str) -> Column:
+    return F.from_json(F.lit(text), schemas.schema("envelopes")[column].dataType)
+
+
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event but purchases is a span of its user's session; a signup ends one."""
     events = table(spark, sf_dir, "events").where("event_type <> 'purchase'").withColumn("at", F.timestamp_micros(micros()))
@@ -37,7 +41,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("u"), F.col("user_id"), F.lit("-s"), F.col("session")).alias("session_key"), F.concat(F.lit("u"), F.col("user_id"), F.lit("-s"), F.col("session")).alias("episode_id"), F.lit("events").alias("source"),
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("span_id"), (F.col("event_type") == "signup").alias("terminal"), F.col("event_type").alias("task_type"), F.concat(F.lit("g"), F.col("user_id") % 10).alias("group_id"),
         kind().alias("kind"), F.concat(F.lit('{"args":'), F.col("props"), F.lit("}")).alias("content_inline"), F.when(kind() == "tool", F.lit("shop.open")).alias("tool_name"), F.when(F.col("event_id") % 2 == 0, "v1").alias("tool_version"), F.col("at").alias("started_at"),
-        F.col("user_id").alias("_user"),
+        F.when((kind() == "llm") & (F.col("event_id") % 3 != 0), _of("params", '{"temperature":0.5}')).alias("params"), F.when((kind() == "llm") & (F.col("event_id") % 5 != 0), _of("token_spans", '[{"start":0,"end":4}]')).alias("token_spans"),
     )
     return schemas.fitted(rows, "envelopes")
 
