@@ -52,7 +52,7 @@ class Convention:
         return sorted({self.kind_attribute, *(a for paths in self.fields.values() for a in paths)})
 
 
-# fixed values: the published attribute names of the two conventions
+# fixed values: attribute names of the two conventions (group, task type and end of an episode are names of this format, the others are published)
 OPENINFERENCE = Convention(
     "openinference", "0.1.14", ("openinference.span.kind",), "openinference.span.kind",
     {"LLM": "llm", "TOOL": "tool", "RETRIEVER": "retrieval", "EMBEDDING": "other", "CHAIN": "other", "AGENT": "other", "RERANKER": "other", "GUARDRAIL": "other", "EVALUATOR": "other"},
