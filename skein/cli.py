@@ -17,10 +17,17 @@ from pyspark.sql import functions as F
 from skein.functions.values import byte_size, duration_us
 from skein.operators import assemble, conform, export, extract, inspect, outcome_join, redact, sample, scoring
 from skein.sources import importers, wire
-from skein.sources.lake import Lake
+from skein.sources.lake import MOST_RECORDS, Lake
 from skein.streaming import delivery
 
 
+#: What each part of a configuration may hold.
+KEYS = {
+    "sampling": {"head_rate", "head_by_source", "tail", "otherwise_rate"}, "redaction": {"default", "allow", "deny", "rules", "metadata_only", "key", "native", "error_message"},
+    "payload": {"inline", "max"}, "lake": {"compression", "max_records"},
+}
+
+
 class ConfigError(ValueError):
     pass
 
@@ -37,6 +44,8 @@ class Config:
     entity_rules: dict = field(default_factory=dict)
     inline_bytes: int = 8192
     max_bytes: int | None = None
+    compression: str = "zstd"
+    max_records: int = MOST_RECORDS
 
     @classmethod
     def parse(cls, text: str) -> Config:
@@ -44,8 +53,9 @@ class Config:
         if unset:
             raise ConfigError(f"unset variables: {', '.join(unset)}")
         d = yaml.safe_load(re.sub(r"\$\{(\w+)\}", lambda m: os.environ[m[1]], text)) or {}
-        problems = [f"unknown key {k}" for k in d if k not in ("sampling", "redaction", "entities", "payload")]
-        s, r, p = d.get("sampling", {}), d.get("redaction", {}), d.get("payload", {})
+        problems = [f"unknown key {k}" for k in d if k not in (*KEYS, "entities")]
+        problems += [f"unknown key {k}.{x}" for k, known in KEYS.items() for x in (d.get(k) or {}) if x not in known]
+        s, r, p, w = (d.get(k) or {} for k in ("sampling", "redaction", "payload", "lake"))
         rules, policy = [], redact.Policy()
         for rule in r.get("rules", []):
             match = rule.get("match", {})
@@ -54,7 +64,7 @@ class Config:
             except (ValueError, re.error) as e:
                 problems.append(str(e))
         try:
-            policy = redact.Policy(r.get("default", "allow"), tuple(r.get("allow", ())), tuple(r.get("deny", ())), tuple(rules), r.get("metadata_only", False), str(r.get("key", "")).encode())
+            policy = redact.Policy(r.get("default", "allow"), tuple(r.get("allow", ())), tuple(r.get("deny", ())), tuple(rules), r.get("metadata_only", False), str(r.get("key", "")).encode(), native=bool(r.get("native", False)), error_message=bool(r.get("error_message", False)))
         except ValueError as e:
             problems.append(str(e))
         tail = [(x["name"], x["when"]) for x in s.get("tail", [])]
@@ -66,10 +76,16 @@ class Config:
         for rate in (s.get("head_rate", 1.0), s.get("otherwise_rate", 1.0), *s.get("head_by_source", {}).values()):
             if not 0 <= rate <= 1:
                 problems.append(f"a rate lies in 0 to 1, not {rate}")
+        if w.get("compression", "zstd") not in ("zstd", "snappy", "none"):
+            problems.append(f"compression is zstd, snappy or none, not {w['compression']!r}")
+        if not isinstance(w.get("max_records", 1), int) or w.get("max_records", 1) < 1:
+            problems.append(f"max_records is a number above 0, not {w['max_records']!r}")
+        if r.get("default", "allow") not in ("allow", "deny"):
+            problems.append(f"default is allow or deny, not {r['default']!r}")
         if problems:
             raise ConfigError("; ".join(problems))
         entities = {tool: [(e["name"], e["path"]) for e in found] for tool, found in d.get("entities", {}).items()}
-        return cls(s.get("head_rate", 1.0), s.get("head_by_source", {}), tail, s.get("otherwise_rate", 1.0), policy, entities, byte_size(str(p.get("inline", "8192"))), byte_size(str(p["max"])) if "max" in p else None)
+        return cls(s.get("head_rate", 1.0), s.get("head_by_source", {}), tail, s.get("otherwise_rate", 1.0), policy, entities, byte_size(str(p.get("inline", "8192"))), byte_size(str(p["max"])) if "max" in p else None, w.get("compression", "zstd"), w.get("max_records", MOST_RECORDS))
 
 
 def land(lake: Lake, envelopes, config: Config) -> dict:
@@ -86,7 +102,7 @@ def land(lake: Lake, envelopes, config: Config) -> dict:
     before = episodes.count()
     episodes = sample.tail_sample(episodes, config.tail_rules, config.otherwise_rate)
     steps = steps.join(episodes.select("episode_id"), "episode_id", "left_semi")
-    batch = lake.write(config.inline_bytes, most_bytes=config.max_bytes, episodes=episodes, steps=steps)
+    batch = lake.write(config.inline_bytes, most_bytes=config.max_bytes, compression=config.compression, most_records=config.max_records, episodes=episodes, steps=steps)
     delivery.quarantine(failed, lake.root, batch)
     kept = lake.manifests().where((F.col("batch_id") == batch) & (F.col("table") == "episodes")).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     return {"batch": batch, "episodes": kept, "sampled_out": before - kept, "quarantined": bad.select("episode_id").distinct().count()}

@@ -2,8 +2,8 @@
 
 An episode is a session key. Within it a span id counts once, the earliest copy; steps are
 ordered by (started_at, span_id), native ones by their own number first; a parent span
-becomes the index of its step. All is grouping by session key, so both tables come out of
-one partitioning. First and last values follow (started_at, span_id), not arrival.
+becomes the index of its step. All is grouping, windows and joins within a session key. First
+and last values follow (started_at, span_id), not arrival.
 """
 
 from __future__ import annotations

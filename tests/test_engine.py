@@ -326,6 +326,10 @@ def test_bad_config():
         cli.Config.parse("redaction: {key: ${SURELY_UNSET_X}}")
     with pytest.raises(cli.ConfigError, match="unknown key a; .*rate"):
         cli.Config.parse("a: 1\nsampling: {head_rate: 2}")
+    with pytest.raises(cli.ConfigError, match="unknown key redaction.modes; compression is .*; max_records is .*; default is allow or deny"):
+        cli.Config.parse("redaction: {modes: 1, default: maybe}\nlake: {compression: lzo, max_records: 0}")
+    made = cli.Config.parse("redaction: {error_message: true}\nlake: {compression: snappy, max_records: 5}")
+    assert made.redaction.error_message and (made.compression, made.max_records) == ("snappy", 5)
 
 
 def test_tail_sampling_keeps_on_error(spark):
