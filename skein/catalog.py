@@ -192,7 +192,7 @@ def payload_truncate(spark, d):
 
 
 def payload_truncate_all(spark, d):
-    """All documents; SQL has no cut of bytes inside a character, so there is no oracle."""
+    """All documents, cut at 100 bytes; half a character is replaced."""
     cut = truncated(F.col("content_inline"), 100)
     return T.document_steps(spark, d).select("episode_id", F.sha2(cut.cast("binary"), 256).alias("cut_sha256"))
 
@@ -354,6 +354,8 @@ ORACLES = {
     "blob_externalise": "SELECT 'd' || doc_id AS episode_id, CASE WHEN strlen(text) > 8192 THEN sha256(text) END AS content_ref, CASE WHEN strlen(text) <= 8192 THEN strlen(text) END AS inline_bytes FROM documents",
     "blob_dedup": "SELECT sha256(text) AS content_ref, count(*) AS uses, max(strlen(text)) AS bytes FROM documents WHERE strlen(text) > 8192 GROUP BY sha256(text)",
     "payload_truncate": r"SELECT 'd' || doc_id AS episode_id, sha256(substr(text, 1, 100)) AS cut_sha256 FROM documents WHERE strlen(text) = length(text)",
+    "payload_truncate_all": """WITH p AS (SELECT doc_id, text, substr(text, 1, list_max(list_filter(range(101), lambda k: strlen(substr(text, 1, CAST(k AS INTEGER))) <= 100))) AS cut FROM documents)
+      SELECT 'd' || doc_id AS episode_id, sha256(cut || CASE WHEN strlen(text) > 100 AND strlen(cut) < 100 THEN chr(65533) ELSE '' END) AS cut_sha256 FROM p""",
     "partition_values": "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE source || '_' || lang || '__' END AS task_type FROM documents",
     "head_sample": f"""WITH {_S}, {_units_sql("s", "episode_id")} SELECT episode_id AS session_key, count(*) AS spans FROM s JOIN u ON k = episode_id WHERE unit < 0.3 GROUP BY episode_id""",
     "tail_sample": f"""WITH {_S}, {_units_sql("ep", "episode_id")}, z AS (SELECT episode_id, CASE WHEN step_count >= 3 THEN 'tail:long' WHEN status = 'complete' AND ended - started >= 1000 THEN 'tail:ended' WHEN task_type IN ('view', 'search') OR group_id = 'g3' THEN 'tail:kind'
