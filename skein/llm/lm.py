@@ -45,7 +45,9 @@ from skein.llm.near_dedup import _BLANK, _LOWER, _mix
 FOLDS, HELD_OUT = 7, 2
 END, START, GOLD = np.uint64(0x5BD1E995), np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
 #: Text bytes of a block (a longer document is a block of its own), and of a bucket on average.
-BLOCK, BUCKET = 6 << 20, 12 << 20
+BLOCK, BUCKET = 6 << 20, 8 << 20
+#: Text bytes whose blocks meet their answers in one partition, at most on average.
+PART = 64 << 20
 #: Steps of the 16-bit logarithms: of shares (0 to 1) and of a word's customers in the parent.
 FINE, NONE = 512, 65535
 
@@ -54,8 +56,8 @@ def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def tokenised(sizes: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct tokens of a block's texts (mixed hashes, sorted), which one each token is, and the tokens of each text."""
+def word_hashes(sizes: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Mixed hashes of all tokens of some texts, and the tokens of each text."""
     data = _LOWER[np.frombuffer(raw, np.uint8)]
     n = len(data)
     ends = np.cumsum(sizes)
@@ -73,11 +75,23 @@ def tokenised(sizes: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np
     is_end = np.zeros(len(tokens), bool)
     is_end[np.cumsum(per) - 1] = True
     tokens[is_end], tokens[~is_end] = END, hashes
-    words, at = np.unique(_mix(tokens), return_inverse=True)
-    return words, at, per
+    return _mix(tokens), per
+
+
+def tokenised(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of a block's texts (mixed hashes, sorted), which one each token is, and the tokens of each text."""
+    hashes, per = [], []
+    size = np.array([len(t) for t in texts], np.int64)
+    cut = np.flatnonzero(np.diff(np.cumsum(size) >> 20)) + 1  # hashed by the megabyte
+    for a, z in zip([0, *cut.tolist()], [*cut.tolist(), len(texts)]):
+        h, n = word_hashes(size[a:z], b"".join(texts[a:z]))
+        hashes.append(h)
+        per.append(n)
+    words, at = np.unique(np.concatenate(hashes), return_inverse=True)
+    return words, at, np.concatenate(per)
 
 
-BLOCKS = "block long, doc_ids array<long>, per binary, words binary, tokens binary, bytes long"
+BLOCKS = "block long, doc_ids array<long>, per binary, words binary, times binary, tokens binary, bytes long"
 
 
 def tokenised_blocks(docs: DataFrame, size: int) -> DataFrame:
@@ -85,15 +99,16 @@ def tokenised_blocks(docs: DataFrame, size: int) -> DataFrame:
         ids, texts, held = [], [], 0
 
         def shown():
-            words, at, per = tokenised(np.array([len(t) for t in texts], np.int64), b"".join(texts))
-            cols = [[secrets.randbits(62)], [ids], [_narrow(per)], [words.tobytes()], [_narrow(at)], [held]]
-            kinds = (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["block", "doc_ids", "per", "words", "tokens", "bytes"])
+            words, at, per = tokenised(texts)
+            times = np.bincount(at, minlength=len(words))
+            rank = np.empty(len(words), np.int64)
+            rank[_by_times(times)] = np.arange(len(words))
+            return _rows(BLOCKS, [[secrets.randbits(62)], [ids], [_narrow(per)], [_packed(words)], [_packed(times)], [_packed(rank[at])], [held]])
 
         for b in batches:
             for doc_id, text in zip(b.column(b.schema.get_field_index("doc_id")).to_pylist(), b.column(b.schema.get_field_index("text")).cast(pa.binary())):
                 t = text.as_py()
-                if texts and held + len(t) > size:
+                if texts and (held + len(t) > size or len(texts) >= 65536):
                     yield shown()
                     ids, texts, held = [], [], 0
                 ids.append(doc_id)
@@ -105,6 +120,27 @@ def tokenised_blocks(docs: DataFrame, size: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")).mapInArrow(run, BLOCKS)
 
 
+def _by_times(times: np.ndarray) -> np.ndarray:
+    """Words by descending frequency, so that most tokens are small numbers."""
+    return np.argsort(-times, kind="stable")
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Numbers of 64 bits at most, in the fewest bytes, byte by byte, as a zstd frame."""
+    most = int(x.max(initial=0))
+    kind = np.dtype(np.uint8 if most < 256 else np.uint16 if most < 65536 else np.uint32 if most < 1 << 32 else np.uint64)
+    raw = x.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
+    return bytes([kind.itemsize]) + len(x).to_bytes(6, "little") + (pa.Codec("zstd", 1).compress(raw, asbytes=True) if raw else b"")
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    width, n = x[0], int.from_bytes(x[1:7], "little")
+    if not n:
+        return np.empty(0, np.uint64)
+    raw = pa.Codec("zstd").decompress(x[7:], width * n, asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel().astype(np.uint64)
+
+
 def _narrow(x: np.ndarray) -> bytes:
     """A leading digit for the width, then the numbers, in the fewest bytes."""
     most = int(x.max(initial=0))
@@ -117,14 +153,14 @@ def _wide(x: bytes) -> np.ndarray:
 
 
 def _five(x: np.ndarray) -> bytes:
-    """The upper 40 bits of each hash."""
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+    """The upper 40 bits of each hash, byte by byte."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 3:].T.tobytes()
 
 
 def _from_five(x: bytes) -> np.ndarray:
     """Hashes with their lower 24 bits cleared."""
     out = np.zeros((len(x) // 5, 8), np.uint8)
-    out[:, 3:] = np.frombuffer(x, np.uint8).reshape(-1, 5)
+    out[:, 3:] = np.frombuffer(x, np.uint8).reshape(5, -1).T
     return out.view("<u8").ravel().astype(np.uint64)
 
 
@@ -132,11 +168,11 @@ def _logs(x: np.ndarray, zero: float) -> bytes:
     """16-bit logarithms of numbers in (0, 1], in steps of 1 / FINE octaves below 2 ** zero; NONE for 0."""
     with np.errstate(divide="ignore"):
         steps = np.round((zero - np.log2(x)) * FINE)
-    return np.where(x > 0, np.clip(steps, 0, NONE - 1), NONE).astype("<u2").tobytes()
+    return _packed(np.where(x > 0, np.clip(steps, 0, NONE - 1), NONE))
 
 
 def _from_logs(x: bytes, zero: float) -> np.ndarray:
-    steps = np.frombuffer(x, "<u2")
+    steps = _unpacked(x).astype(np.int64)
     return np.where(steps == NONE, 0, np.exp2(zero - steps / FINE))
 
 
@@ -154,8 +190,9 @@ def _cuts(buckets: np.ndarray) -> list[tuple[int, int, int]]:
 class Block:
     """A block's tokens as pairs, ordered by context and follower."""
 
-    def __init__(self, doc_ids: list, per: bytes, words: bytes, tokens: bytes, hot: Hot):
-        self.words, self.tokens, self.per = np.frombuffer(words, np.uint64), _wide(tokens), _wide(per)
+    def __init__(self, doc_ids: list, per: bytes, words: bytes, times: bytes, tokens: bytes, hot: Hot):
+        self.words, self.per = _unpacked(words), _wide(per)
+        self.tokens = _by_times(_unpacked(times).astype(np.int64))[_unpacked(tokens).astype(np.int64)]
         n, first = len(self.words), np.cumsum(self.per) - self.per
         self.trains = np.repeat(np.array([not held_out(d) for d in doc_ids], bool), self.per)
         before = np.empty_like(self.tokens)
@@ -198,21 +235,22 @@ def vocabulary(blocks: DataFrame, buckets: int) -> DataFrame:
     """A row a word bucket: its words with training counts, and which of them each block holds."""
 
     def send(batches):
-        for block, doc_ids, per, words, tokens in _each(batches, "block", "doc_ids", "per", "words", "tokens"):
-            hashes, trains = np.frombuffer(words, np.uint64), np.repeat(np.array([not held_out(d) for d in doc_ids], bool), _wide(per))
-            count = np.bincount(_wide(tokens)[trains], minlength=len(hashes))
+        for block, doc_ids, per, words, times, tokens in _each(batches, "block", "doc_ids", "per", "words", "times", "tokens"):
+            hashes, trains = _unpacked(words), np.repeat(np.array([not held_out(d) for d in doc_ids], bool), _wide(per))
+            count = np.zeros(len(hashes), np.int64)
+            count[_by_times(_unpacked(times).astype(np.int64))] = np.bincount(_unpacked(tokens).astype(np.int64)[trains], minlength=len(hashes))
             cuts = _cuts(bucket_of(hashes, buckets))
-            yield _rows(WORDS, [[b for b, _, _ in cuts], [block] * len(cuts), [hashes[a:z].tobytes() for _, a, z in cuts], [_narrow(count[a:z]) for _, a, z in cuts]])
+            yield _rows(WORDS, [[b for b, _, _ in cuts], [block] * len(cuts), [_packed(hashes[a:z]) for _, a, z in cuts], [_narrow(count[a:z]) for _, a, z in cuts]])
 
     def merge(table: pa.Table) -> pa.Table:
         d = table.to_pydict()
-        sent = [np.frombuffer(w, np.uint64) for w in d["words"]]
+        sent = [_unpacked(w) for w in d["words"]]
         words, at = np.unique(np.concatenate(sent), return_inverse=True)
         count = np.zeros(len(words), np.int64)
         np.add.at(count, at, np.concatenate([_wide(c) for c in d["counts"]]))
         # a block's words rise, so their places go as steps
         steps = [_narrow(np.diff(x, prepend=0)) for x in np.split(at, np.cumsum([len(w) for w in sent])[:-1])]
-        return pa.Table.from_batches([_rows(VOCABULARY, [[d["bucket"][0]], [words.tobytes()], [_narrow(count)], [d["block"]], [steps], [int(count.sum())], [int((count > 0).sum())]])])
+        return pa.Table.from_batches([_rows(VOCABULARY, [[d["bucket"][0]], [_packed(words)], [_narrow(count)], [d["block"]], [steps], [int(count.sum())], [int((count > 0).sum())]])])
 
     return blocks.mapInArrow(send, WORDS).groupBy("bucket").applyInArrow(merge, VOCABULARY)
 
@@ -238,7 +276,7 @@ def hot_contexts(vocabulary_: DataFrame, tokens: int, buckets: int) -> tuple[Hot
 
     def run(batches):
         for words, counts in _each(batches, "words", "counts"):
-            hashes, count = np.frombuffer(words, np.uint64), _wide(counts)
+            hashes, count = _unpacked(words), _wide(counts)
             many = np.flatnonzero((count > 2 * each) | (hashes == end))
             yield pa.RecordBatch.from_arrays([pa.array(hashes[many].view(np.int64)), pa.array(count[many])], ["word", "n"])
 
@@ -259,7 +297,7 @@ def seated(blocks: DataFrame, buckets: int, word_buckets: int, hot: Hot) -> Data
     given = blocks.sparkSession.sparkContext.broadcast(hot)
 
     def send(batches):
-        for block, *parts in _each(batches, "block", "doc_ids", "per", "words", "tokens"):
+        for block, *parts in _each(batches, "block", "doc_ids", "per", "words", "times", "tokens"):
             x = Block(*parts, given.value)
             size = np.diff(np.append(x.context, len(x.key)))
             contexts = x.key[x.context]
@@ -344,7 +382,7 @@ def rooted(vocabulary_: DataFrame, seated_: DataFrame, buckets: int, words: int)
             tables, discounted, strength, customers = 0.0, 0.0, 1.0, np.zeros(len(count))
             if found is not None:
                 known = _from_five(found)
-                key = np.frombuffer(raw, np.uint64) & np.uint64(0xFFFFFFFFFF000000)
+                key = _unpacked(raw) & np.uint64(0xFFFFFFFFFF000000)
                 at = np.minimum(np.searchsorted(known, key), len(known) - 1)
                 ok = np.flatnonzero((known[at] == key) & (count > 0))
                 t = _wide(total)[at[ok]]
@@ -408,13 +446,16 @@ def score(docs: DataFrame, buckets: int | None = None, block: int = BLOCK) -> Da
     both = answers.where("block is not null").select("block", "bucket", "shares", "back", "guests", none.alias("counts"), none.alias("customers")).unionByName(
         roots.where("block is not null").select("block", "bucket", none.alias("shares"), none.alias("back"), none.alias("guests"), "counts", "customers")
     )
+    parts = -(-total // PART)
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):  # partitions grow with the text
+        both, blocks = both.repartition(parts, "block"), blocks.repartition(parts, "block")
     of_block = both.groupBy("block").agg(F.collect_list(F.struct("bucket", "shares", "back", "guests", "counts", "customers")).alias("answers"))
 
     given = spark.sparkContext.broadcast(hot)
 
     def run(batches):
-        for doc_ids, per, raw, at, found in _each(batches, "doc_ids", "per", "words", "tokens", "answers"):
-            x = Block(doc_ids, per, raw, at, given.value)
+        for doc_ids, *parts, found in _each(batches, "doc_ids", "per", "words", "times", "tokens", "answers"):
+            x = Block(doc_ids, *parts, given.value)
             found.sort(key=lambda a: a["bucket"])
             seats, root = [a for a in found if a["shares"] is not None], [a for a in found if a["counts"] is not None]
             count = np.concatenate([_wide(a["counts"]) for a in root])

@@ -157,7 +157,10 @@ def test_shares_sum_to_one():
     per = np.full(len(texts) + len(asked), 3)
     at = np.array(texts + asked).ravel()
     for hot in (lm.Hot(np.empty(0, np.uint64), np.empty(0, np.int64)), lm.Hot(words[:2], np.array([2, 3]))):
-        x = lm.Block(ids, lm._narrow(per), words.tobytes(), lm._narrow(at), hot)
+        times = np.bincount(at, minlength=n)
+        rank = np.argsort(lm._by_times(times))
+        x = lm.Block(ids, lm._narrow(per), lm._packed(words), lm._packed(times), lm._packed(rank[at]), hot)
+        assert (x.tokens == at).all()
         size = np.diff(np.append(x.context, len(x.key)))
         context = np.repeat(np.arange(len(size)), size)
         share, back, tables, guests = lm.predictive(context, x.after, x.count, len(size), n, rng)
@@ -173,5 +176,13 @@ def test_shares_sum_to_one():
             assert 0.85 < total < 1.15 if a < 2 and len(hot.hashes) else 0.9 < total < 1.000001, (a, total)
 
 
+def test_packing_of_numbers():
+    rng = np.random.default_rng(2)
+    for most in (1, 255, 256, 70000, 1 << 40, (1 << 64) - 1):
+        x = rng.integers(0, most, 500, dtype=np.uint64, endpoint=True)
+        assert (lm._unpacked(lm._packed(x)) == x).all() and (lm._from_five(lm._five(x)) == x & np.uint64(0xFFFFFFFFFF000000)).all()
+    assert len(lm._unpacked(lm._packed(np.empty(0, np.int64)))) == 0
+
+
 def test_empty(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
