@@ -45,7 +45,7 @@ COMMON = 1 / 16
 #: Examples of the average kind in a term's relevance, and what every term's relevance has at least.
 PRIOR, FLOOR = 4.0, 0.01
 #: Queries that are looked up together, and postings that these read (a single query may read more).
-BATCH, POSTINGS = 256, 1 << 18
+BATCH, POSTINGS = 128, 1 << 18
 CUT = 0.7
 FOLDS, HELD_OUT = 3, 1
 
@@ -127,7 +127,7 @@ class BlockMaxIndex:
         self.most = self.weights.reshape(len(common), self.blocks, BLOCK).max(axis=2) if len(order) else np.zeros((len(common), 0), np.float32)
         by_term = np.argsort(f[~tiled], kind="stable")
         self.places, self.posted = place[~tiled][by_term].astype(np.int32), w[~tiled][by_term]
-        self.begin = np.concatenate(([0], np.cumsum(np.where(self.row < 0, held, 0))))
+        self.begin = np.concatenate(([0], np.cumsum(np.where(self.row < 0, held, 0)))).astype(np.int32)
 
     def nearest(self, q: Vectors, k: int = K) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines (a row of k a query, best first) of the nearest examples; a cosine of 0 marks an empty place."""
@@ -242,20 +242,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
             )
 
     # at most 2 * EXAMPLES ids are broadcast, and as many term lists come to the driver
-    sample = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(terms, "doc_id long, y int, terms binary, n binary").collect()
-    sample = sorted({r["doc_id"]: r for r in sorted(sample, key=lambda r: (r["terms"], r["n"]))}.values(), key=lambda r: r["doc_id"])
-    rows = [(r["doc_id"], r["y"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["n"], np.uint32)) for r in sample]
-    features = np.unique(np.concatenate([t for _, _, t, _ in rows])) if rows else np.empty(0, np.uint64)
+    found = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(terms, "doc_id long, y int, terms binary, n binary").toArrow()
+    rows = sorted({r["doc_id"]: r for r in sorted(found.to_pylist(), key=lambda r: (r["terms"], r["n"]))}.values(), key=lambda r: r["doc_id"])
+    y, ids = np.array([r["y"] for r in rows], np.int64), np.array([r["doc_id"] for r in rows], np.int64)
+    held = np.frombuffer(b"".join(r["terms"] for r in rows), np.uint64)
+    n = np.frombuffer(b"".join(r["n"] for r in rows), np.uint32)
+    owner = np.repeat(np.arange(len(rows)), [len(r["terms"]) // 8 for r in rows])
+    del found, rows
+    features, f = np.unique(held, return_inverse=True)
+    del held
     idf = inverse_frequencies(docs, features)
-    y, ids = np.array([r[1] for r in rows], np.int64), np.array([r[0] for r in rows], np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(t) for _, _, t, _ in rows])
-    f = np.searchsorted(features, np.concatenate([np.empty(0, np.uint64), *(t for _, _, t, _ in rows)]))
-    n = np.concatenate([np.empty(0, np.uint32), *(n for *_, n in rows)])
     calibrates = np.array([(d * 0x9E3779B97F4A7C15 % (1 << 64)) >> 62 == 0 for d in ids.tolist()], bool)
-    indexed = ~calibrates & (np.bincount(owner, minlength=len(rows)) > 0)
+    indexed = ~calibrates & (np.bincount(owner, minlength=len(ids)) > 0)
     given = indexed[owner]
     weight = idf * relevance(f[given], y[owner[given]], y[indexed].mean() if indexed.any() else 0.5, len(features))
-    vectors = Vectors.unit(owner, f, n, len(rows), weight)
+    vectors = Vectors.unit(owner, f, n, len(ids), weight)
     use, check = np.flatnonzero(indexed), np.flatnonzero(calibrates)
     model = Model(features, weight, BlockMaxIndex(vectors.take(use), y[use], ids[use], len(features)))
     if len(check) and len(use):
