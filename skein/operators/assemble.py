@@ -22,10 +22,14 @@ def with_span_ids(envelopes: DataFrame) -> DataFrame:
     return envelopes.where(present(F.col("session_key")).isNotNull()).withColumn("_span", F.coalesce(present(F.col("span_id")), made))
 
 
+def _copy() -> Column:
+    """1, 2, 3 ... of the copies of a span, the earliest first."""
+    return F.row_number().over(Window.partitionBy("session_key", "_span").orderBy("started_at", "latency_ms", "content_inline"))
+
+
 def dedup_spans(envelopes: DataFrame) -> DataFrame:
     """One row per (session_key, _span), the earliest."""
-    order = Window.partitionBy("session_key", "_span").orderBy("started_at", "latency_ms", "content_inline")
-    return envelopes.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return envelopes.withColumn("_n", _copy()).where("_n = 1").drop("_n")
 
 
 def episode_id() -> Column:
@@ -46,16 +50,16 @@ def steps(envelopes: DataFrame) -> DataFrame:
     return schemas.fitted(filled, "steps")
 
 
-def _first(column: str) -> Column:
-    value = present(F.col(column))
-    return F.min_by(F.col(column), F.when(value.isNotNull(), F.struct("started_at", "_span")))
+def _first(column: str, among: Column | None = None) -> Column:
+    given = present(F.col(column)).isNotNull()
+    return F.min_by(F.col(column), F.when(given if among is None else given & among, F.struct("started_at", "_span")))
 
 
-def fidelity() -> Column:
-    """Whether every model call has params and token spans, and every tool call a version."""
+def fidelity(among: Column) -> Column:
+    """Whether every model call among the rows has params and token spans, and every tool call a version."""
 
     def every(kind: str, ok: Column) -> Column:
-        of_kind = F.col("kind") == kind
+        of_kind = among & (F.col("kind") == kind)
         return (F.count_if(of_kind) > 0) & (F.count_if(of_kind & ~F.coalesce(ok, F.lit(False))) == 0)
 
     return F.struct(
@@ -67,22 +71,20 @@ def fidelity() -> Column:
 
 def episodes(envelopes: DataFrame, unfinished: str = "timed_out") -> DataFrame:
     """The episodes table; an episode without a terminal span gets the status `unfinished`."""
-    spans = with_span_ids(envelopes)
+    # dealt by session once: the copies of a span are counted and the session added up where they lie
+    spans = with_span_ids(envelopes).repartition("session_key").withColumn("_n", _copy())
     end = F.timestamp_micros(F.unix_micros("started_at") + F.coalesce("latency_ms", F.lit(0)).cast("long") * 1000)
-    # times and the terminal mark take in every copy of a span, the rest only the earliest
-    when = spans.groupBy("session_key").agg(
-        F.min("started_at").alias("started_at"), F.max(end).alias("ended_at"), F.max("received_at").alias("received_at"), F.coalesce(F.bool_or("terminal"), F.lit(False)).alias("terminal"),
-    )
-    once = dedup_spans(spans)
+    first = F.col("_n") == 1
     texts = ["episode_id", "source", "tenant", "group_id", "task_type", "instrumentation", "instrumentation_version"]
-    what = once.groupBy("session_key").agg(
-        *[_first(c).alias(c) for c in texts],
-        F.count("*").cast("int").alias("step_count"),
-        fidelity().alias("fidelity"),
-        F.min_by("episode_error", F.when(F.col("episode_error").isNotNull(), F.struct("started_at", "_span"))).alias("error"),
-        F.max_by("episode_raw", F.when(F.col("episode_raw").isNotNull(), F.struct("started_at", "_span"))).alias("raw"),
-    )
-    joined = when.join(what, "session_key")
+    # times and the terminal mark take in every copy of a span, the rest only the earliest
+    joined = spans.groupBy("session_key").agg(
+        F.min("started_at").alias("began"), F.max(end).alias("ended_at"), F.max("received_at").alias("received_at"), F.coalesce(F.bool_or("terminal"), F.lit(False)).alias("terminal"),
+        *[_first(c, first).alias(c) for c in texts],
+        F.count_if(first).cast("int").alias("step_count"),
+        fidelity(first).alias("fidelity"),
+        F.min_by("episode_error", F.when(first & F.col("episode_error").isNotNull(), F.struct("started_at", "_span"))).alias("error"),
+        F.max_by("episode_raw", F.when(first & F.col("episode_raw").isNotNull(), F.struct("started_at", "_span"))).alias("raw"),
+    ).withColumnRenamed("began", "started_at")
     filled = joined.withColumns({
         "episode_id": episode_id(),
         "tenant": F.coalesce("tenant", F.lit("default")),
