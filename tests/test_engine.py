@@ -3,8 +3,8 @@
 import hashlib
 import hmac
 import json
-import re
 import random
+import re
 import time
 from datetime import datetime, timedelta
 
