@@ -6,6 +6,7 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from skein import schemas
 from skein.operators import assemble
@@ -29,8 +30,17 @@ def kind() -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.col("event_type")), F.lit("other"))
 
 
-def _of(column: str, text: str) -> Column:
-    return F.from_json(F.lit(text), schemas.schema("envelopes")[column].dataType)
+def _value(kind: DataType, value) -> Column:
+    """A constant of any type, which the optimizer folds."""
+    if value is not None and isinstance(kind, StructType):
+        return F.struct(*[_value(f.dataType, value.get(f.name)).alias(f.name) for f in kind])
+    if value is not None and isinstance(kind, ArrayType):
+        return F.array(*[_value(kind.elementType, v) for v in value])
+    return F.lit(value).cast(kind)
+
+
+def _of(column: str, value) -> Column:
+    return _value(schemas.schema("envelopes")[column].dataType, value)
 
 
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +51,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("u"), F.col("user_id"), F.lit("-s"), F.col("session")).alias("session_key"), F.concat(F.lit("u"), F.col("user_id"), F.lit("-s"), F.col("session")).alias("episode_id"), F.lit("events").alias("source"),
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("span_id"), (F.col("event_type") == "signup").alias("terminal"), F.col("event_type").alias("task_type"), F.concat(F.lit("g"), F.col("user_id") % 10).alias("group_id"),
         kind().alias("kind"), F.concat(F.lit('{"args":'), F.col("props"), F.lit("}")).alias("content_inline"), F.when(kind() == "tool", F.lit("shop.open")).alias("tool_name"), F.when(F.col("event_id") % 2 == 0, "v1").alias("tool_version"), F.col("at").alias("started_at"),
-        F.when((kind() == "llm") & (F.col("event_id") % 3 != 0), _of("params", '{"temperature":0.5}')).alias("params"), F.when((kind() == "llm") & (F.col("event_id") % 5 != 0), _of("token_spans", '[{"start":0,"end":4}]')).alias("token_spans"),
+        F.when((kind() == "llm") & (F.col("event_id") % 3 != 0), _of("params", {"temperature": 0.5})).alias("params"), F.when((kind() == "llm") & (F.col("event_id") % 5 != 0), _of("token_spans", [{"start": 0, "end": 4}])).alias("token_spans"),
     )
     return schemas.fitted(rows, "envelopes")
 
