@@ -157,18 +157,45 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """An empty cache: sorted hashes of pre-tokens, where the ids of each begin and how many, and all these ids."""
+        """An empty cache: hashes of pre-tokens, where the ids of each begin and how many, all these ids, and a hash table of numbers of hashes."""
         self.known, self.base, self.count = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
         self.table = np.empty(0, np.uint32)
+        self.bits, self.entries = 16, np.full(1 << 16, -1, np.int32)
+
+    def _place(self, first: int) -> None:
+        """Put the known hashes from the first on into the table, by open addressing."""
+        at = (self.known[first:] >> np.uint64(64 - self.bits)).astype(np.int64)
+        entry = np.arange(first, len(self.known), dtype=np.int32)
+        while len(at):
+            free = np.flatnonzero(self.entries[at] < 0)
+            self.entries[at[free]] = entry[free]  # of several for one place, one stays
+            left = self.entries[at] != entry
+            at, entry = (at[left] + 1) & ((1 << self.bits) - 1), entry[left]
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the hashes among the known ones, or -1."""
+        if not len(self.known):
+            return np.full(len(hashes), -1, np.int32)
+        at = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.entries[at]
+        far = np.flatnonzero((self.known.take(out, mode="clip") != hashes) & (out >= 0))
+        while len(far):
+            at[far] = x = (at[far] + 1) & ((1 << self.bits) - 1)
+            out[far] = entry = self.entries[x]
+            far = far[(self.known.take(entry, mode="clip") != hashes[far]) & (entry >= 0)]
+        return out
 
     def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
         lists = self.pieces(words)
         count = np.fromiter(map(len, lists), np.int64, len(lists))
         base = len(self.table) + np.cumsum(count) - count
         self.table = np.concatenate((self.table, np.fromiter(itertools.chain.from_iterable(lists), np.uint32, int(count.sum()))))
-        known = np.concatenate((self.known, hashes))
-        order = np.argsort(known, kind="stable")  # two sorted runs: a merge
-        self.known, self.base, self.count = known[order], np.concatenate((self.base, base))[order], np.concatenate((self.count, count))[order]
+        self.known, self.base, self.count = np.concatenate((self.known, hashes)), np.concatenate((self.base, base)), np.concatenate((self.count, count))
+        first = len(self.known) - len(hashes)
+        if 2 * len(self.known) > 1 << self.bits:
+            self.bits, first = (2 * len(self.known)).bit_length(), 0
+            self.entries = np.full(1 << self.bits, -1, np.int32)
+        self._place(first)
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         fast, slow = [], {}
@@ -202,24 +229,24 @@ class Encoder:
         if not len(starts):
             return np.empty(0, np.uint32), np.zeros(len(texts), np.int64)
         hashes = span_hashes(cp, starts, ends)
-        _, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        distinct = hashes[index]
-        at = np.searchsorted(self.known, distinct)
-        new = np.flatnonzero(self.known.take(at, mode="clip") != distinct) if len(self.known) else np.arange(len(distinct))
+        entry = self._find(hashes)
+        new = np.flatnonzero(entry < 0)
         if len(new):
-            if len(self.known) + len(new) > CACHE:
+            distinct, index, inverse = np.unique(hashes[new], return_index=True, return_inverse=True)
+            if len(self.known) + len(distinct) > CACHE:
                 self._forget()
-                new = np.arange(len(distinct))
-            self._learn(distinct[new], [joined[a:b] for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist())])
-            at = np.searchsorted(self.known, distinct)
-        base, lens, table = self.base[at], self.count[at], self.table
-        count = lens[inverse]
+                new = np.arange(len(hashes))
+                distinct, index, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+            entry[new] = len(self.known) + inverse
+            index = new[index]
+            self._learn(distinct, [joined[a:b] for a, b in zip(starts[index].tolist(), ends[index].tolist())])
+        count = self.count[entry]
         ends_at = np.cumsum(count)
         total = int(ends_at[-1])
         pick = np.arange(total)
-        pick += np.repeat(base[inverse] - (ends_at - count), count)
+        pick += np.repeat(self.base[entry] - (ends_at - count), count)
         before = np.concatenate(([0], ends_at))[np.searchsorted(starts, np.append(first, len(cp)))]
-        return table[pick], np.diff(before)
+        return self.table[pick], np.diff(before)
 
 
 @functools.cache
@@ -285,18 +312,21 @@ def word_json_encoder(path: str) -> Encoder:
             ranks[raw[: len(raw) - last].translate(inner) + raw[len(raw) - last :].translate(final)] = i
     ranks |= {bytes([b]): -1 - b & 0xFFFFFFFF for b in range(256) if bytes([b]) not in ranks}  # never asked for
     core = tiktoken.Encoding(path, pat_str="", mergeable_ranks=ranks, special_tokens={}, explicit_n_vocab=None)
-    rare = bytes(set(range(256)) - set(common))
+    rare = np.ones(256, bool)
+    rare[common] = False
+    final_of, merged = np.frombuffer(bytes(final), np.uint8), core._core_bpe.encode_single_piece
 
     def pieces(words: list[str]) -> list[list[int]]:
-        out: list = []
-        odd = []
-        for w in words:
-            raw = w.encode()
-            if len(raw.translate(None, rare)) == len(raw):
-                out.append(core._encode_single_piece(raw[:-1].translate(inner) + raw[-1:].translate(final)))
-            else:
-                odd.append(len(out))
-                out.append(None)
+        joined = "\n".join(words).encode()  # no pre-token holds white space
+        raw = np.frombuffer(joined + b"\n", np.uint8)
+        ends = np.flatnonzero(raw == 10)
+        starts = np.append(0, ends[:-1] + 1)
+        symbols = np.frombuffer(joined.translate(inner) + b"\n", np.uint8).copy()
+        symbols[ends - 1] = final_of[raw[ends - 1]]
+        held = np.concatenate(([0], np.cumsum(rare[raw])))
+        odd = np.flatnonzero(held[ends] > held[starts]).tolist()
+        data, skip = symbols.tobytes(), set(odd)
+        out: list = [None if i in skip else merged(data[a:b]) for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist()))]
         for i, e in zip(odd, t.encode_batch_fast([words[i] for i in odd], add_special_tokens=False) if odd else []):
             out[i] = e.ids
         return out

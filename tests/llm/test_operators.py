@@ -316,6 +316,52 @@ def test_id_coder_mixes():
     assert cost < 16 * len(words) < cost * 1.02 + 64
 
 
+def test_id_coder_predictions():
+    """What whole blocks' predictions are found to be is what stepping through the slots finds, shared slots and long runs included."""
+    rng = np.random.default_rng(10)
+    now = np.concatenate([rng.integers(0, 5000, (3, 500)), np.tile(rng.integers(0, 5000, 9), (3, 30)), rng.integers(0, 3, (3, 200))], axis=1).astype(np.int32)
+    now[2] = 7
+    before = np.concatenate([np.zeros((3, 1), np.int32), now[:, :-1]], axis=1)
+    before2 = np.concatenate([np.zeros((3, 1), np.int32), before[:, :-1]], axis=1)
+    for context in (before, id_coder._order2(before, before2)):
+        got = id_coder._predicted(context, now)
+        for row in range(len(now)):
+            slots = {}
+            for t, (c, s) in enumerate(zip(context[row].tolist(), now[row].tolist())):
+                check, p, hits = slots.get(c % 1024, (0, 0, 0))
+                hits *= check == c >> 10
+                assert got[row, t] == (p << 2) + hits
+                slots[c % 1024] = c >> 10, s, min(hits * (p == s), 2) + 1
+
+
+def test_known_pretokens_cost_no_sort(monkeypatch):
+    """Only pre-tokens that are new to an encoder are sorted and merged."""
+    encoder = pretoken.word_json_encoder(public_tokenizers.path(token_files.VOCABULARY))
+    texts = ["alpha beta gamma 42 " * 500, "beta, épsilon delta! " * 500]
+    encoder._forget()
+    want, _ = encoder.ids(texts)
+    sorted_, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda x, *a, **k: sorted_.append(len(x)) or unique(x, *a, **k))
+    assert (encoder.ids(texts)[0] == want).all() and not sorted_
+    encoder.ids([*texts, "zeta eta"])
+    assert sorted_ == [2]
+
+
+def test_pretoken_table_grows_and_probes(monkeypatch):
+    t = pretoken.json_tokenizer(public_tokenizers.path(token_files.VOCABULARY))
+    encoder = pretoken.word_json_encoder(public_tokenizers.path(token_files.VOCABULARY))
+    monkeypatch.setattr(pretoken, "CACHE", 40_000)
+    texts = [" ".join(f"w{i * i % 7919}x{i}é" for i in range(a, a + 15_000)) for a in (0, 5_000, 30_000, 0)]
+    for text in [*texts, ""]:
+        assert encoder.ids([text])[0].tolist() == t.encode(text, add_special_tokens=False).ids
+    made = pretoken.Encoder(None, None, lambda words: [[int(w)] for w in words])
+    hashes = np.concatenate([np.arange(1, 3000, dtype=np.uint64), np.uint64((1 << 64) - 1) - np.arange(3000, dtype=np.uint64)])  # two places; the last runs on at the first
+    for part in (hashes[::2], hashes[1::2]):
+        made._learn(part, [str(int(h) % 100_003) for h in part])
+    assert (made.table[made.base[made._find(hashes)]] == [int(h) % 100_003 for h in hashes]).all()
+    assert (made._find(np.array([5000, 1 << 63], np.uint64)) == -1).all()
+
+
 def test_token_files(spark):
     rows = corpus()
     path = public_tokenizers.path(token_files.VOCABULARY)
