@@ -43,9 +43,10 @@ def _rewards(spark, d):
 
 
 def _selected(spark, d, **options):
-    """Exports read tables that are written, as in a lake: each is built once."""
-    episodes = materialize(T.episodes(spark, d), "episodes")
-    labels = materialize(_labels(spark, d, episodes), "labels")
+    """Exports read tables that are written, as in a lake: each is built once, with the columns that are read."""
+    read = ("episode_id", "task_type", "group_id", "status", "started_at", "step_count", "entity_keys", "fidelity")
+    episodes = materialize(T.episodes(spark, d).select(*read), "episodes")
+    labels = materialize(_labels(spark, d, episodes).drop("started_at", "horizon_closes_at"), "labels")
     rewarded = export.latest_rewards(scoring.rewards(labels, scoring.parse_rules(RULES)), "shop.kept")
     return export.selection(labels, episodes, rewarded, **options)
 
@@ -133,7 +134,7 @@ def preference_drops(spark, d):
 
 
 def trajectories(spark, d):
-    steps = assemble.steps(T.envelopes(spark, d))
+    steps = assemble.steps(T.envelopes(spark, d, dealt=True))
     lines = export.trajectories(_selected(spark, d), steps)
     kinds = F.from_json("line", "struct<verifier:string,steps:array<struct<idx:int,kind:string>>>")
     return lines.select("episode_id", "reward", kinds.alias("l")).select("episode_id", "reward", "l.verifier", F.size("l.steps").alias("n_steps"), F.array_join(F.transform("l.steps", lambda s: s["kind"]), ",").alias("kinds"))

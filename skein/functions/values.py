@@ -83,8 +83,8 @@ def json_value(text: Column, scalars: bool = True) -> Column:
     """A text as JSON: itself, compact and with sorted keys, if it is JSON (of any kind, or of objects and arrays only), else a JSON string; null stays."""
     shaped = F.lit(True) if scalars else F.regexp_like(text, F.lit(r"^\s*[{\[]"))
     value = F.coalesce(F.when(shaped, F.try_parse_json(text)), text.cast("variant"))
-    boxed = F.when(F.octet_length(text) <= MOST_JSON, F.to_json(F.struct(value.alias("v")))).when(text.isNotNull(), F.to_json(F.struct(text.alias("v"))))
-    return F.substr(boxed, F.lit(6), F.length(boxed) - 6)
+    boxed = F.to_json(F.struct(text.alias("v")))
+    return F.when(F.octet_length(text) <= MOST_JSON, F.to_json(value)).when(text.isNotNull(), F.substr(boxed, F.lit(6), F.length(boxed) - 6))
 
 
 def json_object(**fields: Column) -> Column:

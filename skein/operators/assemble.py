@@ -4,6 +4,9 @@ An episode is a session key. Within it a span id counts once, the earliest copy;
 ordered by (started_at, span_id), native ones by their own number first; a parent span
 becomes the index of its step. All is grouping, windows and joins within a session key. First
 and last values follow (started_at, span_id), not arrival.
+
+Envelopes may have one column more, `dealt_by`, which is the same in all rows of a session: where they
+already lie by it, as after a window by user, they are assembled there and not dealt again.
 """
 
 from __future__ import annotations
@@ -22,14 +25,24 @@ def with_span_ids(envelopes: DataFrame) -> DataFrame:
     return envelopes.where(present(F.col("session_key")).isNotNull()).withColumn("_span", F.coalesce(present(F.col("span_id")), made))
 
 
-def _copy() -> Column:
+def _session(envelopes: DataFrame) -> list[str]:
+    """The columns that make a session."""
+    return [*("dealt_by" for c in envelopes.columns if c == "dealt_by"), "session_key"]
+
+
+def _dealt(envelopes: DataFrame) -> DataFrame:
+    """Dealt by session once, for the copies of a span and for all that follows."""
+    return envelopes if "dealt_by" in envelopes.columns else envelopes.repartition("session_key")
+
+
+def _copy(session: list[str]) -> Column:
     """1, 2, 3 ... of the copies of a span, the earliest first."""
-    return F.row_number().over(Window.partitionBy("session_key", "_span").orderBy("started_at", "latency_ms", "content_inline"))
+    return F.row_number().over(Window.partitionBy(*session, "_span").orderBy("started_at", "latency_ms", "content_inline"))
 
 
 def dedup_spans(envelopes: DataFrame) -> DataFrame:
     """One row per (session_key, _span), the earliest."""
-    return envelopes.withColumn("_n", _copy()).where("_n = 1").drop("_n")
+    return envelopes.withColumn("_n", _copy(_session(envelopes))).where("_n = 1").drop("_n")
 
 
 def episode_id() -> Column:
@@ -38,11 +51,11 @@ def episode_id() -> Column:
 
 def steps(envelopes: DataFrame) -> DataFrame:
     """The steps table, step_idx counted from 0 in canonical order."""
-    rows = dedup_spans(with_span_ids(envelopes))
-    session = Window.partitionBy("session_key")
+    rows = dedup_spans(_dealt(with_span_ids(envelopes)))
+    session = Window.partitionBy(*_session(rows))
     order = session.orderBy("started_at", F.col("order_hint").asc_nulls_last(), "_span")
-    ids = F.first(present(F.col("episode_id")), ignorenulls=True).over(session.orderBy("started_at", "_span").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    rows = rows.withColumns({"step_idx": F.row_number().over(order) - 1, "_eid": ids})
+    # the first id needs no order of its own, and so no second sort
+    rows = rows.withColumns({"step_idx": F.row_number().over(order) - 1, "_eid": _first("episode_id").over(session)})
     parents = rows.select("session_key", F.col("_span").alias("parent_span_id"), F.col("step_idx").alias("parent_idx"))
     linked = rows.join(parents, ["session_key", "parent_span_id"], "left")
     linked = linked.withColumn("parent_idx", F.when(F.col("parent_idx") != F.col("step_idx"), F.col("parent_idx"))).withColumn("episode_id", F.col("_eid")).withColumn("episode_id", episode_id())
@@ -71,13 +84,14 @@ def fidelity(among: Column) -> Column:
 
 def episodes(envelopes: DataFrame, unfinished: str = "timed_out") -> DataFrame:
     """The episodes table; an episode without a terminal span gets the status `unfinished`."""
-    # dealt by session once: the copies of a span are counted and the session added up where they lie
-    spans = with_span_ids(envelopes).repartition("session_key").withColumn("_n", _copy())
+    # the copies of a span are counted and the session added up where they lie
+    spans, session = _dealt(with_span_ids(envelopes)), _session(envelopes)
+    spans = spans.withColumn("_n", _copy(session))
     end = F.timestamp_micros(F.unix_micros("started_at") + F.coalesce("latency_ms", F.lit(0)).cast("long") * 1000)
     first = F.col("_n") == 1
     texts = ["episode_id", "source", "tenant", "group_id", "task_type", "instrumentation", "instrumentation_version"]
     # times and the terminal mark take in every copy of a span, the rest only the earliest
-    joined = spans.groupBy("session_key").agg(
+    joined = spans.groupBy(*session).agg(
         F.min("started_at").alias("began"), F.max(end).alias("ended_at"), F.max("received_at").alias("received_at"), F.coalesce(F.bool_or("terminal"), F.lit(False)).alias("terminal"),
         *[_first(c, first).alias(c) for c in texts],
         F.count_if(first).cast("int").alias("step_count"),

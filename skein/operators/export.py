@@ -120,22 +120,26 @@ _EPISODE = "episode_id, task_type, group_id, label_status, reward, clauses, veri
 _STEP = "step_idx, parent_idx, attempt, kind, tool_name, tool_version, model, params, trainable, token_spans, error, truncated, content_inline, started_at".split(", ")
 
 
-def _with(json: Column, name: str, value: Column) -> Column:
-    """A JSON object (not an empty one) with one field more, of JSON; without it where it is null."""
-    return F.when(value.isNull(), json).otherwise(F.concat(F.substr(json, F.lit(1), F.length(json) - 1), F.lit(f',"{name}":'), value, F.lit("}")))
+def _with(json: str, name: str, value: str) -> Column:
+    """A JSON object (not an empty one, in a column) with one field more, of JSON; without it where it is null."""
+    return F.concat(F.substr(json, F.lit(1), F.length(json) - 1), F.coalesce(F.concat(F.lit(f',"{name}":'), F.col(value)), F.lit("")), F.lit("}"))
 
 
 def trajectories(selected: DataFrame, steps: DataFrame) -> DataFrame:
     """episode_id and one JSON line per kept episode, with its steps in order (start, then number)."""
     fields = [c for c in _STEP if c not in ("started_at", "content_inline")]
-    # pieces of JSON, not values, so that a payload may be of any size
-    step = _with(F.to_json(F.struct(*fields)), "content", json_value(F.nullif(F.col("content_inline"), F.lit(""))))
-    per = steps.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce(F.unix_micros("started_at"), F.lit(0)).alias("at"), F.col("step_idx"), step.alias("json")))).alias("steps"))
-    rows = kept(selected).join(per, "episode_id", "left")
+    rows = kept(selected)
+    own = steps.join(rows.select("episode_id"), "episode_id", "left_semi")
+    # pieces of JSON, not values, so that a payload may be of any size; each is a column of its own before it is used,
+    # as an expression inside an aggregate is interpreted, and once more wherever it occurs
+    parts = own.select("episode_id", F.coalesce(F.unix_micros("started_at"), F.lit(0)).alias("at"), "step_idx", F.to_json(F.struct(*fields)).alias("json"), json_value(F.nullif(F.col("content_inline"), F.lit(""))).alias("content"))
+    parts = parts.select("episode_id", "at", "step_idx", _with("json", "content", "content").alias("json"))
+    per = parts.groupBy("episode_id").agg(F.sort_array(F.collect_list(F.struct("at", "step_idx", "json"))).alias("steps"))
     head = [F.col(c) for c in _EPISODE if c not in ("verifier_id", "verifier_version")]
     verifier = F.when(F.coalesce("verifier_id", F.lit("")) != "", F.concat_ws("@", "verifier_id", "verifier_version"))
     shown = F.concat(F.lit("["), F.coalesce(F.array_join("steps.json", ","), F.lit("")), F.lit("]"))
-    return rows.select("episode_id", "group_id", "reward", _with(F.to_json(F.struct(*head, verifier.alias("verifier"))), "steps", shown).alias("line"))
+    lines = rows.join(per, "episode_id", "left").select("episode_id", "group_id", "reward", F.to_json(F.struct(*head, verifier.alias("verifier"))).alias("json"), shown.alias("shown"))
+    return lines.select("episode_id", "group_id", "reward", _with("json", "steps", "shown").alias("line"))
 
 
 def contrasts(selected: DataFrame) -> DataFrame:

@@ -43,21 +43,21 @@ def _of(column: str, value) -> Column:
     return _value(schemas.schema("envelopes")[column].dataType, value)
 
 
-def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event but purchases is a span of its user's session; a signup ends one."""
+def envelopes(spark: SparkSession, sf_dir: str, dealt: bool = False) -> DataFrame:
+    """Every event but purchases is a span of its user's session; a signup ends one. With `dealt` they have `dealt_by`, the user they lie by."""
     events = table(spark, sf_dir, "events").where("event_type <> 'purchase'").withColumn("at", F.timestamp_micros(micros()))
     rows = assemble.sessions_by_gap(events, "user_id", "at", GAP_US)
     rows = rows.select(
-        F.concat(F.lit("u"), F.col("user_id"), F.lit("-s"), F.col("session")).alias("session_key"), F.concat(F.lit("u"), F.col("user_id"), F.lit("-s"), F.col("session")).alias("episode_id"), F.lit("events").alias("source"),
+        F.col("user_id").alias("dealt_by"), F.concat(F.lit("u"), F.col("user_id"), F.lit("-s"), F.col("session")).alias("session_key"), F.concat(F.lit("u"), F.col("user_id"), F.lit("-s"), F.col("session")).alias("episode_id"), F.lit("events").alias("source"),
         F.lpad(F.col("event_id").cast("string"), 12, "0").alias("span_id"), (F.col("event_type") == "signup").alias("terminal"), F.col("event_type").alias("task_type"), F.concat(F.lit("g"), F.col("user_id") % 10).alias("group_id"),
         kind().alias("kind"), F.concat(F.lit('{"args":'), F.col("props"), F.lit("}")).alias("content_inline"), F.when(kind() == "tool", F.lit("shop.open")).alias("tool_name"), F.when(F.col("event_id") % 2 == 0, "v1").alias("tool_version"), F.col("at").alias("started_at"),
         F.when((kind() == "llm") & (F.col("event_id") % 3 != 0), _of("params", {"temperature": 0.5})).alias("params"), F.when((kind() == "llm") & (F.col("event_id") % 5 != 0), _of("token_spans", [{"start": 0, "end": 4}])).alias("token_spans"),
     )
-    return schemas.fitted(rows, "envelopes")
+    return schemas.fitted(rows, "envelopes", *["dealt_by"] * dealt)
 
 
 def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = assemble.episodes(envelopes(spark, sf_dir))
+    rows = assemble.episodes(envelopes(spark, sf_dir, dealt=True))
     user = F.regexp_extract("episode_id", r"^u(\d+)-", 1)
     return rows.withColumn("entity_keys", F.array(F.struct(F.lit("user_id").alias("name"), user.alias("value"))))
 

@@ -67,9 +67,9 @@ REQUIRED = {
 }
 
 
-def fitted(df, table: str):
-    """The columns of a table in their order and types; what is missing is null."""
+def fitted(df, table: str, *more: str):
+    """The columns of a table in their order and types, and more columns as they are; what is missing is null."""
     from pyspark.sql import functions as F
 
     have = set(df.columns)
-    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table)])
+    return df.select(*[(F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema(table)], *more)

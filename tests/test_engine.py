@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skein import catalog, cli, schemas
 from skein.functions import cel, hashing, jsonpath, values
-from skein.operators import assemble, conform, inspect, outcome_join, redact, sample, scoring
+from skein.operators import assemble, conform, export, inspect, outcome_join, redact, sample, scoring
 from skein.operators.normalise import convention_of, normalise, otlp_spans
 from skein.sources import importers, webhook, wire
 from skein.sources.lake import Lake
@@ -537,3 +537,32 @@ def test_protobuf_converges_on_json(spark):
     bad = [body[:-3], b"", b"\x0a", b"\xff" * 12, batch(episodes=[{"steps": [step]}]).SerializeToString()]
     told = protobuf.records(spark.createDataFrame([(x,) for x in bad], "body binary"), protobuf.episodes_of).collect()
     assert len(told) == len(bad) and all(r["error"].startswith("invalid protobuf") and r["value"] is None for r in told)
+
+
+def test_trajectories_are_built_in_one_dealing(spark):
+    """Spans stay where their user's window dealt them, and JSON is made before the aggregate, which would interpret it."""
+    plan = catalog.trajectories(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert dealt.count("user_id") == 1 and set(dealt) == {"user_id", "episode_id"}
+    lists = [line for line in plan.splitlines() if "collect_list" in line]
+    assert lists and not [line for line in lists if "ToJson" in line or "to_json" in line]
+    # copies of spans, a parent, an absent key, an id that comes late, and two sessions of one user
+    facts = [("a", "s1", None, "A", 2), ("a", "s1", None, "A", 1), ("a", "s2", "s1", None, 0), ("a", "s3", "s1", "B", 3), ("b", "s1", "s1", None, 5), (None, "s9", None, "C", 1), ("", "s8", None, "D", 1)]
+    rows = spark.createDataFrame([(7, key, span, parent, episode, T0 + at * HOUR) for key, span, parent, episode, at in facts], "dealt_by long, session_key string, span_id string, parent_span_id string, episode_id string, started_at timestamp")
+    plain, lying = schemas.fitted(rows, "envelopes"), schemas.fitted(rows, "envelopes", "dealt_by")
+    got = [sorted((r.episode_id, r.step_idx, r.parent_idx, r.started_at) for r in assemble.steps(e).collect()) for e in (plain, lying)]
+    b = "ep-" + hashlib.sha256(b"b").hexdigest()[:24]
+    assert got[0] == got[1] == [("A", 0, 1, T0), ("A", 1, None, T0 + HOUR), ("A", 2, 1, T0 + 3 * HOUR), (b, 0, None, T0 + 5 * HOUR)]
+    heads = [sorted((r.episode_id, r.step_count, r.started_at) for r in assemble.episodes(e).collect()) for e in (plain, lying)]
+    assert heads[0] == heads[1] == [("A", 3, T0), (b, 1, T0 + 5 * HOUR)]
+
+
+def test_trajectory_lines(spark):
+    """Payloads of every kind, in the line where they were before; an episode without steps; a step of no episode."""
+    steps = spark.createDataFrame([("e", i, "llm", c, T0) for i, c in enumerate(['{"b":1,"a":"}"}', "null", "", None, "{", "2.50"])] + [("z", 0, "llm", "x", T0)], "episode_id string, step_idx int, kind string, content_inline string, started_at timestamp")
+    chosen = spark.createDataFrame([("e", 1.0, "v", "1", None), ("f", None, None, None, None), ("g", 0.0, "v", "1", "label_provisional")], "episode_id string, reward double, verifier_id string, verifier_version string, drop_reason string")
+    for name, kind in (("task_type", "string"), ("group_id", "string"), ("label_status", "string"), ("clauses", "map<string,double>"), ("outcomes", "array<string>"), ("fidelity", schemas.FIDELITY)):
+        chosen = chosen.withColumn(name, F.lit(None).cast(kind))
+    lines = {r.episode_id: r.line for r in export.trajectories(chosen, schemas.fitted(steps, "steps")).collect()}
+    shown = [f'{{"step_idx":{i},"kind":"llm"{c}}}' for i, c in enumerate([',"content":{"a":"}","b":1}', ',"content":null', "", "", ',"content":"{"', ',"content":2.5'])]
+    assert lines == {"e": '{"episode_id":"e","reward":1.0,"verifier":"v@1","steps":[' + ",".join(shown) + "]}", "f": '{"episode_id":"f","steps":[]}'}
